@@ -5,5 +5,5 @@ from importlib import import_module
 
 def load() -> None:
     """Import every module that registers queries."""
-    for name in ("windows",):
+    for name in ("windows", "months"):
         import_module(f"freshet.catalog.{name}")
