@@ -41,11 +41,12 @@ def _(spark, sf_dir):
 
 
 MIXED_SUMS = ["releases_power", "releases_total", "evap_in", "inflow_adj", "rain_dam_in", "rain_bsn_in"]
-MIXED = DAILY + ", mixed AS (SELECT series_id, CAST(year(date_day) AS INTEGER) AS year, " \
+MIXED_ONLY = "mixed AS (SELECT series_id, CAST(year(date_day) AS INTEGER) AS year, " \
     "CAST(month(date_day) AS INTEGER) AS month, CAST(date_trunc('month', min(date_day)) AS DATE) AS date, " \
     + ", ".join(f"coalesce(sum({c}), 0.0) AS {c}" for c in MIXED_SUMS) \
     + ", avg(elevation_ft) AS elevation_ft, arg_max(storage_2400, date_day) FILTER (storage_2400 IS NOT NULL) AS storage_2400," \
       " coalesce(sum(rain_bsn_in), 0.0) + coalesce(sum(rain_dam_in), 0.0) AS rainfall_total FROM daily GROUP BY 1, 2, 3)"
+MIXED = DAILY + ", " + MIXED_ONLY
 
 
 @query("monthly_mixed_agg", select(MIXED, "SELECT * REPLACE (round(elevation_ft, 6) AS elevation_ft) FROM mixed"))
@@ -206,8 +207,7 @@ def _(spark, sf_dir):
 
 _MF_SUMS = [("rain_bsn_in", n) for n in (3, 6, 12)]
 _MF_LAGGED = ["rain_bsn_in", "evap_in", "inflow_adj", "releases_total", "elevation_ft", "storage_2400"]
-MONTHLY_FEATURES = SNAPSHOT + ", " + MIXED.split("FROM daily GROUP BY 1, 2, 3)", 1)[0].split("daily AS", 1)[1].split(", mixed AS", 1)[1].join(
-    ["mixed AS", "FROM daily GROUP BY 1, 2, 3)"]) + ", " + SOIL + f""", soil_months AS (
+MONTHLY_FEATURES = SNAPSHOT + ", " + MIXED_ONLY + ", " + SOIL + f""", soil_months AS (
   SELECT series_id, CAST(year(time) AS INTEGER) AS year, CAST(month(time) AS INTEGER) AS month, avg(soil) AS soil
   FROM soil GROUP BY 1, 2, 3),
 joined AS (

@@ -39,18 +39,16 @@ def match_areas(rain: DataFrame, soil: DataFrame, match: str = "auto") -> DataFr
     by_rank = {"auto": F.col("_shared") == 0, "rank": F.lit(True), "exact": F.lit(False)}[match]
     kept = counted.where(by_rank | (in_rain & in_soil))
     upto = w.orderBy("area").rowsBetween(Window.unboundedPreceding, 0)
-    k_rain = F.when(in_rain, count(in_rain).over(upto))
-    k_soil = F.when(in_soil, count(in_soil).over(upto))
-    unequal = F.raise_error(F.lit("no shared subbasin area, and the two sides differ in their number of areas"))
-    # an area found on both sides carries two ranks, and each side keeps its own
-    ranks = F.array_compact(
-        F.array(
-            F.when(in_rain, F.struct(k_rain.alias("k"), F.col("area").alias("rain_area"), _no_area("soil_area"))),
-            F.when(in_soil, F.struct(k_soil.alias("k"), _no_area("rain_area"), F.col("area").alias("soil_area"))),
-        )
+    numbered = kept.select(
+        "*", count(in_rain).over(upto).alias("_k_rain"), count(in_soil).over(upto).alias("_k_soil")
     )
+    # an area found on both sides carries two ranks, and each side keeps its own
+    rain_side = F.struct(F.col("_k_rain").alias("k"), F.col("area").alias("rain_area"), _no_area("soil_area"))
+    soil_side = F.struct(F.col("_k_soil").alias("k"), _no_area("rain_area"), F.col("area").alias("soil_area"))
+    ranks = F.array_compact(F.array(F.when(in_rain, rain_side), F.when(in_soil, soil_side)))
+    unequal = F.raise_error(F.lit("no shared subbasin area, and the two sides differ in their number of areas"))
     checked = F.when(by_rank & (F.col("_n_rain") != F.col("_n_soil")), unequal.cast("int")).otherwise(0)
-    ranked = kept.select("series_id", checked.alias("_ok"), F.explode(ranks).alias("s"))
+    ranked = numbered.select("series_id", checked.alias("_ok"), F.explode(ranks).alias("s"))
     matched = ranked.groupBy("series_id", "s.k").agg(
         F.max("s.rain_area").alias("rain_area"), F.max("s.soil_area").alias("soil_area"), F.max("_ok").alias("_ok")
     )
