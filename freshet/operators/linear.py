@@ -45,56 +45,81 @@ def _square(covariances, size: int) -> np.ndarray:
     return c + np.triu(c, 1).T
 
 
-def _least_squares(c, b, n, penalty):
-    return np.linalg.lstsq(c, b, rcond=None)[0]
+def _standardised(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature matrix and label vector in units of one standard deviation, and those deviations.
 
+    Features may differ by many orders of magnitude, which a plain solve would mistake for rank deficiency. A constant
+    feature keeps the unit 1 and ends up with coefficient 0.
+    """
+    scale = np.sqrt(np.diag(c)[:-1])
+    scale = np.where(scale > 0, scale, 1.0)
+    return c[:-1, :-1] / np.outer(scale, scale), c[:-1, -1] / scale, scale
+
+
+def _least_squares(c):
+    a, b, scale = _standardised(c)
+    return np.linalg.lstsq(a, b, rcond=None)[0] / scale
 
-def _ridge(c, b, n, penalty):
-    return np.linalg.solve(c + np.eye(len(b)) * penalty / n, b)
 
+def _ridge(c, n, penalty):
+    a, b, scale = _standardised(c)
+    return np.linalg.solve(a + np.diag(penalty / n / scale**2), b) / scale
 
-def _non_negative(c, b, n, penalty):
-    """Active-set solution of min b'x - x'cx/2 over x >= 0."""
-    k = len(b)
-    x, free = np.zeros(k), np.zeros(k, dtype=bool)
+
+def _non_negative(c):
+    """Least squares over coefficients >= 0: free the most promising one, step back from any that turns negative."""
+    a, b, scale = _standardised(c)
+    x, free = np.zeros(len(b)), np.zeros(len(b), dtype=bool)
     tol = 1e-12 * max(1.0, np.abs(b).max())
     while True:
-        slope = b - c @ x
-        slope[free] = -np.inf
-        if free.all() or slope.max() <= tol:
-            return x
+        slope = np.where(free, -np.inf, b - a @ x)
+        if slope.max() <= tol:
+            return x / scale
         free[slope.argmax()] = True
         while True:
-            trial = np.zeros(k)
-            trial[free] = np.linalg.lstsq(c[np.ix_(free, free)], b[free], rcond=None)[0]
-            bad = free & (trial <= 0)
-            if not bad.any():
+            trial = np.zeros(len(b))
+            trial[free] = np.linalg.lstsq(a[np.ix_(free, free)], b[free], rcond=None)[0]
+            negative = free & (trial <= 0)
+            if not negative.any():
                 break
-            share = np.min(x[bad] / (x[bad] - trial[bad]))
-            x = x + share * (trial - x)
-            free &= x > tol * 1e-3
-            x[~free] = 0.0
+            step = x[negative] / (x[negative] - trial[negative])
+            x = x + step.min() * (trial - x)
+            out = np.flatnonzero(negative)[step == step.min()]
+            free[out] = False
+            x[out] = 0.0
         x = trial
 
 
-def _lasso(c, b, n, penalty, start=None, sweeps=100_000, tol=1e-12):
-    """Coordinate descent on min x'cx/2 - b'x + penalty |x|."""
-    x = np.zeros(len(b)) if start is None else start.copy()
+def _lasso(c, penalty, start=None, sweeps=100_000, tol=1e-13):
+    """Coordinate descent on half the mean squared error plus penalty times the absolute coefficients."""
+    a, b, scale = _standardised(c)
+    limit = penalty / scale
+    x = np.zeros(len(b)) if start is None else start * scale
+    stop = tol * max(np.sqrt(c[-1, -1]), 1e-300)
     for _ in range(sweeps):
         moved = 0.0
         for j in range(len(b)):
-            if c[j, j] <= 0:
+            if a[j, j] <= 0:
                 continue
-            rest = b[j] - c[j] @ x + c[j, j] * x[j]
-            new = np.sign(rest) * max(abs(rest) - penalty, 0.0) / c[j, j]
-            moved = max(moved, abs(new - x[j]) * np.sqrt(c[j, j]))
+            rest = b[j] - a[j] @ x + a[j, j] * x[j]
+            new = np.sign(rest) * max(abs(rest) - limit[j], 0.0) / a[j, j]
+            moved = max(moved, abs(new - x[j]))
             x[j] = new
-        if moved <= tol * max(1.0, np.sqrt(np.abs(b).max())):
+        if moved <= stop:
             break
-    return x
+    return x / scale
 
 
-_SOLVERS = {"least_squares": _least_squares, "ridge": _ridge, "non_negative": _non_negative, "lasso": _lasso}
+def _solve(method: str, c: np.ndarray, n: float, penalty: float) -> np.ndarray:
+    if method == "least_squares":
+        return _least_squares(c)
+    if method == "non_negative":
+        return _non_negative(c)
+    if method == "ridge":
+        return _ridge(c, n, penalty)
+    if method == "lasso":
+        return _lasso(c, penalty)
+    raise ValueError(f"unknown method {method}")
 
 
 def fit_linear(
@@ -111,14 +136,14 @@ def fit_linear(
     the summed squared error) or lasso (penalty on the absolute coefficients against half the mean squared error).
     The intercept is never penalised.
     """
-    solver, size = _SOLVERS[method], len(features) + 1
+    size = len(features) + 1
 
     @F.pandas_udf(_FIT)
     def solve(n: pd.Series, means: pd.Series, covariances: pd.Series) -> pd.DataFrame:
         rows = []
         for count, mean, cov in zip(n, means, covariances):
             c = _square(cov, size)
-            x = solver(c[:-1, :-1], c[:-1, -1], count, penalty)
+            x = _solve(method, c, count, penalty)
             rows.append((float(mean[-1] - np.dot(mean[:-1], x)), [float(v) for v in x], float(penalty)))
         return pd.DataFrame(rows, columns=["intercept", "coefficients", "penalty"])
 
@@ -161,12 +186,12 @@ def fit_lasso_cv(
             _, fit_mean, fit_c = _pooled(parts[:i] + parts[i + 1:])
             x = np.zeros(size - 1)
             for j, penalty in enumerate(grid):
-                x = _lasso(fit_c[:-1, :-1], fit_c[:-1, -1], None, penalty, x)
+                x = _lasso(fit_c, penalty, x)
                 gap = held_mean - fit_mean
                 offset = gap[-1] - gap[:-1] @ x
                 errors[i, j] = held_c[-1, -1] - 2 * held_c[:-1, -1] @ x + x @ held_c[:-1, :-1] @ x + offset**2
         best = float(grid[errors.mean(axis=0).argmin()])
-        x = _lasso(c[:-1, :-1], c[:-1, -1], None, best)
+        x = _lasso(c, best)
         keys = {k: fold_rows[k].iloc[0] for k in by}
         out = {**keys, "intercept": float(mean[-1] - mean[:-1] @ x), "coefficients": x.tolist(), "penalty": best}
         return pd.DataFrame([out])
