@@ -452,16 +452,18 @@ val AS (SELECT series_id, month, y_true - y_pred AS r FROM long WHERE split = 'v
     + _INTERVALS.replace("last_value", "linear")
 
 
+_LARGE = ["y_pred_next30"] + [f"y_{b}" for b in _BANDS]
+
+
 @query(
     "daily_forecast_linear",
-    select(LINEAR3, "SELECT * REPLACE (" + ", ".join(
-        f"round({c}, 1) AS {c}" for c in ["y_pred_next30"] + [f"y_{b}" for b in _BANDS]) + ") FROM ivals"),
+    select(LINEAR3, "SELECT * REPLACE (" + ", ".join(f"round({c} / 1e6, 5) AS {c}" for c in _LARGE) + ") FROM ivals"),
 )
 def _(spark, sf_dir):
-    """The whole daily analysis with the linear model."""
+    """The whole daily analysis with the linear model; predictions in millions."""
     config = DailyConfig(TRAIN_END, VAL_END, models=("linear",))
     out = daily_plan.daily_forecast(daily_log(spark, sf_dir), config=config).forecast
-    return rounded(out, {c: 1 for c in ["y_pred_next30"] + [f"y_{b}" for b in _BANDS]})
+    return out.withColumns({c: F.round(F.col(c) / 1e6, 5) for c in _LARGE})
 
 
 # tree models: no SQL counterpart; small tree counts keep the check short, sizes are parameters
@@ -521,37 +523,41 @@ def _(spark, sf_dir):
 
 
 TALL2 = ["rainfall", "rainfall_next"]
-FITTED2 = HISTORY + ", " + nonnegative2_sql("history", "rainfall", "rainfall_next", "inflow_next", "m")
+SCALED_ONLY = """scaled AS (
+  SELECT * REPLACE (inflow_adj / 1e6 AS inflow_adj, inflow_next / 1e6 AS inflow_next) FROM history)"""
+IN_MILLIONS = HISTORY + ", " + SCALED_ONLY
+FITTED2 = IN_MILLIONS + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m")
 _FITTED = FITTED2 + """, fitted AS (
   SELECT h.series_id, h.year, b0 + w0 * rainfall + w1 * rainfall_next AS predicted_inflow
-  FROM history h JOIN m USING (series_id) WHERE h.month = 1 AND rainfall_next IS NOT NULL)"""
+  FROM scaled h JOIN m USING (series_id) WHERE h.month = 1 AND rainfall_next IS NOT NULL)"""
 
 
 def _history(spark, sf_dir):
-    return durable(monthly_plan.month_history_table(daily_log(spark, sf_dir)))
+    """Month table with the inflow in millions."""
+    history = monthly_plan.month_history_table(daily_log(spark, sf_dir))
+    return durable(history.withColumns({c: F.col(c) / 1e6 for c in ("inflow_adj", "inflow_next")}))
 
 
-@query("fitted_by_year", select(_FITTED, "SELECT series_id, year, round(predicted_inflow, 1) AS predicted_inflow FROM fitted"))
+@query("fitted_by_year", select(_FITTED, "SELECT series_id, year, round(predicted_inflow, 6) AS predicted_inflow FROM fitted"))
 def _(spark, sf_dir):
     out = linear.fitted_by_year(_history(spark, sf_dir), TALL2, "inflow_next", 1)
-    return rounded(out, {"predicted_inflow": 1})
+    return rounded(out, {"predicted_inflow": 6})
 
 
 @query(
     "latest_years",
-    select(_FITTED, """SELECT series_id, year, round(predicted_inflow, 1) AS predicted_inflow FROM fitted
+    select(_FITTED, """SELECT series_id, year, round(predicted_inflow, 6) AS predicted_inflow FROM fitted
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY year DESC) <= 4"""),
 )
 def _(spark, sf_dir):
     out = products.latest_years(linear.fitted_by_year(_history(spark, sf_dir), TALL2, "inflow_next", 1), 4)
-    return rounded(out, {"predicted_inflow": 1})
+    return rounded(out, {"predicted_inflow": 6})
 
 
-# The clipped prediction has two digits; one digit is compared, since the models differ in the last bits.
 SIMULATED = FITTED2 + """, simulated AS (
   SELECT h.series_id, h.year, h.month, greatest(rainfall, 0) AS simulated_rain,
-         greatest(b0 + w0 * rainfall + w1 * greatest(rainfall, 0), 0) AS predicted_inflow
-  FROM history h JOIN m USING (series_id) WHERE h.month = 1)"""
+         round(greatest(b0 + w0 * rainfall + w1 * greatest(rainfall, 0), 0), 2) AS predicted_inflow
+  FROM scaled h JOIN m USING (series_id) WHERE h.month = 1)"""
 
 
 def _simulated(spark, sf_dir):
@@ -560,27 +566,27 @@ def _simulated(spark, sf_dir):
 
 @query(
     "simulated_inflow",
-    select(SIMULATED, "SELECT series_id, year, month, simulated_rain, round(predicted_inflow, 1) AS predicted_inflow FROM simulated"),
+    select(SIMULATED, "SELECT * FROM simulated"),
 )
 def _(spark, sf_dir):
-    return rounded(_simulated(spark, sf_dir), {"predicted_inflow": 1})
+    return _simulated(spark, sf_dir)
 
 
 @query(
     "prediction_summary",
-    select(SIMULATED, """SELECT series_id, month, round(avg(predicted_inflow), 1) AS mean_predicted,
-  round(min(predicted_inflow), 1) AS min_predicted, round(max(predicted_inflow), 1) AS max_predicted
+    select(SIMULATED, """SELECT series_id, month, round(avg(predicted_inflow), 7) AS mean_predicted,
+  min(predicted_inflow) AS min_predicted, max(predicted_inflow) AS max_predicted
 FROM simulated GROUP BY 1, 2"""),
 )
 def _(spark, sf_dir):
     out = products.prediction_summary(_simulated(spark, sf_dir), "predicted_inflow", ["series_id", "month"])
-    return rounded(out, {"mean_predicted": 1, "min_predicted": 1, "max_predicted": 1})
+    return rounded(out, {"mean_predicted": 7})
 
 
 @query(
     "last12_with_forecast",
     select(SIMULATED + """, observed AS (
-  SELECT series_id, date, inflow_adj, NULL::DOUBLE AS low, NULL::DOUBLE AS high, 'observed' AS kind FROM history
+  SELECT series_id, date, inflow_adj, NULL::DOUBLE AS low, NULL::DOUBLE AS high, 'observed' AS kind FROM scaled
   WHERE inflow_adj IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY date DESC) <= 12),
 ahead AS (
   SELECT o.series_id, CAST(max(o.date) + INTERVAL 1 MONTH AS DATE) AS date, any_value(s.mean) AS inflow, any_value(s.low) AS low,
@@ -588,7 +594,7 @@ ahead AS (
   FROM observed o JOIN (SELECT series_id, avg(predicted_inflow) AS mean, min(predicted_inflow) AS low,
                                max(predicted_inflow) AS high FROM simulated GROUP BY 1) s ON o.series_id = s.series_id
   GROUP BY 1)""",
-           """SELECT series_id, date, round(inflow_adj, 1) AS inflow, round(low, 1) AS low, round(high, 1) AS high, kind,
+           """SELECT series_id, date, round(inflow_adj, 7) AS inflow, low, high, kind,
   strftime(date, '%b') AS label FROM (SELECT * FROM observed UNION ALL SELECT * FROM ahead)"""),
 )
 def _(spark, sf_dir):
@@ -596,7 +602,7 @@ def _(spark, sf_dir):
     simulated = linear.simulated_by_year(history, TALL2, "inflow_next", 1, "rainfall", "rainfall_next")
     summary = products.prediction_summary(simulated, "predicted_inflow", ["series_id"])
     out = products.recent_months_with_forecast(history, "inflow_adj", summary)
-    return rounded(out, {"inflow": 1, "low": 1, "high": 1})
+    return rounded(out, {"inflow": 7})
 
 
 @query(
@@ -615,11 +621,11 @@ _SCENARIO = """, newest AS (
 
 @query(
     "scenario_predict",
-    select(NORMAL + ", " + nonnegative2_sql("history", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
+    select(NORMAL + ", " + SCALED_ONLY + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
   SELECT series_id, 'lower' AS scenario, mean - 2 * sigma AS x FROM fit WHERE month = 1
   UNION ALL SELECT series_id, 'mean', mean FROM fit WHERE month = 1
   UNION ALL SELECT series_id, 'upper', mean + 2 * sigma FROM fit WHERE month = 1)""",
-           """SELECT p.series_id, scenario, round(x, 4) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 1) AS predicted_inflow
+           """SELECT p.series_id, scenario, round(x, 4) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 6) AS predicted_inflow
 FROM points p JOIN m USING (series_id) JOIN newest n ON n.series_id = p.series_id"""),
 )
 def _(spark, sf_dir):
@@ -629,16 +635,16 @@ def _(spark, sf_dir):
     bounds = distributions.normal_bounds(january, "rainfall").drop("month")
     newest = latest_rows(january, SeriesWindow(order=["date"]))
     out = linear.scenario_predictions(bounds, model, newest, TALL2, "rainfall_next")
-    return rounded(out, {"rainfall_next": 4, "predicted_inflow": 1})
+    return rounded(out, {"rainfall_next": 4, "predicted_inflow": 6})
 
 
 @query(
     "scenario_predict_gamma",
     select(GAMMA_ML + ", " + _quantiles_sql("(SELECT * FROM shapes WHERE month = 1)", {"lower": 0.025, "upper": 0.975})
-           + ", " + nonnegative2_sql("history", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
+           + ", " + SCALED_ONLY + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
   SELECT series_id, name AS scenario, mean / shape * z AS x FROM found
   UNION ALL SELECT series_id, 'mean', mean FROM shapes WHERE month = 1)""",
-           """SELECT p.series_id, scenario, round(x, 3) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 1) AS predicted_inflow
+           """SELECT p.series_id, scenario, round(x, 3) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 6) AS predicted_inflow
 FROM points p JOIN m USING (series_id) JOIN newest n ON n.series_id = p.series_id"""),
 )
 def _(spark, sf_dir):
@@ -649,7 +655,7 @@ def _(spark, sf_dir):
     bounds = distributions.with_gamma_interval(fit, 0.95, "").select("series_id", "lower", "mean", "upper")
     newest = latest_rows(january, SeriesWindow(order=["date"]))
     out = linear.scenario_predictions(bounds, model, newest, TALL2, "rainfall_next")
-    return rounded(out, {"rainfall_next": 3, "predicted_inflow": 1})
+    return rounded(out, {"rainfall_next": 3, "predicted_inflow": 6})
 
 
 _R7 = monthly_plan.RAIN_INPUTS

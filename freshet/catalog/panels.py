@@ -51,7 +51,7 @@ panel AS (
 
 _WEIGHT = "SELECT * REPLACE (round(weight, 9) AS weight) FROM areas"
 _PANEL = "SELECT series_id, date_day, subbasin, round(weight, 9) AS weight, " + ", ".join(
-    f"round({c}, 5) AS {c}" for c in panel.FEATURES) + " FROM panel"
+    f"round({c}, 8) AS {c}" for c in panel.FEATURES) + " FROM panel"
 
 
 @query("area_exact_match", select(_areas_sql(True), _WEIGHT))
@@ -73,7 +73,7 @@ def _long(spark, sf_dir, exact):
 
 def _long_rounded(spark, sf_dir, exact):
     out = _long(spark, sf_dir, exact).withColumn("weight", F.round("weight", 9))
-    return out.withColumns({c: F.round(c, 5) for c in panel.FEATURES})
+    return out.withColumns({c: F.round(c, 8) for c in panel.FEATURES})
 
 
 @query("subbasin_panel", select(_panel_sql(True), _PANEL))
@@ -97,11 +97,11 @@ SUMMARY_SQL = _panel_sql(True) + """, summary AS (
 
 @query(
     "weighted_spread",
-    select(SUMMARY_SQL, "SELECT series_id, date_day, " + ", ".join(f"round({c}, 5) AS {c}" for c in _SUMMARY)
+    select(SUMMARY_SQL, "SELECT series_id, date_day, " + ", ".join(f"round({c}, 8) AS {c}" for c in _SUMMARY)
            + " FROM summary"),
 )
 def _(spark, sf_dir):
-    return panel.basin_summary(_long(spark, sf_dir, True)).withColumns({c: F.round(c, 5) for c in _SUMMARY})
+    return panel.basin_summary(_long(spark, sf_dir, True)).withColumns({c: F.round(c, 8) for c in _SUMMARY})
 
 
 _WIDE = [f"{a}_{sb}_{b}" for a, b in (("arain", "7d"), ("arain", "30d"), ("asm", "7d"), ("asm", "30d")) for sb in SUBBASINS]
@@ -110,23 +110,23 @@ _WIDE = [f"{a}_{sb}_{b}" for a, b in (("arain", "7d"), ("arain", "30d"), ("asm",
 @query(
     "panel_wide",
     select(_panel_sql(True), "SELECT series_id, date_day, " + ", ".join(
-        f"round(max({a}_{b}) FILTER (subbasin = '{sb}'), 5) AS {a}_{sb}_{b}"
+        f"round(max({a}_{b}) FILTER (subbasin = '{sb}'), 8) AS {a}_{sb}_{b}"
         for a, b in (("arain", "7d"), ("arain", "30d"), ("asm", "7d"), ("asm", "30d")) for sb in SUBBASINS)
         + " FROM panel GROUP BY 1, 2"),
 )
 def _(spark, sf_dir):
     wide = panel.wide_panel(_long(spark, sf_dir, True), SUBBASINS)
-    return wide.withColumns({c: F.round(c, 5) for c in _WIDE})
+    return wide.withColumns({c: F.round(c, 8) for c in _WIDE})
 
 
 @query(
     "panel_pivot",
     select(_areas_sql(True), f"""SELECT '{SERIES}' AS series_id, date_day, """ + ", ".join(
-        f"round(avg(rain) FILTER (subbasin = '{sb}'), 5) AS {sb}" for sb in SUBBASINS)
+        f"round(avg(rain) FILTER (subbasin = '{sb}'), 8) AS {sb}" for sb in SUBBASINS)
         + " FROM rain_rows JOIN areas ON area = rain_area GROUP BY 2"),
 )
 def _(spark, sf_dir):
     rain, soil = _sides(spark, sf_dir, True)
     labels = panel.match_areas(rain, soil).select("series_id", F.col("rain_area").alias("area"), "subbasin")
     wide = panel.pivot_mean(rain.join(labels, ["series_id", "area"]), "rain", SUBBASINS)
-    return wide.withColumns({sb: F.round(sb, 5) for sb in SUBBASINS})
+    return wide.withColumns({sb: F.round(sb, 8) for sb in SUBBASINS})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from freshet.catalog.registry import query
 from freshet.catalog.sqltext import over, rows, select
 from freshet.catalog.tables import (
-    DAILY, HEAVY, PRIORITY, SERIES, SOIL, daily_log, priority_log, soil_hours, table,
+    DAILY, HEAVY, PRIORITY, SERIES, SOIL, cents, daily_log, priority_log, soil_hours, table,
 )
 from freshet.functions.calendar import DAYS_PER_YEAR, cycle_cos, cycle_sin
 from freshet.functions.numeric import zero_if_null
@@ -285,7 +285,7 @@ _READINGS_PART = "PARTITION BY series_id"
 )
 def _(spark, sf_dir):
     readings = table(spark, sf_dir, "events").select(
-        F.lit(SERIES).alias("series_id"), "ts", "event_id", F.round(F.col("value") * 100, 0).alias("reading")
+        F.lit(SERIES).alias("series_id"), "ts", "event_id", cents("value").alias("reading")
     )
     features = lambda w: [
         w.rolling_sum("reading", 7).alias("sum_7"),

@@ -22,8 +22,8 @@ def number_rows(df: DataFrame, series: list[str], order: list[str]) -> DataFrame
     """Add ``position``, the 1-based rank of a row in its series.
 
     ``order`` must be a total order. A range shuffle cuts at sampled keys, so a long series spans many
-    partitions; the sorted layout is checkpointed before it is numbered, because a recomputed range shuffle could
-    cut elsewhere.
+    partitions; the sorted layout is written down before it is numbered, because a recomputed range shuffle could cut
+    elsewhere.
     """
     keys = [*series, *order]
     sorted_rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)

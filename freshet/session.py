@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,28 +23,28 @@ def local_session(cpus: int | str = 8, app: str = "freshet") -> SparkSession:
     )
 
 
-def _has_checkpoint_dir(spark: SparkSession) -> bool:
-    """Make sure the context has a checkpoint folder, preferring the cluster's setting."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return True
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-        return True
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-checkpoint-"))
-        return True
-    return False
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="freshet-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the cluster's checkpoint folder, or an own one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if spark.sparkContext.master.startswith("local"):
+        return _own_folder()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where a result is read several times (model fits) or where its row layout must not change
-    between two reads (row numbering). A checkpoint lives in shared storage, so a lost executor
-    costs a re-read, not a rescan of the raw tables.
+    Used where a result is read several times (branches of a plan, model fits) or where its row layout must not
+    change between two reads (row numbering). A lost executor then costs a re-read of a small table and not a rescan
+    of the raw ones, and the size of the written files lets Spark choose its joins by fact.
     """
-    if not _has_checkpoint_dir(df.sparkSession):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/freshet-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
