@@ -198,12 +198,12 @@ FEATURES_SQL = FILLED + ", features AS (SELECT series_id, date_day, CAST(year(da
     + ", ".join(f"sum(rain_bsn_in) {rows(1 - n, 0)} AS rain_{n}d, sum(rain_dam_in) {rows(1 - n, 0)} AS dam_{n}d" for n in SPANS) \
     + f", lag(inflow_adj) {over()} AS qin_lag1, " \
     + ", ".join(f"avg(inflow_adj) {rows(-n, -1)} AS qin_{n}d" for n in (3, 7, 14)) \
-    + f", sum(inflow_adj) {rows(-30, -1)} AS qin_30d, sum(inflow_adj) {rows(-29, 0)} AS inflow_30d_sum, " \
+    + f", sum(inflow_adj) {rows(-30, -1)} AS qin_30d, avg(inflow_adj) {rows(-30, -1)} AS qin_30d_mean, sum(inflow_adj) {rows(-29, 0)} AS inflow_30d_sum, " \
     f"CAST(dayofyear(date_day) AS INTEGER) AS doy, sin(2 * pi() * dayofyear(date_day) / {DAYS_PER_YEAR}) AS doy_sin, " \
     f"cos(2 * pi() * dayofyear(date_day) / {DAYS_PER_YEAR}) AS doy_cos, " \
     f"{_target_sql('filled', True)} AS inflow_next30, ln(1 + {_target_sql('filled', True)}) AS inflow_next30_log FROM filled)"
 
-_ROUNDED = {"qin_3d": 4, "qin_7d": 4, "qin_14d": 4, "doy_sin": 9, "doy_cos": 9, "inflow_next30_log": 9}
+_ROUNDED = {"qin_3d": 4, "qin_7d": 4, "qin_14d": 4, "qin_30d_mean": 4, "doy_sin": 9, "doy_cos": 9, "inflow_next30_log": 9}
 
 
 @query(
@@ -215,6 +215,24 @@ def features_rounded(spark, sf_dir):
     return daily_features(daily_log(spark, sf_dir)).withColumns({c: F.round(c, d) for c, d in _ROUNDED.items()})
 
 
+_MEANS = ["sm_7d_mean", "sm_14d_mean", "sm_30d_mean"]
+
+
+@query(
+    "daily_features_with_soil",
+    select(FEATURES_SQL + ", " + SOIL_DAILY + """, joined AS (
+  SELECT f.series_id, f.date_day, rain_1d, qin_30d_mean, inflow_next30, s.soil AS sm_1d
+  FROM features f LEFT JOIN soil_daily s ON f.series_id = s.series_id AND f.date_day = s.date_day)""",
+           "SELECT series_id, date_day, rain_1d, round(qin_30d_mean, 4) AS qin_30d_mean, inflow_next30, "
+           "round(sm_1d, 4) AS sm_1d, " + ", ".join(
+               f"round(avg(sm_1d) {rows(1 - n, 0)}, 4) AS sm_{n}d_mean" for n in (7, 14, 30)) + " FROM joined"),
+)
+def _(spark, sf_dir):
+    features = daily_features(daily_log(spark, sf_dir), soil_hours(spark, sf_dir))
+    kept = features.select(*KEY, "rain_1d", "qin_30d_mean", "inflow_next30", "sm_1d", *_MEANS)
+    return kept.withColumns({c: F.round(c, 4) for c in ["qin_30d_mean", "sm_1d", *_MEANS]})
+
+
 @query(
     "sequences_12",
     select(PRIORITY + f""", seq AS (

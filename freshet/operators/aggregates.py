@@ -72,13 +72,19 @@ def climatology(
 
 
 def with_next_month_climatology(
-    df: DataFrame, columns: list[str], series: list[str] = SERIES, fit: Column | None = None, suffix: str = "_next"
+    df: DataFrame,
+    columns: list[str],
+    series: list[str] = SERIES,
+    fit: Column | None = None,
+    suffix: str = "_next",
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add the climatological mean of the following calendar month.
 
-    The lookup has twelve rows per series and is joined on the series, so it grows no faster than the table.
+    The lookup has twelve rows per series and is joined on the series, so it grows no faster than the table. It is
+    computed from ``source`` where that is cheaper to read again than ``df``.
     """
-    clim = climatology(df, columns, series, fit).withColumnsRenamed({c: c + suffix for c in columns})
+    clim = climatology(df if source is None else source, columns, series, fit).withColumnsRenamed({c: c + suffix for c in columns})
     clim = clim.withColumnRenamed("month", "_next_month")
     return (
         df.withColumn("_next_month", next_month_number(F.col("month")))

@@ -127,9 +127,16 @@ def latest_rows(df: DataFrame, w: SeriesWindow, n: int = 1) -> DataFrame:
 
 
 def append_future_rows(df: DataFrame, rows: int, position: str, series: list[str], keep: list[str]) -> DataFrame:
-    """Add ``rows`` empty rows after the last position of every series, so lags run past the end."""
-    base = df.select(*series, position, *keep)
-    last = base.groupBy(*series).agg(F.max(position).alias("_last"))
-    step = F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("_step")
-    future = last.select(*series, "_last", step).select(*series, (F.col("_last") + F.col("_step")).alias(position))
-    return base.unionByName(future, allowMissingColumns=True)
+    """Add ``rows`` empty rows after the last position of every series, so lags run past the end.
+
+    The last row of a series multiplies itself, which needs no second pass over the input.
+    """
+    last = F.max(position).over(Window.partitionBy(*series)) == F.col(position)
+    steps = F.when(last, F.sequence(F.lit(0), F.lit(rows))).otherwise(F.array(F.lit(0)))
+    spread = df.select(*series, position, *keep, steps.alias("_steps"))
+    stepped = spread.select(*series, position, *keep, F.explode("_steps").alias("_step"))
+    return stepped.select(
+        *series,
+        (F.col(position) + F.col("_step")).alias(position),
+        *[F.when(F.col("_step") == 0, F.col(c)).alias(c) for c in keep],
+    )

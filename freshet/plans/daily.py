@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.calendar import cycle_cos, cycle_sin, DAYS_PER_YEAR
 from freshet.functions.numeric import from_log_target, log_target, zero_if_null
-from freshet.operators import bands, evaluation, linear, panel, trees
+from freshet.operators import aggregates, bands, evaluation, linear, panel, trees
 from freshet.operators.windows import SeriesWindow
+from freshet.plans.reports import score_report
 from freshet.session import durable
 from freshet.sources.checks import pick_features
+from freshet.sources.tables import write_result
 
 # Default periods, quantiles, weights and features of the published model.
 TRAIN_END, VAL_END = 2018, 2023
@@ -33,14 +35,23 @@ class DailyConfig:
     force_best: str | None = None
     issue_day: int = 1
     tree_share: float = 1.0  # share of the published tree counts, for trial runs
+    features: list[str] = field(default_factory=lambda: list(DAILY_FEATURES))
 
 
-def daily_features(log: DataFrame) -> DataFrame:
-    """Rolling rain and inflow, seasonality, and the next-30-day target, in one pass over one window."""
+def daily_features(log: DataFrame, soil_hours: DataFrame | None = None) -> DataFrame:
+    """Rolling rain and inflow, seasonality, and the next-30-day target, in one pass over one window.
+
+    With hourly soil moisture, its daily mean and rolling means join in.
+    """
     w = SeriesWindow()
+    soil = []
+    if soil_hours is not None:
+        log = log.join(aggregates.daily_mean(soil_hours, "soil"), ["series_id", "date_day"], "left")
+        soil = ["soil"]
     base = log.select(
         "series_id",
         "date_day",
+        *soil,
         zero_if_null(F.col("rain_bsn_in")).alias("rain"),
         zero_if_null(F.col("rain_dam_in")).alias("dam"),
         zero_if_null(F.col("inflow_adj")).alias("inflow"),
@@ -60,11 +71,14 @@ def daily_features(log: DataFrame) -> DataFrame:
         w.lag("inflow").alias("qin_lag1"),
         *[w.prior_mean("inflow", n).alias(f"qin_{n}d") for n in (3, 7, 14)],
         w.prior_sum("inflow", 30).alias("qin_30d"),
+        w.prior_mean("inflow", 30).alias("qin_30d_mean"),
         w.rolling_sum("inflow", 30).alias("inflow_30d_sum"),
         doy.alias("doy"),
         cycle_sin(doy, DAYS_PER_YEAR).alias("doy_sin"),
         cycle_cos(doy, DAYS_PER_YEAR).alias("doy_cos"),
         w.forward_sum("inflow", 30).alias("inflow_next30"),
+        *[F.col(c).alias("sm_1d") for c in soil],
+        *[w.rolling_mean(c, n).alias(f"sm_{n}d_mean") for c in soil for n in (7, 14, 30)],
     )
     return featured.withColumn("inflow_next30_log", log_target(F.col("inflow_next30")))
 
@@ -83,7 +97,7 @@ def subbasin_features(rain: DataFrame, soil: DataFrame, match: str = "auto") ->
 def model_table(features: DataFrame, sub: DataFrame | None, config: DailyConfig) -> tuple[DataFrame, list[str]]:
     """Rows complete in every chosen feature and the target, with split, thresholds and weights."""
     table = features if sub is None else features.join(sub, ["series_id", "date_day"], "left")
-    chosen = list(DAILY_FEATURES) + ([] if sub is None else pick_features(table, config.panel_features))
+    chosen = list(config.features) + ([] if sub is None else pick_features(table, config.panel_features))
     rows = table.select(
         "series_id", "date_day", "year", "month", *chosen,
         F.col("inflow_next30").alias("y_true"), F.col("inflow_next30_log").alias("y_log"),
@@ -104,6 +118,18 @@ class DailyForecast:
     forecast: DataFrame  # best model on the test rows with intervals
     issue_days: DataFrame
     cadence: DataFrame
+    issue_day: int = 1
+
+    def write(self, folder: str, fmt: str = "csv") -> None:
+        """Scores, test forecast, issue-day slice and cadence scores as files."""
+        day = f"day{self.issue_day}"
+        write_result(score_report(self.scores), f"{folder}/metrics_daily_next30", fmt, order_by=["split", "RMSE", "name"])
+        write_result(self.forecast, f"{folder}/predictions_daily_next30_with_ci", fmt, order_by=["date_day"])
+        write_result(
+            self.issue_days, f"{folder}/predictions_monthly_issue_{day}_next30_with_ci", fmt, order_by=["date_day"]
+        )
+        cadence = score_report(self.cadence.join(self.best.withColumnRenamed("name", "model"), "series_id"))
+        write_result(cadence, f"{folder}/metrics_issue_cadence_next30", fmt, order_by=["cadence"])
 
 
 def predict_all(table: DataFrame, chosen: list[str], config: DailyConfig) -> tuple[DataFrame, dict[str, str]]:
@@ -140,13 +166,20 @@ def predict_all(table: DataFrame, chosen: list[str], config: DailyConfig) -> tup
 
 
 def daily_forecast(
-    log: DataFrame, rain: DataFrame | None = None, soil: DataFrame | None = None, config: DailyConfig = DailyConfig()
+    log: DataFrame,
+    rain: DataFrame | None = None,
+    soil: DataFrame | None = None,
+    config: DailyConfig = DailyConfig(),
+    soil_hours: DataFrame | None = None,
 ) -> DailyForecast:
-    """The whole analysis. The feature table is checkpointed once, so model fits never rescan the inputs."""
+    """The whole analysis. The feature table is written once, so model fits never rescan the inputs.
+
+    ``rain`` and ``soil`` are subbasin rows, ``soil_hours`` one sensor's readings.
+    """
     if config.force_best is not None and config.force_best not in config.models:
         raise ValueError(f"forced model {config.force_best} is not among {config.models}")
     sub = None if rain is None else subbasin_features(rain, soil)
-    table, chosen = model_table(daily_features(log), sub, config)
+    table, chosen = model_table(daily_features(log, soil_hours), sub, config)
     predicted, columns = predict_all(durable(table), chosen, config)
     keep = ["series_id", "date_day", "month", "split", "y_true", "flood", "event"]
     long = durable(evaluation.stack_predictions(predicted, columns, keep))
@@ -169,4 +202,5 @@ def daily_forecast(
         forecast=forecast,
         issue_days=evaluation.issue_day_rows(forecast, config.issue_day),
         cadence=evaluation.cadence_scores(test, config.issue_day, flood="flood", event="event"),
+        issue_day=config.issue_day,
     )

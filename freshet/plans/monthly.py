@@ -11,7 +11,9 @@ from freshet.functions.numeric import at_least, from_log_target, log_target, str
 from freshet.operators import aggregates, bands, distributions, evaluation, linear, trees
 from freshet.operators.products import interval_offsets, latest_years, sigma_intervals
 from freshet.operators.windows import SeriesWindow, append_future_rows, latest_rows
+from freshet.plans.reports import score_report
 from freshet.session import durable
+from freshet.sources.tables import write_result
 
 # Default periods, heavy-rain limit and features of the published monthly model.
 TRAIN_END, VAL_END = 2018, 2021
@@ -22,6 +24,12 @@ FEATURES = [
     "rain_dam_next", "soil", "soil_lag1", "soil_lag3", "soil_roll3",
 ]
 
+# Short model names in prediction columns, and the models that get bands.
+REPORT_MODELS = {
+    "linear": "lin", "ridge": "ridge", "lasso": "lasso", "last_value": "last", "forest": "rf", "boosted": "xgb",
+}
+BANDED = ("linear", "forest", "boosted")
+
 MONTHS = SeriesWindow(order=["date"])
 
 
@@ -85,7 +93,7 @@ def monthly_features(
     ).withColumn("y_next_log", log_target(F.col("y_next")))
     featured = distributions.regression_residual(featured, "rain_dam_in", "rain_bsn_in", "rain_dam_resid", fit=fit)
     named = aggregates.with_next_month_climatology(
-        featured, ["rain_bsn_in", "rain_dam_in", "rainfall_total"], fit=fit
+        featured, ["rain_bsn_in", "rain_dam_in", "rainfall_total"], fit=fit, source=months
     )
     return named.withColumnsRenamed(
         {"rain_bsn_in_next": "rain_bsn_next", "rain_dam_in_next": "rain_dam_next", "rainfall_total_next": "rainfall_next"}
@@ -97,7 +105,25 @@ class MonthlyForecast:
     predictions: DataFrame
     scores: DataFrame
     best: DataFrame
-    intervals: DataFrame  # every banded model on the test rows
+    intervals: DataFrame | None  # every banded model on the test rows
+    names: list[str]
+
+    def report(self) -> DataFrame:
+        """Test months with one column per model and the band columns of the banded ones."""
+        test = self.predictions.where("split = 'test'")
+        columns = {n: f"y_{short}" for n, short in REPORT_MODELS.items() if n in self.names}
+        wide = evaluation.widen_predictions(test, columns, ["series_id", "date", "year", "month"])
+        if self.intervals is None:
+            return wide
+        cells = [
+            F.max(F.when(F.col("name") == n, F.col(f"y_{b}"))).alias(f"{columns[n]}_{b}")
+            for n in BANDED if n in self.names for b in bands.LEVELS
+        ]
+        return wide.join(self.intervals.groupBy("series_id", "date").agg(*cells), ["series_id", "date"])
+
+    def write(self, folder: str, fmt: str = "csv") -> None:
+        write_result(score_report(self.scores), f"{folder}/metrics_monthly", fmt, order_by=["split", "RMSE", "name"])
+        write_result(self.report(), f"{folder}/predictions_monthly", fmt, order_by=["date"])
 
 
 def monthly_forecast(
@@ -149,12 +175,12 @@ def monthly_forecast(
     )
     scores = evaluation.score(long, ["series_id", "split", "name"])
     banded = None
-    for name in [m for m in ("linear", "forest", "boosted") if m in columns]:
+    for name in [m for m in BANDED if m in columns]:
         mine = long.where(F.col("name") == name)
         residual = mine.where("split = 'val'").withColumn("residual", F.col("y_true") - F.col("y_pred"))
         part = bands.with_intervals(mine.where("split = 'test'"), bands.residual_bands(residual, "residual"))
         banded = part if banded is None else banded.unionByName(part)
-    return MonthlyForecast(long, scores, evaluation.best_model(scores, metric="mae"), banded)
+    return MonthlyForecast(long, scores, evaluation.best_model(scores, metric="mae"), banded, list(columns))
 
 
 def month_history_table(log: DataFrame, lags: int = 5, how: str = "sums") -> DataFrame:

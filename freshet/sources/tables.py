@@ -15,16 +15,20 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).csv(path)
 
 
-def daily_log(raw: DataFrame, series_id: str = "basin") -> DataFrame:
+def daily_log(raw: DataFrame, series_id: str | None = "basin") -> DataFrame:
     """Typed daily rows from a combined log (file headers or our names).
 
+    Every row gets ``series_id``, or its station when that is None.
+
     The month may be a number or a code; rows without a real date are dropped; measures that the file lacks are
     left out.
     """
     table = raw.withColumnsRenamed(schemas.LOG_RENAMES)
     require_columns(table, ["year", "month", "day", "inflow_adj", "rain_dam_in", "rain_bsn_in"], "daily log")
     measures = [c for c in schemas.MEASURES if c in table.columns]
+    series = F.col("station") if series_id is None else F.lit(series_id)
     parts = table.select(
+        series.alias("series_id"),
         F.col("year").try_cast("int").alias("year"),
         month_number(F.col("month")).alias("month"),
         F.col("day").try_cast("int").alias("day"),
@@ -32,7 +36,7 @@ def daily_log(raw: DataFrame, series_id: str = "basin") -> DataFrame:
     )
     dated = parts.withColumn("date_day", date_from_parts(F.col("year"), F.col("month"), F.col("day")))
     return dated.where(F.col("date_day").isNotNull()).select(
-        F.lit(series_id).alias("series_id"), "date_day", "year", "month", "day", *measures
+        "series_id", "date_day", "year", "month", "day", *measures
     )
 
 
@@ -57,8 +61,16 @@ def subbasin_rows(raw: DataFrame, value_header: str, value: str, series_id: str
     ).na.drop(subset=["date_day", "area"])
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write a result; parquet by default, CSV with header on request, split into folders when asked."""
+def write_result(
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: list[str] | None = None,
+    order_by: list[str] | None = None,
+) -> None:
+    """Write a result; parquet by default, CSV with header on request, split into folders or sorted when asked."""
+    if order_by:
+        df = df.orderBy(*order_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)

@@ -16,9 +16,14 @@ def read_text_logs(
 ) -> DataFrame:
     """Every log file under ``path`` as typed daily rows, optionally for a span of years.
 
-    One file is one month (about 50 lines), so a whole file per row is small; files spread over tasks.
+    One file is one month (about 50 lines), so a whole file per row is small; files spread over tasks. With both
+    years given, files of other years are not even opened.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
+    reader = spark.read
+    if first_year is not None and last_year is not None:
+        years = ",".join(str(y) for y in range(first_year, last_year + 1))
+        reader = reader.option("pathGlobFilter", f"*_{{{years}}}.txt")
+    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
     return parse_text_logs(files, first_year, last_year)
 
 

@@ -53,9 +53,28 @@ def test_forced_model_must_be_configured(log):
         daily.daily_forecast(log, config=daily.DailyConfig(2017, 2018, models=("linear",), force_best="forest"))
 
 
-def test_forced_model_wins(log):
-    config = daily.DailyConfig(2017, 2018, models=("linear", "ridge"), force_best="ridge")
-    assert daily.daily_forecast(log, config=config).best.first().name == "ridge"
+def test_forced_model_wins_and_results_are_written(log, spark, tmp_path):
+    config = daily.DailyConfig(2017, 2018, models=("linear", "ridge"), force_best="ridge", issue_day=2)
+    out = daily.daily_forecast(log, config=config)
+    assert out.best.first().name == "ridge"
+    out.write(str(tmp_path))
+    read = lambda name: spark.read.option("header", True).csv(str(tmp_path / name))
+    scores = read("metrics_daily_next30")
+    assert {"split", "name", "MAE", "RMSE", "R2", "NSE", "FloodMAE", "EventRecall"} <= set(scores.columns)
+    assert scores.count() == 6
+    days = [r.date_day for r in read("predictions_daily_next30_with_ci").collect()]
+    assert days == sorted(days) and len(days) > 300
+    assert all(r.date_day.endswith("-02") for r in read("predictions_monthly_issue_day2_next30_with_ci").collect())
+    cadence = read("metrics_issue_cadence_next30").collect()
+    assert [(r.cadence, r.model) for r in cadence] == [("daily_all", "ridge"), ("monthly_day2", "ridge")]
+
+
+def test_soil_features_enter_the_model(log):
+    hours = log.select("series_id", F.col("date_day").cast("timestamp_ntz").alias("time"), F.col("rain_bsn_in").alias("soil"))
+    table = daily.daily_features(log, hours)
+    config = daily.DailyConfig(2017, 2018, features=["sm_7d_mean", "qin_30d_mean"])
+    rows, chosen = daily.model_table(table, None, config)
+    assert chosen == ["sm_7d_mean", "qin_30d_mean"] and rows.count() == 365 * 5 - 29 - 30
 
 
 def test_panel_features_must_exist(log, panel_sides):
@@ -91,6 +110,9 @@ def test_monthly_forecast_end_to_end(log, spark):
     banded = out.intervals.collect()
     assert {r.name for r in banded} == {"linear", "forest", "boosted"}
     assert all(r.y_lo90 <= r.y_hi90 for r in banded)
+    report = out.report()
+    assert {"y_lin", "y_ridge", "y_lasso", "y_last", "y_rf", "y_xgb", "y_lin_lo90", "y_xgb_hi50"} <= set(report.columns)
+    assert report.count() == len({r.date for r in banded})
 
 
 def test_monthly_features_fit_scope(log):

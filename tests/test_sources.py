@@ -93,3 +93,21 @@ def test_literal_table_difference_and_correlation(spark):
     w = SeriesWindow(order=["A"])
     assert [r.d for r in df.select(w.difference("B").alias("d")).collect()] == [None, -1, -1, -1, -1]
     assert df.agg(F.corr("A", "B")).first()[0] == pytest.approx(-1)
+
+
+def test_ingest_writes_one_pruned_table(spark, tmp_path):
+    from freshet.plans import ingest
+
+    logs, out = tmp_path / "logs", str(tmp_path / "table")
+    logs.mkdir()
+    for station in ("LAKE", "POND"):
+        (logs / f"{station}_JAN_2017.txt").write_text(log_text(10, [1, 2]))
+        (logs / f"{station}_FEB_2018.txt").write_text(log_text(11, [3]).replace("0.5 ", "0.5"))
+    ingest.combine_text_logs(spark, str(logs), out)
+    log = ingest.read_combined(spark, out)
+    assert sorted((r.series_id, r.date_day) for r in log.collect()) == [
+        (s, d) for s in ("LAKE", "POND") for d in (date(2017, 1, 1), date(2017, 1, 2), date(2018, 2, 3))
+    ]
+    late = ingest.read_combined(spark, out, first_year=2018, series_id="all")
+    assert {r.series_id for r in late.collect()} == {"all"} and late.count() == 2
+    assert "PartitionFilters: [isnotnull(year" in late._jdf.queryExecution().toString()
