@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from freshet.catalog.months import HISTORY, rounded
 from freshet.catalog.registry import query
 from freshet.catalog.sqltext import select
-from freshet.catalog.tables import PRIORITY, daily_log, priority_log
+from freshet.catalog.tables import PRIORITY, daily_log, priority_log, table
 from freshet.functions.calendar import season
 from freshet.functions.numeric import interval_band, sigma_band
-from freshet.operators import distributions, products
+from freshet.operators import distributions, products, quantiles
 from freshet.plans.monthly import month_history_table
 
 BY = ["series_id", "month"]
@@ -293,3 +293,18 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     clipped = distributions.winsorized(_daily(spark, sf_dir), "x", 0.01, "clipped")
     return rounded(clipped, {"clipped": 7})
+
+
+@query(
+    "pooled_quantiles",
+    f"""SELECT l_returnflag, count(*) AS n, {', '.join(
+        f"round(quantile_cont(l_extendedprice * l_quantity, {p}), 5) AS {distributions.quantile_name(p)}" for p in (0.01, *_Q, 0.99))}
+FROM lineitem GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """A few groups that hold all line items between them."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", (F.col("l_extendedprice") * F.col("l_quantity")).alias("amount")
+    )
+    out = quantiles.pooled_quantiles(lines, "amount", [0.01, *_Q, 0.99], ["l_returnflag"])
+    return rounded(out, {distributions.quantile_name(p): 5 for p in (0.01, *_Q, 0.99)})

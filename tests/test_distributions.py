@@ -131,3 +131,28 @@ def test_correlation_skips_pairs_with_a_null(frame):
                "series_id string, x double, y double, z double")
     r = dist.correlation(df, {"xy": ("x", "y"), "xz": ("x", "z")}).first()
     assert r.xy == pytest.approx(1) and r.xz == pytest.approx(-1)
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_pooled_quantiles_are_exact(spark, monkeypatch, broadcast_rows):
+    from freshet.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 200)
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 2000)
+    monkeypatch.setattr(quantiles, "_BROADCAST_ROWS", broadcast_rows)
+    rng = np.random.default_rng(4)
+    x = {
+        "smooth": rng.normal(size=30_000),
+        "tied": np.where(rng.random(20_000) < 0.6, 0.0, rng.integers(0, 5, 20_000).astype(float)),
+        "outlier": np.append(rng.random(9_000), 1e12),
+        "small": rng.random(7),
+        None: np.array([3.0]),
+    }
+    rows = [(k, float(v)) for k, values in x.items() for v in values] + [("small", None), ("small", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(16)
+    levels = [0.05, 0.5, 0.75, 0.975]
+    got = {r.g: r for r in quantiles.pooled_quantiles(df, "x", levels, ["g"]).collect()}
+    for k, values in x.items():
+        assert got[k].n == len(values)
+        mine = [got[k][dist.quantile_name(p)] for p in levels]
+        assert mine == pytest.approx(np.quantile(values, levels).tolist()), k
