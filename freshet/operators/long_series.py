@@ -63,7 +63,8 @@ def chunked_windows(
         F.when(offset >= chunk_rows - back, home + 1),
         F.when((offset < ahead) & (home > 0), home - 1),
     )
-    spread = numbered.withColumn("_home", home).withColumn("_chunk", F.explode(F.array_compact(targets)))
+    spread = numbered.withColumn("_home", home).withColumn("_chunk", F.explode(targets))
+    spread = spread.where(F.col("_chunk").isNotNull())
     w = SeriesWindow([*series, "_chunk"], ["position"], position="position")
     return (
         spread.select("*", *features(w))

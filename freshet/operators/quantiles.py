@@ -45,10 +45,10 @@ def pooled_quantiles(df: DataFrame, value: str, levels: list[float], by: list[st
     inside = [F.when(small | x.between(low[i], high[i]), place(F.lit(i), x)) for i in range(k)]
     # lower ends rise with the level: a row lies below the brackets from this one on
     first_above = sum((F.when(small | (low[i] <= x), 1).otherwise(0) for i in range(k)), F.lit(0))
-    places = F.explode(F.array_compact(F.array(place(first_above, F.lit(None)), *inside))).alias("p")
-    counted = durable(
-        with_group(known, groups).select(*by, places).groupBy(*by, "p.level", "p.x").agg(F.count(F.lit(1)).alias("_c"))
-    )
+    # nulls are filtered after the explode: that stays in generated code, array_compact would not
+    places = F.explode(F.array(place(first_above, F.lit(None)), *inside)).alias("p")
+    placed = with_group(known, groups).select(*by, places).where(F.col("p").isNotNull())
+    counted = durable(placed.groupBy(*by, "p.level", "p.x").agg(F.count(F.lit(1)).alias("_c")))
     below = [F.sum(F.when(F.col("level") <= i, F.col("_c")).otherwise(0)) for i in range(k)]
     bases = counted.where(F.col("x").isNull()).groupBy(*by).agg(F.array(*below).alias("_below"), F.sum("_c").alias("_n"))
     upto = Window.partitionBy(*by, "level").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
