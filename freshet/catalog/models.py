@@ -10,7 +10,7 @@ from freshet.catalog.panels import SUBBASINS
 from freshet.catalog.registry import query
 from freshet.catalog.sqltext import MONTH_MEANS, over, select
 from freshet.catalog.tables import (
-    DAILY, HEAVY, PRIORITY, SERIES, TRAIN_END, VAL_END, daily_log, priority_log, rain_by_area, soil_by_area, soil_hours,
+    DAILY, PRIORITY, TRAIN_END, VAL_END, daily_log, priority_log, rain_by_area, soil_by_area,
 )
 from freshet.catalog.windows import FEATURES_SQL
 from freshet.functions.numeric import from_log_target

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from freshet.catalog.registry import query
 from freshet.catalog.sqltext import FLOWS, MONTH_MEANS, MONTH_SUMS, over, rows, select
 from freshet.catalog.tables import (
-    DAILY, HEAVY, PRIORITY, SERIES, SOIL, TRAIN_END, VAL_END, daily_log, priority_log, soil_hours,
+    DAILY, HEAVY, PRIORITY, SOIL, TRAIN_END, VAL_END, daily_log, priority_log, soil_hours,
 )
 from freshet.functions import calendar
-from freshet.functions.numeric import strict_total, to_double
 from freshet.operators import aggregates, distributions
 from freshet.operators.scaling import mean_imputed
 from freshet.operators.windows import SeriesWindow

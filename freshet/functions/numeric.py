@@ -39,10 +39,6 @@ def round_half_even(column: Column, digits: int = 2) -> Column:
     return F.bround(column, digits)
 
 
-def clip(column: Column, low: Column, high: Column) -> Column:
-    return F.when(column < low, low).when(column > high, high).otherwise(column)
-
-
 def log_target(column: Column) -> Column:
     return F.log1p(column)
 

@@ -93,7 +93,7 @@ def with_next_month_climatology(
     )
 
 
-def month_history(df: DataFrame, value: str, month: int, positive_only: bool = False) -> Column | DataFrame:
+def month_history(df: DataFrame, value: str, month: int, positive_only: bool = False) -> DataFrame:
     """Historical mean of one calendar month per series."""
     rows = df.where(F.col("month") == month)
     if positive_only:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.calendar import cycle_cos, cycle_sin, DAYS_PER_YEAR
 from freshet.functions.numeric import from_log_target, log_target, zero_if_null
 from freshet.operators import aggregates, bands, evaluation, linear, panel, trees
+from freshet.operators.scaling import mean_imputed
 from freshet.operators.windows import SeriesWindow
 from freshet.plans.reports import score_report
 from freshet.session import durable
@@ -35,6 +36,7 @@ class DailyConfig:
     force_best: str | None = None
     issue_day: int = 1
     tree_share: float = 1.0  # share of the published tree counts, for trial runs
+    impute_before_drop: bool = False  # fill features with their training mean instead of dropping the row
     features: list[str] = field(default_factory=lambda: list(DAILY_FEATURES))
 
 
@@ -101,8 +103,10 @@ def model_table(features: DataFrame, sub: DataFrame | None, config: DailyConfig)
     rows = table.select(
         "series_id", "date_day", "year", "month", *chosen,
         F.col("inflow_next30").alias("y_true"), F.col("inflow_next30_log").alias("y_log"),
-    ).na.drop()
-    rows = rows.withColumn("split", evaluation.split_by_year(F.col("year"), config.train_end, config.val_end))
+    ).withColumn("split", evaluation.split_by_year(F.col("year"), config.train_end, config.val_end))
+    if config.impute_before_drop:
+        rows = mean_imputed(rows, chosen, F.col("split") == "train")
+    rows = rows.na.drop()
     rows = evaluation.train_quantiles(rows, "y_true", {"flood": FLOOD_QUANTILE, "event": EVENT_QUANTILE})
     weight = evaluation.tail_weight(F.col("y_true"), F.col("event"), F.col("flood"), EVENT_WEIGHT, FLOOD_WEIGHT)
     high = (F.col("y_true") >= F.col("event")).cast("double")

@@ -10,6 +10,7 @@ from freshet.functions.calendar import climatology_row_label, cycle_cos, cycle_s
 from freshet.functions.numeric import at_least, from_log_target, log_target, strict_total, zero_if_null
 from freshet.operators import aggregates, bands, distributions, evaluation, linear, trees
 from freshet.operators.products import interval_offsets, latest_years, sigma_intervals
+from freshet.operators.scaling import mean_imputed
 from freshet.operators.windows import SeriesWindow, append_future_rows, latest_rows
 from freshet.plans.reports import score_report
 from freshet.session import durable
@@ -136,6 +137,7 @@ def monthly_forecast(
     models: tuple[str, ...] = ("linear", "ridge", "lasso", "forest", "boosted", "last_value"),
     tree_share: float = 1.0,
     fit_scope: str = "train",
+    impute_before_drop: bool = False,
 ) -> MonthlyForecast:
     """Next-month inflow by every model, scores per split, and residual bands from the validation rows."""
     log = durable(log)
@@ -145,9 +147,11 @@ def monthly_forecast(
     rows = table.select(
         "series_id", "date", "year", "month", *chosen, "inflow_adj",
         F.col("y_next").alias("y_true"), F.col("y_next_log").alias("y_log"),
-    ).na.drop()
-    split = evaluation.split_by_year(F.col("year"), train_end, val_end, exclude_years)
-    rows = durable(rows.withColumn("split", split).where("split is not null"))
+        evaluation.split_by_year(F.col("year"), train_end, val_end, exclude_years).alias("split"),
+    )
+    if impute_before_drop:
+        rows = mean_imputed(rows, chosen, F.col("split") == "train")
+    rows = durable(rows.na.drop())
     train = rows.where("split = 'train'")
     out, columns = rows, {}
     for name in models:

@@ -5,7 +5,7 @@ CSV columns are read as text and cast with try_cast, so one bad field is a null
 
 from __future__ import annotations
 
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 # The ten fields of a log line in file order, as (header in the files, name here).
 LOG_FIELDS = [
@@ -37,13 +37,4 @@ SUBBASIN_SOIL = "sm_aw"
 LOG_RENAMES = dict(LOG_FIELDS)
 MEASURES = [name for _, name in LOG_FIELDS if name != "day"]
 
-DAILY_LOG = StructType(
-    [StructField("year", IntegerType()), StructField("month", IntegerType()), StructField("day", IntegerType())]
-    + [StructField(name, DoubleType(), True, {"header": header}) for header, name in LOG_FIELDS if name != "day"]
-)
-
 SMALL_TABLE = StructType([StructField(c, LongType()) for c in "ABCDE"])
-
-
-def text_schema(columns: list[str]) -> StructType:
-    return StructType([StructField(c, StringType()) for c in columns])

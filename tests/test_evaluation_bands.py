@@ -98,7 +98,7 @@ def test_thresholds_weights_outliers_trend(frame):
 
 
 def expected_bands(residuals):
-    """Reference calculation in numpy for {month: residuals}."""
+    """The same bands in numpy from {month: residuals}."""
     season = lambda m: {12: 0, 1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2, 8: 2}.get(m, 3)
     every = np.concatenate([np.asarray(v, float) for v in residuals.values()])
     lo, hi = np.quantile(every, [0.01, 0.99])

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.operators import linear
+from freshet.plans.reports import simulation_report
 
 NAMES = ["a", "b", "c"]
 
@@ -123,6 +124,9 @@ def test_simulation_fills_missing_inputs_and_clips(frame):
     assert set(out) == {2000, 2001, 2002, 2003, 2004, 2010}
     assert all(r.predicted_inflow >= 0 for r in out.values()) and out[2003].simulated_rain == 3
     assert out[2010].predicted_inflow == pytest.approx(20, abs=0.01)  # both inputs at their means
+    names = {"Year (used)", "Month used for rainfall", "Simulated rainfall__1", "Predicted inflow__1"}
+    assert names <= set(simulation_report(linear.simulated_by_year(
+        df, ["rain", "rain_next"], "y", 1, "rain", "rain_next")).columns)
     fitted = linear.fitted_by_year(df, ["rain", "rain_next"], "y", 1)
     assert {r.year: round(r.predicted_inflow, 6) for r in fitted.collect()} == {2000 + i: 10.0 * i for i in range(5)}
 

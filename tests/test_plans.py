@@ -75,6 +75,12 @@ def test_soil_features_enter_the_model(log):
     config = daily.DailyConfig(2017, 2018, features=["sm_7d_mean", "qin_30d_mean"])
     rows, chosen = daily.model_table(table, None, config)
     assert chosen == ["sm_7d_mean", "qin_30d_mean"] and rows.count() == 365 * 5 - 29 - 30
+    late = hours.where("year(time) > 2015")
+    kept = lambda impute: daily.model_table(
+        daily.daily_features(log, late), None,
+        daily.DailyConfig(2017, 2018, features=["sm_1d"], impute_before_drop=impute),
+    )[0].where("year = 2015").count()
+    assert kept(False) == 0 and kept(True) == 365 - 29
 
 
 def test_panel_features_must_exist(log, panel_sides):
