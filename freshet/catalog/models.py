@@ -692,12 +692,38 @@ def _(spark, sf_dir):
     return rounded(scores, {"mae": 4, "rmse": 4, "r2": 7, "nse": 7})
 
 
-@query("month_outlook")
+_ENDS = {"lower_50": 0.25, "upper_50": 0.75, "lower_95": 0.025, "upper_95": 0.975}
+OUTLOOK = (
+    GAMMA_ML + ", " + _quantiles_sql("(SELECT * FROM shapes WHERE month = 1)", _ENDS)
+    + ", " + nonnegative2_sql("history", "rainfall", "rainfall_next", "inflow_next", "m") + """,
+fitted AS (
+  SELECT h.series_id, h.year, b0 + w0 * rainfall + w1 * rainfall_next AS predicted_inflow
+  FROM history h JOIN m USING (series_id) WHERE h.month = 1 AND rainfall_next IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY h.series_id ORDER BY h.year DESC) <= 12),
+spread AS (
+  SELECT series_id, avg(rainfall) AS mean, stddev_samp(rainfall) AS sigma FROM history
+  WHERE month = 1 AND rainfall > 0 GROUP BY 1),
+reach AS (
+  SELECT series_id, mean, """ + ", ".join(f"max(mean / shape * z) FILTER (name = '{n}') AS {n}" for n in _ENDS) + """
+  FROM found GROUP BY 1, 2)"""
+)
+_OUTLOOK_DIGITS = {"predicted_inflow": 0, "mean": 4, "low_1s": 4, "high_1s": 4, "low_2s": 4, "high_2s": 4,
+                   "down_50": 3, "down_95": 3, "up_50": 3, "up_95": 3}
+
+
+@query(
+    "month_outlook",
+    select(OUTLOOK, """SELECT f.series_id, f.year, round(predicted_inflow, 0) AS predicted_inflow, round(s.mean, 4) AS mean,
+  round(s.mean - sigma, 4) AS low_1s, round(s.mean + sigma, 4) AS high_1s, round(s.mean - 2 * sigma, 4) AS low_2s,
+  round(s.mean + 2 * sigma, 4) AS high_2s, round(r.mean - lower_50, 3) AS down_50, round(r.mean - lower_95, 3) AS down_95,
+  round(upper_50 - r.mean, 3) AS up_50, round(upper_95 - r.mean, 3) AS up_95
+FROM fitted f JOIN spread s ON f.series_id = s.series_id JOIN reach r ON f.series_id = r.series_id"""),
+)
 def _(spark, sf_dir):
-    """Fitted January inflow with four inputs, beside the normal and gamma intervals of January's rain."""
-    outlook = monthly_plan.month_outlook(durable(daily_log(spark, sf_dir)), 1)
-    normal = outlook.normal.drop("mean", "month")
-    return outlook.fitted.join(normal, "series_id").join(outlook.gamma.drop("month"), "series_id")
+    """Fitted January inflow of the latest years, beside the normal and gamma intervals of January's rain."""
+    outlook = monthly_plan.month_outlook(durable(daily_log(spark, sf_dir)), 1, TALL2)
+    both = outlook.fitted.join(outlook.normal.drop("month"), "series_id")
+    return rounded(both.join(outlook.gamma.drop("month", "mean"), "series_id"), _OUTLOOK_DIGITS)
 
 
 @query(

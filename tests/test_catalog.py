@@ -14,10 +14,10 @@ import check_sql  # noqa: E402
 SF_DIR = "/root/testdata/sf0.001"
 contract = check_sql.contract
 
-# no SQL form: trees, a penalty search over several features, and reports built on them or on four-input fits
+# no SQL form: trees, a penalty search over several features, and reports built on them
 WITHOUT_SQL = {
     "forest", "weighted_forest", "regime_blend", "boosted_trees", "daily_forecast", "monthly_forecast",
-    "lasso_cv_daily", "month_outlook",
+    "lasso_cv_daily",
 }
 
 
