@@ -24,3 +24,10 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     from freshet.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_best_two_fit_packing(spark, sf_dir):
+    from freshet.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
