@@ -31,3 +31,10 @@ def op4_best_two_fit_packing(spark, sf_dir):
     from freshet.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality_divergence(spark, sf_dir):
+    from freshet.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
