@@ -38,6 +38,10 @@ from freshet.session import durable
 FLUSH_ROWS = 1 << 20
 #: members of a signature group in one row
 GROUP_ROWS = 10_000
+#: 64-bit words of a set's parity bits
+PARITY_LONGS = 16
+#: 64-bit words of the fixed-size filter of wanted ids
+FILTER_LONGS = 1 << 17
 _HOT = np.uint64(1 << 63)
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -117,24 +121,38 @@ def signatures(u: np.ndarray, spread: np.ndarray, wide: np.ndarray, instance: in
 
 
 def shingle_counts(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, n_shingles, code): the size of each document's shingle set and a code of the set."""
+    """(doc_id, n_shingles, code, parity): size, code and parity bits of each document's shingle set.
+
+    Bit i of ``parity`` tells whether an odd number of shingles falls on i, so two sets differ in at least as many
+    shingles as their parities have different bits.
+    """
     words = params.words
 
     def run(batches):
         for batch in batches:
-            sizes, codes = [], []
+            sizes, codes, bits = [], [], []
             for _, _, u, borders in _sets(batch.column(1), words):
-                n = np.diff(borders)
+                n, spread = np.diff(borders), mix(u + _C1)
                 sizes.append(n)
-                codes.append(set_code(_row_sums(mix(u + _C1), borders), n))
+                codes.append(set_code(_row_sums(spread, borders), n))
+                odd = np.zeros(len(n) * PARITY_LONGS, dtype=np.uint64)
+                bit = spread & np.uint64(64 * PARITY_LONGS - 1)
+                at = np.repeat(np.arange(len(n)) * PARITY_LONGS, n) + (bit >> np.uint64(6)).astype(np.int64)
+                np.bitwise_xor.at(odd, at, np.uint64(1) << (bit & np.uint64(63)))
+                bits.append(odd.view(np.int64))
             if sizes:
+                rows = len(batch)
+                parity = pa.ListArray.from_arrays(
+                    pa.array(np.arange(0, rows + 1, dtype=np.int32) * PARITY_LONGS), pa.array(np.concatenate(bits))
+                )
+                size, code = np.concatenate(sizes), np.concatenate(codes).view(np.int64)
                 yield pa.record_batch(
-                    [batch.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(codes).view(np.int64))],
-                    names=["doc_id", "n_shingles", "code"],
+                    [batch.column(0), pa.array(size), pa.array(code), parity],
+                    names=["doc_id", "n_shingles", "code", "parity"],
                 )
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    return own.mapInArrow(run, "doc_id long, n_shingles long, code long")
+    return own.mapInArrow(run, "doc_id long, n_shingles long, code long, parity array<long>")
 
 
 def widespread_shingles(docs: DataFrame, params: JoinParams = JoinParams()) -> np.ndarray:
@@ -163,25 +181,28 @@ def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
     words, percent = params.words, params.percent
     wide_codes = spark.sparkContext.broadcast(widespread_shingles(docs, params))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * tasks
+    buckets = 2 * tasks
 
     def flush(sigs, codes):
+        """Rows of a bucket in one: 6 bytes of each signature, and the sets' codes with their numbers of rows."""
         sig, code = np.concatenate(sigs), np.concatenate(codes)
-        order = np.argsort(sig)
-        sig, code = sig[order], code[order]
         # the low bits are even for common and for widespread signatures alike
         bucket = (sig & np.uint64((1 << 20) - 1)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        sig, code, bucket = sig[order], code[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        full = np.flatnonzero(cut[1:] > cut[:-1])
+        order = np.lexsort((code, bucket))
+        sig, code = (sig[order] >> np.uint64(16)), code[order]
+        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        short = sig.view(np.uint8).reshape(-1, 8)[:, :6]
+        names, out = [], ([], [], [])
+        for b in np.flatnonzero(cut[1:] > cut[:-1]):
+            own = code[cut[b]:cut[b + 1]]
+            at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            names.append(b)
+            out[0].append(short[cut[b]:cut[b + 1]].tobytes())
+            out[1].append(own[at].tobytes())
+            out[2].append(np.diff(np.append(at, len(own))).astype(np.uint32).tobytes())
         return pa.record_batch(
-            [
-                pa.array(full.astype(np.int32)),
-                pa.array([sig[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary()),
-                pa.array([code[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary()),
-            ],
-            names=["bucket", "sigs", "codes"],
+            [pa.array(names, pa.int32()), *[pa.array(x, pa.binary()) for x in out]],
+            names=["bucket", "sigs", "codes", "counts"],
         )
 
     def show(batches):
@@ -214,9 +235,14 @@ def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
     def group(batches):
         sigs, codes = [], []
         for batch in batches:
-            for s, c in zip(batch.column(0), batch.column(1), strict=True):
-                sigs.append(np.frombuffer(s.as_py(), dtype=np.uint64))
-                codes.append(np.frombuffer(c.as_py(), dtype=np.uint64))
+            for bucket, s, c, n in zip(*batch.columns, strict=True):
+                short = np.frombuffer(s.as_py(), dtype=np.uint8).reshape(-1, 6)
+                wide = np.empty((len(short), 8), dtype=np.uint8)
+                wide[:, :6] = short
+                wide[:, 6:] = np.array([bucket.as_py() & 0xFFFF], dtype=np.uint16).view(np.uint8)
+                sigs.append(wide.reshape(-1).view(np.uint64))
+                counts = np.frombuffer(n.as_py(), dtype=np.uint32)
+                codes.append(np.repeat(np.frombuffer(c.as_py(), dtype=np.uint64), counts))
         if not sigs:
             return
         sig = np.concatenate(sigs)
@@ -256,37 +282,65 @@ def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
                 names=["grp", "chunk", "members"],
             )
 
-    rows = docs.select("text").mapInArrow(show, "bucket int, sigs binary, codes binary")
+    rows = docs.select("text").mapInArrow(show, "bucket int, sigs binary, codes binary, counts binary")
     groups = (
-        rows.repartition(tasks, "bucket").select("sigs", "codes")
+        rows.repartition(tasks, "bucket")
         .mapInArrow(group, "grp long, chunk int, members array<long>")
         .groupBy("grp", "chunk").agg(F.first("members").alias("members"))
     )
     return groups.select("grp", F.explode("members").alias("code"))
 
 
-def shingle_arrays(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, shingles): distinct shingle codes of each document, ascending as unsigned numbers."""
-    words = params.words
+def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """(doc_id, shingles): shingle sets of the documents whose id is in ``ids`` (id), and of a few others.
+
+    ``ids`` become a bit filter of fixed size, so that texts are not exchanged to be selected.
+    """
+    words, spark = params.words, docs.sparkSession
+    code = F.xxhash64("id")
+    place = F.pmod(code, F.lit(FILTER_LONGS))
+    found = (
+        ids.groupBy(place.cast("int").alias("at"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(xxhash64(id), 40) & 63 as int))")).alias("bits"))
+        .toPandas()
+    )
+    bits = np.zeros(FILTER_LONGS, dtype=np.int64)
+    bits[found["at"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    wanted = spark.sparkContext.broadcast(bits.view(np.uint64))
 
     def run(batches):
         for batch in batches:
+            place, shift = (np.asarray(batch.column(i)) for i in (2, 3))
+            mine = (wanted.value[place] >> shift.astype(np.uint64)) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(mine))
             for first, last, u, borders in _sets(batch.column(1), words):
                 lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(u.view(np.int64)))
                 yield pa.record_batch([batch.column(0).slice(first, last - first), lists], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    shift = F.expr("shiftrightunsigned(xxhash64(id), 40) & 63")
+    return own.select("id", "text", place, shift).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``pairs`` whose sets reach the threshold."""
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b")
-        .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+def _verified(pairs: DataFrame, counts: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` whose sets reach the threshold.
+
+    Sizes and parity bits bound the overlap from above, so most pairs fall without a look at the sets.
+    """
+    p = params.percent
+    facts = counts.groupBy("doc_id").agg(F.max_by("parity", "n_shingles").alias("parity"), F.max("n_shingles").alias("n"))
+    side = lambda x: facts.select(F.col("doc_id").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("n").alias(f"n_{x}"))
+    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_LONGS)), F.lit(0))
+    near = durable(
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .filter(differ * (100 + p) <= (F.col("n_a") + F.col("n_b")) * (100 - p)).select("a", "b")
     )
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    return both.withColumn("common", common).filter(
-        F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * percent
+    of = lambda x: shingle_arrays(docs, near.select(F.col(x).alias("id")), params).select(
+        F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")
+    )
+    both = near.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    return both.filter(
+        F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * p
     ).select("a", "b")
 
 
@@ -300,14 +354,15 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")
     )
     members = durable(signature_groups(docs, params).join(distinct, "code").select("grp", "rep", "n"))
-    pivots = members.groupBy("grp").agg(F.min("rep").alias("a"))
-    stars = members.join(pivots, "grp").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    stars = durable(stars)
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a repeated id would multiply its links, so one set per id is kept
-    sets = durable(shingle_arrays(own.join(wanted, "doc_id", "left_semi"), params).dropDuplicates(["doc_id"]))
-    links = durable(_verified(stars, sets, params.percent))
+    pivots = members.groupBy("grp").agg(F.min(F.struct("rep", "n")).alias("least")).select(
+        "grp", F.col("least.rep").alias("a"), F.col("least.n").alias("n_a")
+    )
+    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * params.percent
+    stars = durable(
+        members.join(pivots, "grp").filter((F.col("rep") != F.col("a")) & alike("n", "n_a"))
+        .select("a", F.col("rep").alias("b")).distinct()
+    )
+    links = durable(_verified(stars, counts, docs, params))
     labels = components(links)
 
     named = durable(
@@ -318,21 +373,17 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     left = named.join(open_groups.select("grp"), "grp", "left_semi")
     right = left.select("grp", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     rest = (
-        left.join(right, "grp")
-        .filter(
-            (F.col("label") < F.col("label2"))
-            & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * params.percent)
-        )
+        left.join(right, "grp").filter((F.col("label") < F.col("label2")) & alike("n", "n2"))
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = durable(_verified(durable(rest), sets, params.percent))
+    more = durable(_verified(rest, counts, docs, params))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     classes = distinct.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
         "code", F.coalesce("component", "rep").alias("component")
     )
-    return counts.join(classes, "code", "left").select(
+    return counts.select("doc_id", "n_shingles", "code").join(classes, "code", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
