@@ -15,13 +15,17 @@ import pyarrow as pa
 #: bytes of text handled at once
 PIECE_BYTES = 2 << 20
 
+#: bytes that stand in no word: white space, or all ASCII but letters and digits
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+MARKS = np.ones(256, dtype=bool)
+MARKS[0x80:] = False
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
+
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE_CODE[_SPACE] = 0
 _BASE = np.uint64(int(_rng.integers(1, 1 << 62)) * 2 + 1)
 #: multipliers of the words of a shingle
 _PLACE = _rng.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,9 +58,9 @@ def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of each word; words end at the end of their row."""
-    inside = ~_SPACE[data]
+    inside = ~outside[data]
     if len(inside) == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
@@ -76,11 +80,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, rows
 
 
-def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit code of each word, the same for the same bytes wherever it stands."""
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, outside: np.ndarray = WHITE) -> np.ndarray:
+    """64-bit code of each word in lower case (A-Z), the same for the same bytes wherever it stands."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
-    codes = _BYTE_CODE[_LOWER[data] if lower else data]
+    codes = np.where(outside, np.uint64(0), _BYTE_CODE[_LOWER])[data]
     lengths = ends - starts
     place = np.zeros(len(data), dtype=np.int32)
     place[starts[0]:] = np.arange(starts[0], len(data), dtype=np.int32)

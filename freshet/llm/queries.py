@@ -38,3 +38,10 @@ def op8_quality_divergence(spark, sf_dir):
     from freshet.llm.quality import quality
 
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    from freshet.llm.decontaminate import benchmark_passages
+
+    return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
