@@ -45,3 +45,10 @@ def op6_benchmark_decontamination(spark, sf_dir):
     from freshet.llm.decontaminate import benchmark_passages
 
     return benchmark_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_pii_anchor_expansion(spark, sf_dir):
+    from freshet.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
