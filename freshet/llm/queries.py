@@ -52,3 +52,10 @@ def op3_pii_anchor_expansion(spark, sf_dir):
     from freshet.llm.pii import personal_data
 
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_context_tree_scoring(spark, sf_dir):
+    from freshet.llm.ctw import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
