@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.bytescan import mix, pieces, shingle_sets, word_bounds, word_codes
@@ -56,8 +56,8 @@ class JoinParams:
 
     percent: int = 75
     words: int = 5
-    sample_docs: int = 4096
-    widespread: int = 5
+    sample_docs: int = 16_384
+    widespread: int = 4
 
 
 class Bands:
@@ -72,21 +72,24 @@ class Bands:
             self.ends.append((self.ends[-1] + 1) * 100 // self.percent)
 
     def instances(self, size: int) -> list[tuple[int, int, int]]:
-        """(instance, allowed differences, partitions) in which a set of ``size`` shows signatures."""
+        """(instance, allowed differences, partitions) in which a set of ``size`` shows signatures.
+
+        The differences follow from the set's own size and the largest partner it can have there; the partitions from
+        the instance alone, as all its sets must be cut alike.
+        """
         self._grow(size)
         band = int(np.searchsorted(self.ends, size))
         self._grow(self.ends[band] + 1)
-        p, own, above = self.percent, self.ends[band], self.ends[band + 1]
-        k = 2 * own * (100 - p) // (100 + p)
-        out = [(band, k, _partitions(k))]
-        if size * 100 // p > own:
-            k_above = 2 * above * (100 - p) // (100 + p)
-            out.append((band + 1, (own + above) * (100 - p) // (100 + p), _partitions(k_above)))
+        p, largest = self.percent, size * 100 // self.percent
+        own, above = self.ends[band], self.ends[band + 1]
+        out = [(band, (size + min(own, largest)) * (100 - p) // (100 + p), self._partitions(own))]
+        if largest > own:
+            out.append((band + 1, (size + min(above, largest)) * (100 - p) // (100 + p), self._partitions(above)))
         return out
 
-
-def _partitions(k: int) -> int:
-    return k + (k + 1) // 2 + 6
+    def _partitions(self, largest: int) -> int:
+        k = 2 * largest * (100 - self.percent) // (100 + self.percent)
+        return 2 * k + 6
 
 
 def set_code(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -322,23 +325,21 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinPar
     return own.select("id", "text", place, shift).mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, counts: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs (a, b) of ``pairs`` whose sets reach the threshold.
+def _may_link(n: str, n2: str, parity: str, parity2: str, percent: int) -> Column:
+    """False only for sets that cannot link: sizes and parity bits bound their differences from below."""
+    differ = sum((F.bit_count(F.col(parity)[i].bitwiseXOR(F.col(parity2)[i])) for i in range(PARITY_LONGS)), F.lit(0))
+    return (F.least(n, n2) * 100 >= F.greatest(n, n2) * percent) & (
+        differ * (100 + percent) <= (F.col(n) + F.col(n2)) * (100 - percent)
+    )
 
-    Sizes and parity bits bound the overlap from above, so most pairs fall without a look at the sets.
-    """
+
+def _verified(pairs: DataFrame, docs: DataFrame, params: JoinParams) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` whose sets reach the threshold."""
     p = params.percent
-    facts = counts.groupBy("doc_id").agg(F.max_by("parity", "n_shingles").alias("parity"), F.max("n_shingles").alias("n"))
-    side = lambda x: facts.select(F.col("doc_id").alias(x), F.col("parity").alias(f"parity_{x}"), F.col("n").alias(f"n_{x}"))
-    differ = sum((F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY_LONGS)), F.lit(0))
-    near = durable(
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .filter(differ * (100 + p) <= (F.col("n_a") + F.col("n_b")) * (100 - p)).select("a", "b")
-    )
-    of = lambda x: shingle_arrays(docs, near.select(F.col(x).alias("id")), params).select(
+    of = lambda x: shingle_arrays(docs, pairs.select(F.col(x).alias("id")), params).select(
         F.col("doc_id").alias(x), F.col("shingles").alias(f"of_{x}")
     )
-    both = near.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    both = pairs.join(of("b"), "b").join(of("a"), "a").withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return both.filter(
         F.col("common") * 100 >= (F.size("of_a") + F.size("of_b") - F.col("common")) * p
     ).select("a", "b")
@@ -350,19 +351,24 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     component_id is the smallest doc_id that links reach, the document's own included.
     """
     counts = durable(shingle_counts(docs, params))
-    distinct = counts.filter("n_shingles > 0").groupBy("code").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")
-    )
-    members = durable(signature_groups(docs, params).join(distinct, "code").select("grp", "rep", "n"))
+    distinct = durable(counts.filter("n_shingles > 0").groupBy("code").agg(
+        F.min_by(F.struct("doc_id", "n_shingles", "parity"), "doc_id").alias("x")
+    ).select("code", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.parity"))
+    members = durable(signature_groups(docs, params).join(distinct.select("code", "rep", "n"), "code").drop("code"))
+    parity = distinct.select("rep", "parity")
+
     pivots = members.groupBy("grp").agg(F.min(F.struct("rep", "n")).alias("least")).select(
         "grp", F.col("least.rep").alias("a"), F.col("least.n").alias("n_a")
     )
-    alike = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * params.percent
-    stars = durable(
-        members.join(pivots, "grp").filter((F.col("rep") != F.col("a")) & alike("n", "n_a"))
-        .select("a", F.col("rep").alias("b")).distinct()
+    stars = (
+        members.join(pivots, "grp")
+        .filter((F.col("rep") != F.col("a")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * params.percent))
+        .select("a", "n_a", F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
+        .join(parity.toDF("a", "parity_a"), "a").join(parity.toDF("b", "parity_b"), "b")
+        .filter(_may_link("n_a", "n_b", "parity_a", "parity_b", params.percent)).select("a", "b")
     )
-    links = durable(_verified(stars, counts, docs, params))
+    stars = durable(stars)
+    links = durable(_verified(stars, docs, params))
     labels = components(links)
 
     named = durable(
@@ -370,14 +376,15 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
         .select("grp", "rep", "n", F.coalesce("component", "rep").alias("label"))
     )
     open_groups = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    left = named.join(open_groups.select("grp"), "grp", "left_semi")
-    right = left.select("grp", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    left = named.join(open_groups.select("grp"), "grp", "left_semi").join(parity, "rep")
+    right = left.select(*[F.col(c).alias(c if c == "grp" else f"{c}2") for c in left.columns])
     rest = (
-        left.join(right, "grp").filter((F.col("label") < F.col("label2")) & alike("n", "n2"))
+        left.join(right, (left["grp"] == right["grp"]) & (F.col("label") < F.col("label2"))
+                  & _may_link("n", "n2", "parity", "parity2", params.percent))
         .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = durable(_verified(rest, counts, docs, params))
+    more = durable(_verified(durable(rest), docs, params))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     classes = distinct.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(
