@@ -59,3 +59,10 @@ def op5_context_tree_scoring(spark, sf_dir):
     from freshet.llm.ctw import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secret_scan(spark, sf_dir):
+    from freshet.llm.secrets import secrets
+
+    return secrets(table(spark, sf_dir, "documents"))
