@@ -66,3 +66,10 @@ def op10_secret_scan(spark, sf_dir):
     from freshet.llm.secrets import secrets
 
     return secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_html_best_region(spark, sf_dir):
+    from freshet.llm.html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
