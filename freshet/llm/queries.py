@@ -73,3 +73,18 @@ def op1_html_best_region(spark, sf_dir):
     from freshet.llm.html_text import extracted
 
     return extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_toxicity_chain(spark, sf_dir):
+    from freshet.llm.toxicity import chain_scores
+
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    return chain_scores(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+@query
+def op9_language_fusion(spark, sf_dir):
+    from freshet.llm.language import page_languages
+
+    return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
