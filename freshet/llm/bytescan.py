@@ -80,17 +80,19 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = WHI
     return starts, ends, rows
 
 
+def since_start(n: int, starts: np.ndarray) -> np.ndarray:
+    """For each of ``n`` bytes its distance from the last of ``starts``, 0 before the first."""
+    edges = np.concatenate([[0], starts, [n]])
+    return np.arange(n, dtype=np.int32) - np.repeat(edges[:-1].astype(np.int32), np.diff(edges))
+
+
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, outside: np.ndarray = WHITE) -> np.ndarray:
     """64-bit code of each word in lower case (A-Z), the same for the same bytes wherever it stands."""
     if len(starts) == 0:
         return np.zeros(0, dtype=np.uint64)
     codes = np.where(outside, np.uint64(0), _BYTE_CODE[_LOWER])[data]
     lengths = ends - starts
-    place = np.zeros(len(data), dtype=np.int32)
-    place[starts[0]:] = np.arange(starts[0], len(data), dtype=np.int32)
-    place -= np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data)))) if starts[0] == 0 else np.concatenate(
-        [np.zeros(starts[0], dtype=np.int32), np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(data))))]
-    )
+    place = since_start(len(data), starts)
     longest = int(lengths.max())
     powers = np.ones(longest, dtype=np.uint64)
     if longest > 1:

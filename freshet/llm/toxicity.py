@@ -5,8 +5,8 @@ probabilities of the categories before it. For training, those probabilities are
 folds by their id, and a document's probability comes from a model that has not seen its fold, so a later model
 learns from inputs as good as those it will meet.
 
-Models are fitted on a sample of about ``max_labelled`` labelled documents. Their features are the words whose
-presence deviates most from independence of a category (chi-square over the sample), ``words`` for each category.
+Models are fitted on a sample of about ``max_labelled`` labelled documents. Their features are the words and beginnings
+of words whose presence deviates most from independence of a category (chi-square over the sample), ``words`` for each category.
 Every document is scored on its whole text, with numpy on Arrow batches. The decision threshold of a category is the
 one with the best F1 on the out-of-fold probabilities.
 
@@ -26,17 +26,21 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.bytescan import MARKS, pieces, word_bounds, word_codes
+from freshet.llm.bytescan import MARKS, pieces, since_start, word_bounds, word_codes
 from freshet.session import durable
 
 
+#: bytes of word beginnings
+PREFIXES = (4, 5, 6, 7)
+
+
 @dataclass(frozen=True)
 class ChainParams:
     max_labelled: int = 20_000
     words: int = 150
     least_documents: int = 5
     folds: int = 3
-    regularization: float = 0.003
+    regularization: float = 0.0005
 
 
 @dataclass
@@ -49,16 +53,35 @@ class Link:
     threshold: float = 0.5
 
 
-def word_presence(texts: pa.Array, features: np.ndarray):
-    """Yield (first row, row after the last, 0/1 matrix) for the sorted word codes ``features``."""
+def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, row) of every word and of the beginnings of longer words, which inflected forms share."""
+    starts, ends, rows = word_bounds(data, offsets, MARKS)
+    codes, owners = [word_codes(data, starts, ends, MARKS)], [rows]
+    if len(starts):
+        nth = since_start(len(data), starts)
+        for size in PREFIXES:
+            longer = ends - starts > size
+            cut = np.where(nth < size, data, np.uint8(0x20))
+            codes.append(word_codes(cut, starts[longer], starts[longer] + size, MARKS))
+            owners.append(rows[longer])
+    return np.concatenate(codes), np.concatenate(owners)
+
+
+def word_features(texts: pa.Array, features: np.ndarray):
+    """Yield (first row, row after the last, matrix): log(1 + count) of each of the sorted codes, and of all words / 10."""
     for first, last, data, offsets in pieces(texts):
-        starts, ends, rows = word_bounds(data, offsets, MARKS)
-        codes = word_codes(data, starts, ends, MARKS)
-        found = np.zeros((last - first, len(features)))
-        if len(features) and len(codes):
-            at = np.minimum(np.searchsorted(features, codes), len(features) - 1)
-            hit = features[at] == codes
-            found[rows[hit], at[hit]] = 1.0
+        codes, rows = _units(data, offsets)
+        n = last - first
+        found = np.zeros((n, len(features) + 1))
+        if len(codes):
+            if len(features):
+                at = np.minimum(np.searchsorted(features, codes), len(features) - 1)
+                hit = features[at] == codes
+                flat = rows[hit] * len(features) + at[hit]
+                found[:, :-1] = np.bincount(flat, minlength=n * len(features)).reshape(n, -1)
+            found[:, -1] = np.bincount(rows, minlength=n)
+            np.log1p(found, out=found)
+            found[:, -1] /= 10
         yield first, last, found
 
 
@@ -78,8 +101,8 @@ def telling_words(sample: DataFrame, categories: list[str], params: ChainParams)
     def run(batches):
         for batch in batches:
             for first, last, data, offsets in pieces(batch.column(1)):
-                starts, ends, rows = word_bounds(data, offsets, MARKS)
-                both = np.unique(np.stack([rows.astype(np.uint64), word_codes(data, starts, ends, MARKS)]), axis=1)
+                codes, rows = _units(data, offsets)
+                both = np.unique(np.stack([rows.astype(np.uint64), codes]), axis=1)
                 at = pa.array(both[0].astype(np.int64) + first)
                 yield pa.record_batch(
                     [pa.array(both[1].view(np.int64)), *[batch.column(2 + i).take(at) for i in range(len(categories))]],
@@ -110,7 +133,7 @@ def _fit(rows: DataFrame, label: str, params: ChainParams) -> tuple[np.ndarray,
         share = (classes.get(1, 0) + 0.5) / (sum(classes.values()) + 1)
         return np.zeros(0), float(np.log(share / (1 - share)))
     model = LogisticRegression(
-        featuresCol="v", labelCol=label, regParam=params.regularization, maxIter=40, standardization=False
+        featuresCol="v", labelCol=label, regParam=params.regularization, maxIter=60, standardization=False
     ).fit(rows.select(label, array_to_vector("x").alias("v")))
     return model.coefficients.toArray(), float(model.intercept)
 
@@ -140,7 +163,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], params:
 
     def run(batches):
         for batch in batches:
-            for first, last, found in word_presence(batch.column(1), features):
+            for first, last, found in word_features(batch.column(1), features):
                 part = batch.slice(first, last - first)
                 yield pa.record_batch(
                     [part.column(0), *part.columns[2:], pa.array(list(found), pa.list_(pa.float64()))],
@@ -187,7 +210,7 @@ def chain_scores(docs: DataFrame, labels: DataFrame, categories: list[str], para
 
     def run(batches):
         for batch in batches:
-            for first, last, x in word_presence(batch.column(1), features):
+            for first, last, x in word_features(batch.column(1), features):
                 arrays, names = [batch.column(0).slice(first, last - first)], ["doc_id"]
                 for link in chain:
                     p = _probability(x, link.weights, link.intercept)
