@@ -66,16 +66,22 @@ class Band:
     owners: np.ndarray
 
 
-def walk_keys(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, band: Band) -> np.ndarray:
-    """Keys of windows, one row for each repetition: the words written at the sampled steps of the walk."""
+def walk_keys(codes: np.ndarray, starts: np.ndarray, band: Band) -> np.ndarray:
+    """Keys of windows, one row for each repetition: the words written at the sampled steps of the walk.
+
+    A walk of ``band.low`` steps stays within the window; what lies behind the last word reads as 0.
+    """
     reps = len(band.multipliers)
+    codes = np.concatenate([codes, np.zeros(band.steps, dtype=np.uint64)])
     at = np.broadcast_to(starts, (reps, len(starts))).copy()
     key = np.zeros(at.shape, dtype=np.uint64)
-    last = len(codes) - 1
-    for t in range(band.steps):
-        word = np.where(at < ends, codes[np.minimum(at, last)], np.uint64(0))
-        key += word * band.mixers[:, t:t + 1]
-        at += ((word * band.multipliers[:, t:t + 1]) >> np.uint64(63)).astype(np.int64)
+    for t in range(int(np.flatnonzero(band.sampled.any(axis=0)).max()) + 1):
+        word = codes[at]
+        for rep in np.flatnonzero(band.sampled[:, t]):
+            key[rep] += word[rep] * band.mixers[rep, t]
+        word *= band.multipliers[:, t:t + 1]
+        word >>= np.uint64(63)
+        at += word.view(np.int64)
     return mix(key)
 
 
@@ -89,14 +95,17 @@ def _bands(items: list[np.ndarray], params: LeakParams) -> list[Band]:
         high = max(low, low * 6 // 5)
         own = np.flatnonzero((sizes >= low) & (sizes <= high))
         if len(own):
-            steps = max(params.samples, low * 3 // 2)
+            steps = max(params.samples, low)
             odd = lambda: rng.integers(0, 1 << 63, (reps, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            sampled = np.argsort(rng.random((reps, steps)), axis=1) < params.samples
+            # one step of each of as many stretches of the walk, so that a key does not rest on one word
+            border = np.arange(params.samples + 1) * steps // params.samples
+            sampled = np.zeros((reps, steps), dtype=bool)
+            np.put_along_axis(sampled, rng.integers(border[:-1], border[1:], (reps, params.samples)), True, axis=1)
             band = Band(
                 low, low - int(params.max_edits * high), steps, sampled, odd(), np.where(sampled, odd(), np.uint64(0)),
                 None, None,
             )
-            keys = walk_keys(codes, starts[own], (starts + sizes)[own], band)
+            keys = walk_keys(codes, starts[own], band)
             order = np.argsort(keys, axis=1)
             band.keys, band.owners = np.take_along_axis(keys, order, axis=1), own[order]
             out.append(band)
@@ -136,7 +145,7 @@ def _search(codes, first_word, rows, bands, items, vocabulary, params):
         window = np.flatnonzero(known[np.minimum(starts + band.low, ends)] - known[:-1] >= band.need)
         for a in range(0, len(window), 1 << 15):
             own = window[a:a + (1 << 15)]
-            keys = walk_keys(codes, own, ends[own], band)
+            keys = walk_keys(codes, own, band)
             for rep in range(len(keys)):
                 lo = np.searchsorted(band.keys[rep], keys[rep], side="left")
                 hi = np.searchsorted(band.keys[rep], keys[rep], side="right")
@@ -163,6 +172,8 @@ def _search(codes, first_word, rows, bands, items, vocabulary, params):
         limit = int(params.max_edits * size[item])
         a = max(int(first_word[row]), int(start_of[h]) - limit)
         b = min(int(first_word[row + 1]), int(start_of[t]) + size[item] + limit)
+        if np.isin(codes[a:b], items[item]).sum() < size[item] - limit:
+            continue
         edits, start, end = closest_passage(items[item], codes[a:b])
         if edits <= limit and (edits, a + start) < best.get((row, item), (limit + 1, 0))[:2]:
             best[row, item] = (edits, a + start, a + end)
