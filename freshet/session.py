@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,17 +26,40 @@ def local_session(cpus: int | str = 8, app: str = "freshet") -> SparkSession:
     )
 
 
+@cache
+def _package_zip() -> str:
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="freshet-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    return str(target)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the workers of ``spark``, once per application.
+
+    Python functions of the package are pickled by name, so workers must be able to import it; Spark hands the archive
+    to every executor, also to those that join later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_freshet_shipped", None) != context.applicationId:
+        context.addPyFile(_package_zip())
+        context._freshet_shipped = context.applicationId
+    return spark
+
+
 @cache
 def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="freshet-")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder, or an own one in local mode."""
+    """Folder for intermediate tables: the cluster's checkpoint folder, or an own one where all tasks run in here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):  # not local-cluster, which has executors
         return _own_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
