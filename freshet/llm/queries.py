@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from freshet.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op8_quality_divergence": sql.QUALITY}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +40,9 @@ def op4_best_two_fit_packing(spark, sf_dir):
 def op8_quality_divergence(spark, sf_dir):
     from freshet.llm.quality import quality
 
-    return quality(table(spark, sf_dir, "documents"))
+    # digits that do not depend on the order of sums
+    rounded = {c: F.round(c, 6) for c in ("char_distance", "word_distance")}
+    return quality(table(spark, sf_dir, "documents")).withColumns(rounded)
 
 
 @query
