@@ -38,7 +38,7 @@ from freshet.session import durable
 FLUSH_ROWS = 1 << 20
 #: members of a signature group in one row
 GROUP_ROWS = 10_000
-#: 64-bit words of a set's parity bits
+#: fewest 64-bit words of a set's parity bits
 PARITY_LONGS = 16
 #: 64-bit words of the fixed-size filter of wanted ids
 FILTER_LONGS = 1 << 17
@@ -127,27 +127,28 @@ def shingle_counts(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFr
     """(doc_id, n_shingles, code, parity): size, code and parity bits of each document's shingle set.
 
     Bit i of ``parity`` tells whether an odd number of shingles falls on i, so two sets differ in at least as many
-    shingles as their parities have different bits.
+    shingles as their parities have different bits. There are about as many bits as shingles, a power of two.
     """
     words = params.words
 
     def run(batches):
         for batch in batches:
-            sizes, codes, bits = [], [], []
+            sizes, codes, bits, longs = [], [], [], []
             for _, _, u, borders in _sets(batch.column(1), words):
                 n, spread = np.diff(borders), mix(u + _C1)
                 sizes.append(n)
                 codes.append(set_code(_row_sums(spread, borders), n))
-                odd = np.zeros(len(n) * PARITY_LONGS, dtype=np.uint64)
-                bit = spread & np.uint64(64 * PARITY_LONGS - 1)
-                at = np.repeat(np.arange(len(n)) * PARITY_LONGS, n) + (bit >> np.uint64(6)).astype(np.int64)
+                size = PARITY_LONGS << np.ceil(np.log2(np.maximum(n, 1) / (64 * PARITY_LONGS))).clip(0).astype(np.int64)
+                begin = np.concatenate([[0], np.cumsum(size)])
+                odd = np.zeros(begin[-1], dtype=np.uint64)
+                bit = spread & np.repeat(64 * size - 1, n).astype(np.uint64)
+                at = np.repeat(begin[:-1], n) + (bit >> np.uint64(6)).astype(np.int64)
                 np.bitwise_xor.at(odd, at, np.uint64(1) << (bit & np.uint64(63)))
                 bits.append(odd.view(np.int64))
+                longs.append(size)
             if sizes:
-                rows = len(batch)
-                parity = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, rows + 1, dtype=np.int32) * PARITY_LONGS), pa.array(np.concatenate(bits))
-                )
+                edges = np.concatenate([[0], np.cumsum(np.concatenate(longs))]).astype(np.int32)
+                parity = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(bits)))
                 size, code = np.concatenate(sizes), np.concatenate(codes).view(np.int64)
                 yield pa.record_batch(
                     [batch.column(0), pa.array(size), pa.array(code), parity],
@@ -327,7 +328,15 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinPar
 
 def _may_link(n: str, n2: str, parity: str, parity2: str, percent: int) -> Column:
     """False only for sets that cannot link: sizes and parity bits bound their differences from below."""
-    differ = sum((F.bit_count(F.col(parity)[i].bitwiseXOR(F.col(parity2)[i])) for i in range(PARITY_LONGS)), F.lit(0))
+    size = F.least(F.size(parity), F.size(parity2))
+
+    def folded(p: str) -> Column:
+        """Parity on half as many bits where the other set has only those; sizes of linked sets differ by less than two."""
+        halves = F.zip_with(F.slice(p, F.lit(1), size), F.slice(p, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(p) == 2 * size, halves).when(F.size(p) == size, F.col(p))
+
+    bits = F.zip_with(folded(parity), folded(parity2), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda a, x: a + x)
     return (F.least(n, n2) * 100 >= F.greatest(n, n2) * percent) & (
         differ * (100 + percent) <= (F.col(n) + F.col(n2)) * (100 - percent)
     )
