@@ -11,7 +11,7 @@ matches of its form and drops those that fail the check, without a second try. T
 * ``account``: bank account numbers (IBAN, with its check digits) and numbers of 6 to 18 digits behind a cue word
   such as "account no".
 
-Added spans that overlap a base span are dropped. Positions count code points, end exclusive.
+Added spans that overlap a base span are dropped, unless a ``url`` span holds all of it. Positions count code points, end exclusive.
 
 Defined cases: null text is empty; repeated rows are searched each; extra columns are ignored; an empty table gives no
 rows.
@@ -225,7 +225,8 @@ def find_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     added, floor = [], 0
     taken = [(s, e) for s, _, e in base]
     for s, k, e in sorted(set(extra)):
-        if s >= floor and not any(s < b and a < e for a, b in taken):
+        inner = k == KINDS.index("url")  # the name and host of an authority may look like an address
+        if s >= floor and not any(s < b and a < e and not (inner and s <= a and b <= e) for a, b in taken):
             added.append((s, k, e))
             floor = e
     return base, added

@@ -5,9 +5,10 @@ Base kinds: ``assign`` (a value given to a name such as password or token), ``ac
 log-likelihood ratio per character step, between a Markov model of random strings and one of ordinary words, exceeds
 ``min_ratio``. Runs that overlap a base span are not added.
 
-Both models are bigram counts with add-one smoothing over the key characters. They are trained on a sample of about
-``sample_docs`` documents, labelled by the base forms: matched values are random strings, all other words of at least
-``min_word`` key characters are ordinary. Without a sample the models are equal and nothing is added.
+Both models are bigram counts, smoothed towards their character shares, which have add-one smoothing. They are trained on a sample of about
+``sample_docs`` documents, labelled by the base forms: matched values are random strings; other words of at least
+``min_word`` key characters that occur twice or more are ordinary, since a random string hardly repeats. Each string
+counts once. Without a sample the models are equal and nothing is added.
 
 Positions count code points, end exclusive. Defined cases: null text is empty; repeated rows are searched each; extra
 columns are ignored; an empty table gives no rows.
@@ -36,6 +37,7 @@ class SecretParams:
     min_length: int = 20
     min_ratio: float = 0.7
     min_word: int = 6
+    smoothing: float = 10.0
     sample_docs: int = 20_000
 
 
@@ -108,13 +110,16 @@ def step_ratios(docs: DataFrame, params: SecretParams = SecretParams()) -> list[
     )).alias("x")).select("x.random", F.explode("x.strings").alias("string"))
     counts = (
         rows.filter(F.length("string") >= params.min_word)
+        .groupBy("random", "string").count().filter("random = 1 OR count >= 2")
         .select("random", F.explode(_steps(F.col("string"), lambda s: s)).alias("step"))
         .groupBy("random", "step").count().collect()
     )
-    table = np.ones((2, SIZE, SIZE))
+    table = np.zeros((2, SIZE, SIZE))
     for r in counts:
         table[r.random, r.step // SIZE, r.step % SIZE] += r["count"]
-    logs = np.log(table / table.sum(axis=2, keepdims=True))
+    single = table.sum(axis=1, keepdims=True) + 1
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((table + params.smoothing * single) / (table.sum(axis=2, keepdims=True) + params.smoothing))
     return [round(float(x), 6) for x in (logs[1] - logs[0]).reshape(-1)]
 
 
