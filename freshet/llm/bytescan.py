@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-#: bytes of text handled at once
-PIECE_BYTES = 2 << 20
+#: bytes of text handled at once, and rows of an Arrow batch
+PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1_000
 
 #: bytes that stand in no word: white space, or all ASCII but letters and digits
 WHITE = np.zeros(256, dtype=bool)
@@ -40,6 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def in_small_batches(texts: DataFrame) -> DataFrame:
+    """``texts`` after its session has been told to hand long rows to Python in batches of ``BATCH_ROWS``."""
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return texts
+
+
 def pieces(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, row after the last, bytes, byte offsets of the rows) of consecutive rows; null is empty."""
     if isinstance(texts, pa.ChunkedArray):

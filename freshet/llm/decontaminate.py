@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.bytescan import MARKS, mix, pieces, word_bounds, word_codes
+from freshet.llm.bytescan import MARKS, in_small_batches, mix, pieces, word_bounds, word_codes
 
 FOUND = "doc_id long, item_id long, distance int, item_words int, start long, end long"
 
@@ -194,7 +194,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, params: LeakParams
     start and end count code points of the text, end exclusive.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], FOUND)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = -(-items.count() // params.block_items)

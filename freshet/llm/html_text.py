@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.bytescan import in_small_batches
+
 TEXTS = "page_id long, url string, text string, n_chars long, n_blocks int"
 #: fixed values: elements by their part in a page, and words in class or id that mark what is no main text
 BLOCKS = frozenset(
@@ -204,7 +206,7 @@ def learned_weights(pages: DataFrame, params: ExtractParams = ExtractParams()) -
 
 def extracted(pages: DataFrame, params: ExtractParams = ExtractParams()) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks) of every page of ``pages`` (page_id, url, html)."""
-    weights = learned_weights(pages, params)
+    weights = learned_weights(in_small_batches(pages), params)
 
     def run(batches):
         for batch in batches:

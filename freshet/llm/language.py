@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.bytescan import _LOWER, pieces
+from freshet.llm.bytescan import _LOWER, in_small_batches, pieces
 from freshet.llm.html_text import main_text, read_page
 from freshet.session import durable
 
@@ -136,7 +136,7 @@ def page_languages(pages: DataFrame, docs: DataFrame, params: LanguageParams = L
     """(page_id, lang, probability, text_lang, declared_lang, host) of every page of ``pages`` (page_id, url, html)."""
     spark = pages.sparkSession
     out = "page_id long, lang string, probability double, text_lang string, declared_lang string, host string"
-    languages, logs = text_model(docs, params)
+    languages, logs = text_model(in_small_batches(docs), params)
     if not languages:
         return spark.createDataFrame([], out)
     names = F.array(*map(F.lit, languages))

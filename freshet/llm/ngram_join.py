@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.bytescan import mix, pieces, shingle_sets, word_bounds, word_codes
+from freshet.llm.bytescan import in_small_batches, mix, pieces, shingle_sets, word_bounds, word_codes
 from freshet.llm.components import components
 from freshet.session import durable
 
 #: signature rows held before they are sorted and handed on
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 19
 #: members of a signature group in one row
 GROUP_ROWS = 10_000
 #: fewest 64-bit words of a set's parity bits
@@ -359,6 +359,7 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
     component_id is the smallest doc_id that links reach, the document's own included.
     """
+    docs = in_small_batches(docs)
     counts = durable(shingle_counts(docs, params))
     distinct = durable(counts.filter("n_shingles > 0").groupBy("code").agg(
         F.min_by(F.struct("doc_id", "n_shingles", "parity"), "doc_id").alias("x")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freshet.llm.bytescan import in_small_batches
 from freshet.session import durable
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -223,7 +224,7 @@ def ranked(pieces: DataFrame, params: PackParams) -> DataFrame:
 def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    pieces = durable(token_pieces(docs, params))
+    pieces = durable(token_pieces(in_small_batches(docs), params))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = best_two_fit(counts, params.capacity)
     # a few rows for each of the capacity's lengths, whatever the number of pieces

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freshet.llm.bytescan import in_small_batches
+
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 FOUND = (
@@ -255,7 +257,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, FOUND)
 
 
 def masked_text(text: str) -> str:
@@ -280,7 +282,7 @@ def masked_documents(docs: DataFrame) -> DataFrame:
             arrays = [pa.array(texts, batch.schema.field(i).type) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.record_batch(arrays, schema=batch.schema)
 
-    out = docs.mapInArrow(run, schema)
+    out = in_small_batches(docs).mapInArrow(run, schema)
     if "n_chars" in columns:
         kind = schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))

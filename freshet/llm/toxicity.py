@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.bytescan import MARKS, pieces, since_start, word_bounds, word_codes
+from freshet.llm.bytescan import MARKS, in_small_batches, pieces, since_start, word_bounds, word_codes
 from freshet.session import durable
 
 
@@ -158,7 +158,7 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], params: ChainParams = ChainParams()):
     """(word features, links of the chain in the order of ``categories``)."""
-    sample = durable(_labelled(docs, labels, categories, params))
+    sample = durable(_labelled(in_small_batches(docs), labels, categories, params))
     features = telling_words(sample, categories, params)
 
     def run(batches):
