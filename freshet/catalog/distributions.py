@@ -78,8 +78,10 @@ def _digamma(k: str) -> str:
 
 
 def _lower_gamma(a: str, x: str) -> str:
-    """Regularised lower incomplete gamma as its power series."""
-    return (f"(CASE WHEN {x} <= 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range(0, 1500), lambda n: "
+    """Regularised lower incomplete gamma as its power series, from 12 deviations before the largest term to 12 behind."""
+    first = f"CAST(greatest(0, floor({x} - {a} - 12 * sqrt({x}) - 40)) AS BIGINT)"
+    last = f"CAST(greatest(0, ceil({x} - {a})) + 12 * sqrt(greatest({x}, {a})) + 60 AS BIGINT)"
+    return (f"(CASE WHEN {x} <= 0 THEN 0.0::DOUBLE ELSE list_sum(list_transform(range({first}, {last}), lambda n: "
             f"exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1)))) END)")
 
 
@@ -111,7 +113,6 @@ found AS (
   SELECT * EXCLUDE (lo, hi, i), (lo + hi) / 2 AS z FROM b WHERE i = 50)"""
 
 
-# The power series needs about 6 sqrt(shape) terms past the shape; fits of these tables stay far below 1500.
 @query(
     "gamma_fit",
     select(GAMMA_ML, """SELECT series_id, month, n, round(shape, 4) AS shape, 0.0::DOUBLE AS loc,
@@ -142,28 +143,31 @@ def _(spark, sf_dir):
 
 GAMMA_MOMENTS = DAILY_X + """, raw AS (
   SELECT series_id, month, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS sigma, stddev_pop(x) AS pop,
-         min(x) AS low, max(x) AS high FROM xs GROUP BY 1, 2 HAVING count(x) >= 5),
+         min(x) AS low, max(x) AS high FROM xs GROUP BY 1, 2),
 third AS (
-  SELECT r.series_id, r.month, avg(pow(x - mean, 3)) / pow(any_value(pop), 3) AS skew
+  SELECT r.series_id, r.month, CASE WHEN any_value(pop) > 0 THEN avg(pow(x - mean, 3)) / pow(any_value(pop), 3) END AS skew
   FROM xs JOIN raw r ON xs.series_id = r.series_id AND xs.month = r.month GROUP BY 1, 2),
 gfit AS (
-  SELECT series_id, month, n, mean, sigma, low, high, shape, sigma / sqrt(shape) AS scale,
-         mean - sqrt(shape) * sigma AS loc
-  FROM (SELECT raw.*, CASE WHEN skew > 0 THEN 4 / (skew * skew) END AS shape FROM raw JOIN third USING (series_id, month)))"""
+  SELECT series_id, month, n, mean, coalesce(sigma, 0) AS sigma, low, high, fit, shape, sigma / sqrt(shape) AS scale,
+         CASE fit WHEN 'moments' THEN mean - sqrt(shape) * sigma WHEN 'location_0' THEN 0.0 END AS loc
+  FROM (SELECT *, CASE fit WHEN 'moments' THEN 4 / (skew * skew) WHEN 'location_0' THEN pow(mean / sigma, 2) END AS shape
+        FROM (SELECT raw.*, skew, CASE WHEN sigma > 0 AND skew > 0.01 THEN 'moments' WHEN sigma > 0 AND mean > 0 THEN 'location_0'
+              ELSE 'none' END AS fit FROM raw JOIN third USING (series_id, month))))"""
 
 
 @query(
     "gamma_moment_bounds",
-    select(GAMMA_MOMENTS + ", " + _quantiles_sql("(SELECT * FROM gfit WHERE shape IS NOT NULL)", {"lower": 0.025, "upper": 0.975}),
-           """SELECT g.series_id, g.month, g.n, round(g.shape, 5) AS shape, round(g.loc, 4) AS loc, round(g.scale, 5) AS scale,
+    select(GAMMA_MOMENTS + ", " + _quantiles_sql("(SELECT * FROM gfit WHERE shape IS NOT NULL AND n >= 5)", {"lower": 0.025, "upper": 0.975}),
+           """SELECT g.series_id, g.month, g.n, g.fit, round(g.shape, 5) AS shape, round(g.loc, 4) AS loc, round(g.scale, 5) AS scale,
   round(g.loc + g.scale * max(z) FILTER (name = 'lower'), 4) AS lower,
   round(g.loc + g.scale * max(z) FILTER (name = 'upper'), 4) AS upper
 FROM gfit g LEFT JOIN found f ON g.series_id = f.series_id AND g.month = f.month
-GROUP BY g.series_id, g.month, g.n, g.shape, g.loc, g.scale"""),
+GROUP BY g.series_id, g.month, g.n, g.fit, g.shape, g.loc, g.scale"""),
 )
 def _(spark, sf_dir):
     fit = distributions.gamma_moment_fit(_daily(spark, sf_dir), "x")
-    out = distributions.with_gamma_interval(fit, 0.95, "").select(*BY, "n", "shape", "loc", "scale", "lower", "upper")
+    out = distributions.with_gamma_interval(fit, 0.95, "", min_rows=5)
+    out = out.select(*BY, "n", "fit", "shape", "loc", "scale", "lower", "upper")
     return rounded(out, {"shape": 5, "loc": 4, "scale": 5, "lower": 4, "upper": 4})
 
 
@@ -171,9 +175,10 @@ def _(spark, sf_dir):
     "gamma_pdf_grid",
     select(GAMMA_MOMENTS + """, grid AS (
   SELECT *, greatest(low - sigma, 0) + (high + sigma - greatest(low - sigma, 0)) * i / 199.0 AS x
-  FROM gfit, (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS i) WHERE shape IS NOT NULL)""",
+  FROM gfit, (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS i))""",
            """SELECT series_id, month, i, round(x, 6) AS x, round(CASE WHEN x > loc
-  THEN exp((shape - 1) * ln((x - loc) / scale) - (x - loc) / scale - lgamma(shape) - ln(scale)) ELSE 0.0 END, 9) AS density
+  THEN exp((shape - 1) * ln((x - loc) / scale) - (x - loc) / scale - lgamma(shape) - ln(scale))
+  WHEN shape IS NOT NULL THEN 0.0 END, 9) AS density
 FROM grid"""),
 )
 def _(spark, sf_dir):
@@ -187,8 +192,8 @@ def _(spark, sf_dir):
   SELECT series_id, month, x, row_number() OVER (PARTITION BY series_id, month ORDER BY x) AS i,
          count(*) OVER (PARTITION BY series_id, month) AS n FROM xs),
 scored AS (
-  SELECT r.series_id, r.month, r.i, r.n, {_lower_gamma('g.shape', '((r.x - g.loc) / g.scale)')} AS f
-  FROM ranked r JOIN gfit g ON r.series_id = g.series_id AND r.month = g.month WHERE g.shape IS NOT NULL),
+  SELECT r.series_id, r.month, r.i, r.n, CASE WHEN g.shape IS NOT NULL THEN {_lower_gamma('g.shape', '((r.x - g.loc) / g.scale)')} END AS f
+  FROM ranked r JOIN gfit g ON r.series_id = g.series_id AND r.month = g.month),
 ks AS (
   SELECT series_id, month, n, max(greatest(i / n - f, f - (i - 1) / n)) AS d FROM scored GROUP BY 1, 2, 3)""",
            """SELECT series_id, month, n, round(d, 7) AS d, round(CASE WHEN sqrt(n) * d < 0.2 THEN 1.0 ELSE

@@ -18,7 +18,8 @@ def month_number(month: Column) -> Column:
     """Month as an integer, from a number or from a three-letter code; anything else is null."""
     codes = F.create_map(*[F.lit(v) for i, code in enumerate(MONTH_CODES, 1) for v in (code, i)])
     text = F.upper(F.trim(month.cast("string")))
-    return F.coalesce(text.try_cast("int"), F.try_element_at(codes, text))
+    number = text.try_cast("int")
+    return F.when(number.between(1, 12), number).otherwise(F.try_element_at(codes, text))
 
 
 def date_from_parts(year: Column, month: Column, day: Column) -> Column:

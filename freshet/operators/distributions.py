@@ -52,11 +52,12 @@ def gamma_fit(df: DataFrame, value: str, by: list[str] = BY_MONTH) -> DataFrame:
     )
 
 
-def gamma_moment_fit(df: DataFrame, value: str, by: list[str] = BY_MONTH, min_rows: int = 5) -> DataFrame:
-    """Three-parameter gamma fit from mean, standard deviation and skewness.
+def gamma_moment_fit(df: DataFrame, value: str, by: list[str] = BY_MONTH, min_skew: float = 0.01) -> DataFrame:
+    """Three-parameter gamma fit from mean, standard deviation and skewness, one row for every group with values.
 
-    It stands in for the maximum-likelihood fit with free location. Groups that are not skewed to the right have no
-    such gamma and get nulls.
+    It stands in for the maximum-likelihood fit with free location. A group whose skewness does not exceed
+    ``min_skew`` has no such gamma and is fitted at location 0 from its mean and deviation; column ``fit`` names the
+    kind: moments, location_0, or none for a group without spread or with a mean of 0 or less.
     """
     m = df.groupBy(*by).agg(
         F.count(value).alias("n"),
@@ -65,38 +66,53 @@ def gamma_moment_fit(df: DataFrame, value: str, by: list[str] = BY_MONTH, min_ro
         F.skewness(value).alias("_skew"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-    ).where(F.col("n") >= min_rows)
-    shape = F.when(F.col("_skew") > 0, 4 / (F.col("_skew") * F.col("_skew")))
-    fit = m.withColumn("shape", shape).withColumn("scale", F.col("_sigma") / F.sqrt("shape"))
-    loc = F.col("mean") - F.col("shape") * F.col("scale")
-    return fit.select(*by, "n", "shape", loc.alias("loc"), "scale", "mean", "_sigma", "low", "high").withColumnRenamed(
-        "_sigma", "sigma"
+    ).where(F.col("n") > 0)
+    spread = F.coalesce(F.col("_sigma") > 0, F.lit(False))
+    kind = (
+        F.when(spread & F.coalesce(F.col("_skew") > min_skew, F.lit(False)), "moments")
+        .when(spread & (F.col("mean") > 0), "location_0").otherwise("none")
+    )
+    free = F.col("fit") == "moments"
+    ratio = F.col("mean") / F.col("_sigma")
+    shape = F.when(free, 4 / (F.col("_skew") * F.col("_skew"))).when(F.col("fit") == "location_0", ratio * ratio)
+    fit = m.withColumn("fit", kind).withColumn("shape", shape).withColumn("scale", F.col("_sigma") / F.sqrt("shape"))
+    loc = F.when(free, F.col("mean") - F.col("shape") * F.col("scale")).when(F.col("fit") == "location_0", F.lit(0.0))
+    return fit.select(
+        *by, "n", "fit", "shape", loc.alias("loc"), "scale", "mean", F.col("_sigma").alias("sigma"), "low", "high"
     )
 
 
-def with_gamma_interval(fit: DataFrame, level: float, name: str) -> DataFrame:
-    """Add the central interval that holds ``level`` of the fitted distribution."""
+def with_gamma_interval(fit: DataFrame, level: float, name: str, min_rows: int = 0) -> DataFrame:
+    """Add the central interval that holds ``level`` of the fitted distribution, null below ``min_rows`` rows."""
     tail = (1 - level) / 2
-    q = lambda p: G.gamma_quantile(F.lit(p), F.col("shape"), F.col("loc"), F.col("scale"))
+    enough = (F.col("n") >= min_rows) & F.col("shape").isNotNull()
+    q = lambda p: F.when(enough, G.gamma_quantile(F.lit(p), F.col("shape"), F.col("loc"), F.col("scale")))
     return fit.withColumns({f"lower{name}": q(tail), f"upper{name}": q(1 - tail)})
 
 
 def gamma_grid(fit: DataFrame, by: list[str] = BY_MONTH, points: int = 200, pad: bool = True) -> DataFrame:
-    """Fitted gamma density at evenly spaced values, by default one sigma beyond the extremes but not below 0."""
-    low = F.greatest(F.col("low") - F.col("sigma"), F.lit(0.0)) if pad else F.col("low")
-    high = F.col("high") + F.col("sigma") if pad else F.col("high")
-    fitted = fit.where(F.col("shape").isNotNull()).withColumn("_lg", G.gamma_log(F.col("shape")))
+    """Fitted gamma density at evenly spaced values, by default one sigma beyond the extremes but not below 0.
+
+    A group without a fit has its values and null densities.
+    """
+    sigma = F.coalesce("sigma", F.lit(0.0))
+    low = F.greatest(F.col("low") - sigma, F.lit(0.0)) if pad else F.col("low")
+    high = F.col("high") + sigma if pad else F.col("high")
+    fitted = fit.withColumn("_lg", F.when(F.col("shape").isNotNull(), G.gamma_log(F.col("shape"))))
     steps = fitted.select(
         *by, "shape", "loc", "scale", "_lg", low.alias("_low"), high.alias("_high"),
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"),
     )
     x = steps.withColumn("x", grid_point(F.col("_low"), F.col("_high"), F.col("i"), points))
     density = G.gamma_density(F.col("x"), F.col("shape"), F.col("loc"), F.col("scale"), F.col("_lg"))
-    return x.select(*by, "i", "x", density.alias("density"))
+    return x.select(*by, "i", "x", F.when(F.col("shape").isNotNull(), density).alias("density"))
 
 
 def gamma_ks(df: DataFrame, fit: DataFrame, value: str, by: list[str] = BY_MONTH) -> DataFrame:
-    """Kolmogorov-Smirnov distance of the values from their fitted gamma, with the asymptotic p-value."""
+    """Kolmogorov-Smirnov distance of the values from their fitted gamma, with the asymptotic p-value.
+
+    A group without a fit has its size and nulls.
+    """
     group = Window.partitionBy(*by)
     ranked = df.where(F.col(value).isNotNull()).select(
         *by,
@@ -104,9 +120,8 @@ def gamma_ks(df: DataFrame, fit: DataFrame, value: str, by: list[str] = BY_MONTH
         F.row_number().over(group.orderBy(value)).alias("_i"),
         F.count(F.lit(1)).over(group).alias("_n"),
     )
-    params = fit.where(F.col("shape").isNotNull()).select(*by, "shape", "loc", "scale")
-    scored = ranked.join(params, by).withColumn(
-        "_f", G.gamma_cdf(F.col("_x"), F.col("shape"), F.col("loc"), F.col("scale"))
+    scored = ranked.join(fit.select(*by, "shape", "loc", "scale"), by, "left").withColumn(
+        "_f", F.when(F.col("shape").isNotNull(), G.gamma_cdf(F.col("_x"), F.col("shape"), F.col("loc"), F.col("scale")))
     )
     gap = F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))
     ks = scored.groupBy(*by).agg(F.max("_n").alias("n"), F.max(gap).alias("d"))

@@ -145,7 +145,7 @@ def monthly_forecast(
     table = monthly_features(log, soil_hours, fit=on_train)
     chosen = features or FEATURES
     rows = table.select(
-        "series_id", "date", "year", "month", *chosen, "inflow_adj",
+        "series_id", "date", "year", "month", *chosen, F.col("inflow_adj_1").alias("_last"),
         F.col("y_next").alias("y_true"), F.col("y_next_log").alias("y_log"),
         evaluation.split_by_year(F.col("year"), train_end, val_end, exclude_years).alias("split"),
     )
@@ -157,7 +157,7 @@ def monthly_forecast(
     for name in models:
         column = f"y_{name}"
         if name == "last_value":
-            out = out.withColumn(column, F.col("inflow_adj"))
+            out = out.withColumn(column, F.col("_last"))
         elif name == "forest":
             spec = trees.MONTHLY_FOREST
             spec = trees.ForestSpec(max(1, round(spec.trees * tree_share)), spec.depth, spec.leaf)
@@ -174,9 +174,9 @@ def monthly_forecast(
             out = linear.predict_linear(out, model, chosen, column)
             out = out.withColumn(column, from_log_target(F.col(column)))
         columns[name] = column
-    long = durable(
-        evaluation.stack_predictions(out, columns, ["series_id", "date", "year", "month", "split", "y_true"])
-    )
+    # the baseline, the inflow of the month before, is not fitted: it has no training rows
+    stacked = evaluation.stack_predictions(out, columns, ["series_id", "date", "year", "month", "split", "y_true"])
+    long = durable(stacked.where("name <> 'last_value' OR split <> 'train'"))
     scores = evaluation.score(long, ["series_id", "split", "name"])
     banded = None
     for name in [m for m in BANDED if m in columns]:

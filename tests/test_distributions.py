@@ -156,3 +156,18 @@ def test_pooled_quantiles_are_exact(spark, monkeypatch, broadcast_rows):
         assert got[k].n == len(values)
         mine = [got[k][dist.quantile_name(p)] for p in levels]
         assert mine == pytest.approx(np.quantile(values, levels).tolist()), k
+
+
+def test_no_group_vanishes_without_a_free_location(frame):
+    """A left-skewed month, one of three values, one of one value and a skewed one all keep a row."""
+    months = {1: [9.0, 9.5, 10.0, 10.2, 10.3, 4.0], 2: [3.0, 4.0, 5.0], 3: [2.0], 4: [1.0, 1.2, 1.4, 2.0, 6.0]}
+    df = frame([("a", m, x) for m, v in months.items() for x in v], "series_id string, month int, x double")
+    fit = dist.gamma_moment_fit(df, "x")
+    rows = by_month(fit)
+    assert [rows[m].fit for m in months] == ["location_0", "location_0", "none", "moments"]
+    assert rows[1]["loc"] == 0 and rows[1].shape * rows[1].scale == pytest.approx(np.mean(months[1]))
+    ks = by_month(dist.gamma_ks(df, fit, "x"))
+    assert [ks[m].n for m in months] == [6, 3, 1, 5] and ks[3].d is None and 0 < ks[2].d < 1
+    ends = by_month(dist.with_gamma_interval(fit, 0.95, "", min_rows=5))
+    assert ends[1].lower < ends[1].upper and ends[2].lower is None and ends[3].upper is None
+    assert {g.month for g in dist.gamma_grid(fit, points=10).collect()} == set(months)
