@@ -34,6 +34,9 @@ REGIME_LOW = ForestSpec(500, 8, 6)
 REGIME_HIGH = ForestSpec(700, 9, 4)
 REGIME_MIN_ROWS = 80
 
+#: memory for the histograms of the tree nodes that are split in one pass
+NODE_MEMORY_MB = 1024
+
 
 @dataclass(frozen=True)
 class BoostSpec:
@@ -53,6 +56,15 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol=_INPUTS, handleInvalid="error").transform(df)
 
 
+def training_table(train: DataFrame, features: list[str], rows_per_task: int = 50_000) -> DataFrame:
+    """``train`` with assembled inputs in as many partitions as its rows need.
+
+    A model table has one row per date and series; spread over the partitions of its joins, each of the many passes of
+    a tree fit would cost more for its tasks than for its rows.
+    """
+    return with_inputs(train.coalesce(max(1, train.count() // rows_per_task)), features)
+
+
 def fit_forest(
     train: DataFrame, features: list[str], label: str, spec: ForestSpec, weight: str | None = None, seed: int = 0
 ):
@@ -65,11 +77,12 @@ def fit_forest(
         maxDepth=spec.depth,
         minInstancesPerNode=spec.leaf,
         featureSubsetStrategy="all",
+        maxMemoryInMB=NODE_MEMORY_MB,
         seed=seed,
     )
     if weight:
         forest = forest.setWeightCol(weight)
-    return forest.fit(with_inputs(train, features))
+    return forest.fit(training_table(train, features))
 
 
 def fit_boosted(train: DataFrame, features: list[str], label: str, spec: BoostSpec, seed: int = 0):
@@ -82,9 +95,10 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, spec: BoostSp
         stepSize=spec.rate,
         subsamplingRate=spec.subsample,
         featureSubsetStrategy=str(spec.columns),
+        maxMemoryInMB=NODE_MEMORY_MB,
         seed=seed,
     )
-    return boosted.fit(with_inputs(train, features))
+    return boosted.fit(training_table(train, features))
 
 
 def predict(df: DataFrame, model, features: list[str], name: str = "y_pred", log_target: bool = True) -> DataFrame:
@@ -130,8 +144,9 @@ def fit_regime_blend(
         numTrees=classifier_spec.trees,
         maxDepth=classifier_spec.depth,
         minInstancesPerNode=classifier_spec.leaf,
+        maxMemoryInMB=NODE_MEMORY_MB,
         seed=seed,
-    ).fit(with_inputs(train, features))
+    ).fit(training_table(train, features))
     return RegimeBlend(
         classifier,
         fit_forest(train.where(F.col(high) == 0), features, label, low_spec, seed=seed),

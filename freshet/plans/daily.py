@@ -36,6 +36,7 @@ class DailyConfig:
     force_best: str | None = None
     issue_day: int = 1
     tree_share: float = 1.0  # share of the published tree counts, for trial runs
+    boost_share: float | None = None  # share of the published boosting rounds; that of the trees unless given
     impute_before_drop: bool = False  # fill features with their training mean instead of dropping the row
     features: list[str] = field(default_factory=lambda: list(DAILY_FEATURES))
 
@@ -161,7 +162,8 @@ def predict_all(table: DataFrame, chosen: list[str], config: DailyConfig) -> tup
                 continue
             out = trees.predict_regime_blend(out, blend, chosen, column)
         elif name == "boosted":
-            spec = trees.BoostSpec(max(1, round(trees.DAILY_BOOST.rounds * config.tree_share)), trees.DAILY_BOOST.depth)
+            share = config.tree_share if config.boost_share is None else config.boost_share
+            spec = trees.BoostSpec(max(1, round(trees.DAILY_BOOST.rounds * share)), trees.DAILY_BOOST.depth)
             out = trees.predict(out, trees.fit_boosted(train, chosen, "y_log", spec), chosen, column)
         else:
             raise ValueError(f"unknown model {name}")

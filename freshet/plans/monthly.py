@@ -136,6 +136,7 @@ def monthly_forecast(
     features: list[str] | None = None,
     models: tuple[str, ...] = ("linear", "ridge", "lasso", "forest", "boosted", "last_value"),
     tree_share: float = 1.0,
+    boost_share: float | None = None,
     fit_scope: str = "train",
     impute_before_drop: bool = False,
 ) -> MonthlyForecast:
@@ -164,7 +165,8 @@ def monthly_forecast(
             out = trees.predict(out, trees.fit_forest(train, chosen, "y_log", spec), chosen, column)
         elif name == "boosted":
             spec = trees.MONTHLY_BOOST
-            spec = trees.BoostSpec(max(1, round(spec.rounds * tree_share)), spec.depth)
+            share = tree_share if boost_share is None else boost_share
+            spec = trees.BoostSpec(max(1, round(spec.rounds * share)), spec.depth)
             out = trees.predict(out, trees.fit_boosted(train, chosen, "y_log", spec), chosen, column)
         else:
             if name == "lasso":
