@@ -336,7 +336,11 @@ def _may_link(n: str, n2: str, parity: str, parity2: str, percent: int) -> Colum
         return F.when(F.size(p) == 2 * size, halves).when(F.size(p) == size, F.col(p))
 
     bits = F.zip_with(folded(parity), folded(parity2), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    differ = F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    # most sets have the smallest parity, which is compared in generated code
+    small = sum((F.bit_count(F.get(parity, F.lit(i)).bitwiseXOR(F.get(parity2, F.lit(i)))) for i in range(PARITY_LONGS)), F.lit(0))
+    differ = F.when(F.greatest(F.size(parity), F.size(parity2)) == PARITY_LONGS, small).otherwise(
+        F.aggregate(bits, F.lit(0), lambda a, x: a + x)
+    )
     return (F.least(n, n2) * 100 >= F.greatest(n, n2) * percent) & (
         differ * (100 + percent) <= (F.col(n) + F.col(n2)) * (100 - percent)
     )
