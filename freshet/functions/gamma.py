@@ -78,6 +78,7 @@ def lower_gamma(shape: np.ndarray, x: np.ndarray) -> np.ndarray:
                 h = h * delta
                 if np.all(np.abs(delta - 1) < 1e-15) or i > 100_000:
                     break
+            h = np.where(np.abs(delta - 1) < 1e-12, h, np.nan)  # no value rather than one that has not settled
             out = out.copy()
             out[high] = 1 - front[high] * h
     return out
@@ -121,6 +122,7 @@ def quantile(shape: np.ndarray, p: np.ndarray) -> np.ndarray:
             x = new
             if done.all():
                 break
+        x = np.where(np.abs(step) <= 1e-9 * x, x, np.nan)
     return np.where(valid, np.where(p == 0, 0.0, x), np.nan)
 
 

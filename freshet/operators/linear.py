@@ -106,8 +106,8 @@ def _lasso(c, penalty, start=None, sweeps=100_000, tol=1e-13):
             moved = max(moved, abs(new - x[j]))
             x[j] = new
         if moved <= stop:
-            break
-    return x / scale
+            return x / scale
+    raise ArithmeticError(f"lasso did not settle in {sweeps} sweeps at penalty {penalty}")
 
 
 def _solve(method: str, c: np.ndarray, n: float, penalty: float) -> np.ndarray:
