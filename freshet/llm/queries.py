@@ -85,7 +85,8 @@ def op7_toxicity_chain(spark, sf_dir):
     from freshet.llm.toxicity import chain_scores
 
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
-    return chain_scores(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    scores = chain_scores(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return scores.select("doc_id", "is_toxic", "p_toxic", "p_low_quality")
 
 
 @query
