@@ -7,6 +7,11 @@ and frequent words of the language. Short documents have no steady histogram, so
 References are sums over all documents of a language that pass the base rules, by one aggregation with partial sums.
 They have one row per language.
 
+A fixed word limit must hold for all languages and is rarely passed. ``kept_documents`` therefore also rejects a text
+whose distance exceeds ``max_none_share`` of the distance of a text without any listed word from the same reference, and
+one whose words stand in another language's list more often than in its own. ``quality`` has the fixed limits alone,
+as its SQL counterpart has.
+
 Defined cases: null text is empty; a document without words fails the base rules; a null language is a language of its
 own, and a language without a word list is compared by character classes only; repeated rows are judged each; extra
 columns are ignored; an empty table gives no rows.
@@ -36,12 +41,21 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class QualityParams:
-    """Largest distances that are kept, and the fewest words from which each histogram counts."""
+    """Largest distances that are kept, and the fewest words from which each histogram counts.
+
+    ``max_none_share``: largest word distance as a share of that of a text without listed words; None for no such limit
+    and no comparison with other languages' lists.
+    """
 
     max_char_distance: float = 0.22
     max_word_distance: float = 0.6
     min_words_chars: int = 20
     min_words_common: int = 60
+    max_none_share: float | None = None
+
+
+#: what ``kept_documents`` keeps
+STRICT = QualityParams(max_none_share=0.85)
 
 
 def _let(value: Column, use) -> Column:
@@ -87,8 +101,11 @@ def _removed(text: Column, pattern: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
 
 
-def _facts(docs: DataFrame) -> DataFrame:
-    """``docs`` with struct column ``facts``: base counts and the two histograms as counts."""
+def _facts(docs: DataFrame, others: bool = False) -> DataFrame:
+    """``docs`` with struct column ``facts``: base counts and the two histograms as counts.
+
+    With ``others``, ``most_listed`` is the largest number of words that one language's list holds.
+    """
     lists = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     text = F.coalesce(F.col("text"), F.lit(""))
     split = docs.withColumns({
@@ -113,12 +130,15 @@ def _facts(docs: DataFrame) -> DataFrame:
     letters = chars - symbols - F.col("__upper") - F.col("__digit") - F.col("__mark")
     at = F.col("__at")
     common = F.array(*[(F.size(at) - F.size(F.array_remove(at, k))).cast("double") for k in range(SLOTS)])
+    low = F.transform(words, lambda w: F.lower(w))
+    held = lambda x, listed: F.size(F.filter(x, lambda w: w.isin(listed)))
+    listed = _let(low, lambda x: F.greatest(*[held(x, v) for v in COMMON_WORDS.values()]))
     facts = F.struct(
         n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"), ((n < 20) | (100 * repeat > 30 * n)).alias("base_failed"),
         F.array(*[c.cast("double") for c in (letters, F.col("__upper"), F.col("__digit"), F.col("__mark"), symbols, space)])
         .alias("classes"),
-        F.when(F.size("__list") > 0, common).alias("common"),
+        F.when(F.size("__list") > 0, common).alias("common"), *([listed.alias("most_listed")] if others else []),
     )
     return counted.select(*[F.col(f"`{c}`") for c in docs.columns], facts.alias("facts"))
 
@@ -133,12 +153,15 @@ def _distance(one: Column, other: Column) -> Column:
 
 def judged(docs: DataFrame, keep: list[str], params: QualityParams = QualityParams()) -> DataFrame:
     """Columns ``keep`` of ``docs`` (text, lang) with struct column ``facts``: counts, distances and ``kept``."""
-    facts = durable(_facts(docs).select(*[F.col(f"`{c}`") for c in keep], F.coalesce("lang", F.lit("")).alias("__lang"), "facts"))
+    strict = params.max_none_share is not None
+    facts = durable(_facts(docs, strict).select(*[F.col(f"`{c}`") for c in keep], F.coalesce("lang", F.lit("")).alias("__lang"), "facts"))
     sums = lambda name, size: F.array(*[F.sum(F.get(F.col(f"facts.{name}"), F.lit(i))) for i in range(size)])
     references = (
         facts.filter(~F.col("facts.base_failed")).groupBy("__lang")
         .agg(sums("classes", 6).alias("__classes"), sums("common", SLOTS).alias("__common"))
     )
+    none = F.array(F.lit(1.0), *[F.lit(0.0)] * (SLOTS - 1))
+    references = references.withColumn("__none", _distance(none, F.col("__common")))
     both = facts.join(references, "__lang", "left").withColumns({
         "__c": _distance(F.col("facts.classes"), F.col("__classes")),
         "__w": _distance(F.col("facts.common"), F.col("__common")),
@@ -147,6 +170,10 @@ def judged(docs: DataFrame, keep: list[str], params: QualityParams = QualityPara
     odd = F.coalesce((n >= params.min_words_chars) & (F.col("__c") > params.max_char_distance), F.lit(False)) | F.coalesce(
         (n >= params.min_words_common) & (F.col("__w") > params.max_word_distance), F.lit(False)
     )
+    if strict:
+        own = n - F.get(F.col("facts.common"), F.lit(0))
+        far = (F.col("__w") > params.max_none_share * F.col("__none")) | (F.col("facts.most_listed") > own)
+        odd = odd | F.coalesce((n >= params.min_words_common) & far, F.lit(False))
     verdict = ~F.col("facts.base_failed") & ~odd
     full = F.col("facts").withField("char_distance", F.col("__c")).withField("word_distance", F.col("__w"))
     return both.select(*[F.col(f"`{c}`") for c in keep], full.withField("kept", verdict).alias("facts"))
@@ -161,7 +188,7 @@ def quality(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFra
     )
 
 
-def kept_documents(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+def kept_documents(docs: DataFrame, params: QualityParams = STRICT) -> DataFrame:
     """Rows of ``docs`` that the rules keep, with the columns of ``docs``."""
     columns = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # free names, whatever the table has

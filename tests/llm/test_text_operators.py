@@ -211,6 +211,23 @@ def test_quality_counts_and_verdict(spark, nothing):
     assert quality.kept_documents(odd).columns == nothing.columns and quality.kept_documents(odd).count() == 2
 
 
+def test_words_of_no_or_another_language_are_rejected(spark):
+    rng, rows = random.Random(3), []
+    for lang, listed in quality.COMMON_WORDS.items():
+        # a fifth to a quarter of real prose are listed words
+        other = ["".join(rng.choice("aeinrstlo") for _ in range(rng.randint(3, 8))) for _ in range(500)]
+        often = [1 / (i + 1) for i in range(len(listed))]
+        word = lambda share: rng.choices(listed, often)[0] if rng.random() < share else rng.choice(other)
+        say = lambda n, share=0.23: " ".join(word(share) for _ in range(n))
+        rows += [(lang, lang, say(rng.choice([80, 150, 400]))) for _ in range(100)]
+        rows += [(lang, "none", say(120, 0)) for _ in range(2)]
+        rows += [(wrong, lang, say(150)) for wrong in quality.COMMON_WORDS if wrong != lang]
+    docs = spark.createDataFrame([(i, t, lang, "s", 0, 1, 2, "z") for i, (lang, _, t) in enumerate(rows)], DOCS)
+    kept = {r.doc_id for r in quality.kept_documents(docs).collect()}
+    assert not [rows[i][:2] for i in kept if rows[i][0] != rows[i][1]]
+    assert len(kept) >= 0.99 * 400
+
+
 SECRET = [
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+",
 ]
