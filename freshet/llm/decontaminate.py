@@ -1,16 +1,15 @@
-"""Benchmark passages in documents, found by CGK embeddings with bit-sampling LSH and verified by edit distance.
+"""Benchmark passages in documents, found by unspoilt pieces of their words and verified by edit distance.
 
 An item of n words is in a document if some passage is within ``floor(max_edits * n)`` word edits of it. Words are
 runs of letters, digits and non-ASCII characters, in lower case.
 
-Method. A window of the item's size starts at every word of a document. CGK walks through a window, at each step
-writing the current word and moving on by a random bit of that word; similar windows are walked in step again soon
-after an edit, so a small edit distance becomes a small Hamming distance of the written words. Each repetition walks
-anew and samples a few steps as the key of a hash table; the number of repetitions follows from the target recall. A
-window that shares a key with an item is compared with it by exact edit distance.
+Method. An item is cut into pieces of equal length that do not overlap. An edit spoils at most one piece, so a passage
+within k edits of an item of p pieces holds at least p - k of them unspoilt, each at most k words from its place. Every
+run of words of a document is looked up among the pieces by its hash, and where enough pieces of one item stand at
+about the same place, the passage around is compared by exact edit distance. No passage within the limit is lost,
+whatever the item's size and the kind of edits.
 
-Before it is walked, a window must hold enough words of the benchmark at all, which every true match does: this bound
-loses nothing. Windows are walked per band of item sizes, with numpy, for a few megabytes of text at a time.
+The length of an item's pieces is the largest that leaves two unspoilt pieces, or one where two cannot be had.
 
 The benchmark goes to the tasks in blocks of at most ``block_items`` items, a fixed size; a larger benchmark takes
 more passes over the documents.
@@ -22,7 +21,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,79 +35,67 @@ FOUND = "doc_id long, item_id long, distance int, item_words int, start long, en
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``agreement``: share of walk steps on which a window at the edit limit is expected to agree with its item."""
+    """``max_pairs``: places of pieces handled at once in a task; it bounds memory and changes no result."""
 
     max_edits: float = 0.2
     min_words: int = 8
-    samples: int = 3
-    agreement: float = 0.6
-    recall: float = 0.95
     block_items: int = 20_000
-    seed: int = 7
+    max_pairs: int = 1 << 21
 
-    @property
-    def repetitions(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - self.agreement**self.samples))
+    def edits(self, words: int) -> int:
+        return int(self.max_edits * words)
+
+    def piece(self, words: int) -> int:
+        """Length of the pieces of an item of ``words`` words."""
+        limit = self.edits(words)
+        if limit >= words:
+            raise ValueError("max_edits must be below 1")
+        for unspoilt in (2, 1):
+            if words // (limit + unspoilt):
+                return words // (limit + unspoilt)
 
 
 @dataclass
-class Band:
-    """Items of similar size with their keys: one row of ``keys`` for each repetition, sorted, with item numbers."""
-
-    low: int
-    need: int
-    steps: int
-    sampled: np.ndarray
-    multipliers: np.ndarray
-    mixers: np.ndarray
+class Pieces:
+    """Pieces of one length: hashes in order, with their items and places, and a table of the hashes' low bits."""
+
+    length: int
     keys: np.ndarray
     owners: np.ndarray
-
-
-def walk_keys(codes: np.ndarray, starts: np.ndarray, band: Band) -> np.ndarray:
-    """Keys of windows, one row for each repetition: the words written at the sampled steps of the walk.
-
-    A walk of ``band.low`` steps stays within the window; what lies behind the last word reads as 0.
-    """
-    reps = len(band.multipliers)
-    codes = np.concatenate([codes, np.zeros(band.steps, dtype=np.uint64)])
-    at = np.broadcast_to(starts, (reps, len(starts))).copy()
-    key = np.zeros(at.shape, dtype=np.uint64)
-    for t in range(int(np.flatnonzero(band.sampled.any(axis=0)).max()) + 1):
-        word = codes[at]
-        for rep in np.flatnonzero(band.sampled[:, t]):
-            key[rep] += word[rep] * band.mixers[rep, t]
-        word *= band.multipliers[:, t:t + 1]
-        word >>= np.uint64(63)
-        at += word.view(np.int64)
-    return mix(key)
-
-
-def _bands(items: list[np.ndarray], params: LeakParams) -> list[Band]:
-    sizes = np.array([len(x) for x in items])
-    codes = np.concatenate(items)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    rng, reps, out = np.random.default_rng(params.seed), params.repetitions, []
-    low = params.min_words
-    while low <= sizes.max():
-        high = max(low, low * 6 // 5)
-        own = np.flatnonzero((sizes >= low) & (sizes <= high))
-        if len(own):
-            steps = max(params.samples, low)
-            odd = lambda: rng.integers(0, 1 << 63, (reps, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            # one step of each of as many stretches of the walk, so that a key does not rest on one word
-            border = np.arange(params.samples + 1) * steps // params.samples
-            sampled = np.zeros((reps, steps), dtype=bool)
-            np.put_along_axis(sampled, rng.integers(border[:-1], border[1:], (reps, params.samples)), True, axis=1)
-            band = Band(
-                low, low - int(params.max_edits * high), steps, sampled, odd(), np.where(sampled, odd(), np.uint64(0)),
-                None, None,
-            )
-            keys = walk_keys(codes, starts[own], band)
-            order = np.argsort(keys, axis=1)
-            band.keys, band.owners = np.take_along_axis(keys, order, axis=1), own[order]
-            out.append(band)
-        low = high + 1
+    places: np.ndarray
+    filter: np.ndarray
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def run_hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    """Hash of each run of ``length`` words, the same for the same words wherever they stand."""
+    n = len(codes) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    powers = np.full(len(codes), BASE)
+    back = np.full(n, INVERSE)
+    powers[0] = back[0] = 1
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * np.cumprod(powers))])
+    return mix((sums[length:] - sums[:n]) * np.cumprod(back))
+
+
+def _pieces(items: list[np.ndarray], params: LeakParams) -> list[Pieces]:
+    found: dict[int, list] = {}
+    for owner, item in enumerate(items):
+        length = params.piece(len(item))
+        keys = run_hashes(item, length)[::length]
+        found.setdefault(length, []).append((keys, np.full(len(keys), owner), np.arange(len(keys)) * length))
+    out = []
+    for length, parts in sorted(found.items()):
+        keys, owners, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        bits = np.uint64((1 << max(10, int(len(keys) * 8).bit_length())) - 1)
+        table = np.zeros(int(bits) + 1, dtype=bool)
+        table[keys & bits] = True
+        out.append(Pieces(length, keys[order], owners[order], places[order], table))
     return out
 
 
@@ -133,45 +119,57 @@ def closest_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return edits, end - back, end
 
 
-def _search(codes, first_word, rows, bands, items, vocabulary, params):
-    """(row, item, edits, start word, end word) of the closest passage for each row and item."""
-    n = len(codes)
-    at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
-    known = np.concatenate([[0], np.cumsum(vocabulary[at] == codes)])
-    ends = first_word[rows + 1]
-    starts = np.arange(n)
-    found = []
-    for band in bands:
-        window = np.flatnonzero(known[np.minimum(starts + band.low, ends)] - known[:-1] >= band.need)
-        for a in range(0, len(window), 1 << 15):
-            own = window[a:a + (1 << 15)]
-            keys = walk_keys(codes, own, band)
-            for rep in range(len(keys)):
-                lo = np.searchsorted(band.keys[rep], keys[rep], side="left")
-                hi = np.searchsorted(band.keys[rep], keys[rep], side="right")
-                hit = np.flatnonzero(hi > lo)
-                times = (hi - lo)[hit]
-                place = np.repeat(lo[hit] - np.cumsum(times) + times, times) + np.arange(times.sum())
-                if len(hit):
-                    found.append(np.stack([band.owners[rep][place], np.repeat(own[hit], times)]))
-    if not found:
+def _close_places(row, item, shift, need, reach):
+    """(row, item, first shift, last shift) of groups with ``need`` pieces of an item within ``reach`` words."""
+    order = np.lexsort((shift, item, row))
+    row, item, shift = row[order], item[order], shift[order]
+    at = np.arange(len(row))
+    last = np.minimum(at + need[item] - 1, len(row) - 1)
+    good = (at + need[item] <= len(row)) & (row[last] == row) & (item[last] == item) & (shift[last] - shift <= reach[item])
+    at, last = at[good], last[good]
+    if not len(at):
         return
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-    item_of, start_of = pairs
-    row_of = rows[start_of]
-    order = np.lexsort((start_of, item_of, row_of))
-    item_of, start_of, row_of = item_of[order], start_of[order], row_of[order]
-    size = np.array([len(x) for x in items])
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (row_of[1:] != row_of[:-1]) | (item_of[1:] != item_of[:-1]) | (np.diff(start_of) > size[item_of[1:]])
+    new = np.ones(len(at), dtype=bool)
+    # groups that share a piece are one
+    new[1:] = (row[at[1:]] != row[at[:-1]]) | (item[at[1:]] != item[at[:-1]]) | (at[1:] > last[:-1])
     heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(order)) - 1
+    tails = np.append(heads[1:], len(at)) - 1
+    yield from zip(row[at[heads]], item[at[heads]], shift[at[heads]], shift[last[tails]], strict=True)
+
+
+def _search(codes, first_word, rows, groups, items, params):
+    """(row, item, edits, start word, end word) of the closest passage for each row and item."""
+    size = np.array([len(x) for x in items])
+    limits = np.array([params.edits(n) for n in size])
+    near = []
+    for group in groups:
+        hashes = run_hashes(codes, group.length)
+        own = np.flatnonzero(group.filter[hashes & np.uint64(len(group.filter) - 1)])
+        own = own[rows[own] == rows[own + group.length - 1]]
+        lo = np.searchsorted(group.keys, hashes[own], side="left")
+        times = np.searchsorted(group.keys, hashes[own], side="right") - lo
+        own, lo, times = own[times > 0], lo[times > 0], times[times > 0]
+        need = np.maximum(1, size // group.length - limits)
+        # whole rows at a time; a row with more places than that is taken by itself
+        total = np.cumsum(times)
+        borders = np.flatnonzero(np.diff(rows[own])) + 1
+        a = 0
+        while a < len(own):
+            done = int(total[a - 1]) if a else 0
+            ends = np.append(borders[borders > a], len(own))
+            fits = ends[total[ends - 1] <= done + params.max_pairs]
+            b = int(fits[-1] if len(fits) else ends[0])
+            n, start = times[a:b], lo[a:b]
+            place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item = group.owners[place]
+            shift = np.repeat(own[a:b], n) - group.places[place]
+            near.extend(_close_places(np.repeat(rows[own[a:b]], n), item, shift, need, 2 * limits))
+            a = b
     best = {}
-    for h, t in zip(heads, tails, strict=True):
-        row, item = int(row_of[h]), int(item_of[h])
-        limit = int(params.max_edits * size[item])
-        a = max(int(first_word[row]), int(start_of[h]) - limit)
-        b = min(int(first_word[row + 1]), int(start_of[t]) + size[item] + limit)
+    for row, item, low, high in near:
+        row, item, limit = int(row), int(item), int(limits[item])
+        a = max(int(first_word[row]), int(low) - limit)
+        b = min(int(first_word[row + 1]), int(high) + int(size[item]) + 2 * limit)
         if np.isin(codes[a:b], items[item]).sum() < size[item] - limit:
             continue
         edits, start, end = closest_passage(items[item], codes[a:b])
@@ -214,17 +212,17 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, params: LeakParams
 
 def _passages(own: DataFrame, ids: list, items: list[np.ndarray], params: LeakParams) -> DataFrame:
     table = own.sparkSession.sparkContext.broadcast(
-        (ids, items, _bands(items, params), np.unique(np.concatenate(items)))
+        (ids, items, _pieces(items, params))
     )
 
     def run(batches):
-        ids, items, bands, vocabulary = table.value
+        ids, items, groups = table.value
         for batch in batches:
             for first, data, offsets, starts, ends, rows, first_word, codes in _codes(batch.column(1)):
                 if not len(codes):
                     continue
                 out = [[] for _ in range(6)]
-                for row, item, edits, a, b in _search(codes, first_word, rows, bands, items, vocabulary, params):
+                for row, item, edits, a, b in _search(codes, first_word, rows, groups, items, params):
                     text = data[offsets[row]:offsets[row + 1]]
                     points = np.cumsum((text & 0xC0) != 0x80)
                     start, end = int(starts[a] - offsets[row]), int(ends[b - 1] - offsets[row])

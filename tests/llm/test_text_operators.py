@@ -291,6 +291,26 @@ def test_benchmark_passages(spark, nothing):
     assert decontaminate.benchmark_passages(frame, bench.filter("item_id < 0")).collect() == []
 
 
+def test_benchmark_passages_at_the_edit_limit(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    items = [[word() for _ in range(n)] for n in (8, 9, 10, 19, 24, 59, 120, 250) for _ in range(3)]
+    texts, planted = [], set()
+    for k, item in enumerate(items):
+        for kind in ("replace", "insert", "delete", "mixed"):
+            w = list(item)
+            for _ in range(len(item) // 5):
+                how, at = rng.choice(["replace", "insert", "delete"]) if kind == "mixed" else kind, rng.randrange(len(w))
+                w[at:at + (how != "insert")] = [] if how == "delete" else ["zz"]
+            planted.add((len(texts), k))
+            texts.append(" ".join([word() for _ in range(30)] + w + [word() for _ in range(30)]))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for params in (decontaminate.LeakParams(), decontaminate.LeakParams(max_pairs=5)):
+        found = decontaminate.benchmark_passages(frame, bench, params).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == planted
+
+
 def test_scores_of_both_language_models(spark, texts, docs, nothing):
     rows = ctw.score_texts(docs, ctw.TreeParams(frequent=50)).collect()
     tokens = {i: WORDS(LOWER(t)) + ["\0"] for i, t in enumerate(texts)}
