@@ -1,7 +1,8 @@
 """Benchmark passages in documents, found by unspoilt pieces of their words and verified by edit distance.
 
 An item of n words is in a document if some passage is within ``floor(max_edits * n)`` word edits of it. Words are
-runs of letters, digits and non-ASCII characters, in lower case.
+runs of letters, digits and non-ASCII characters, in lower case (A-Z); each character of a script without spaces
+(Chinese, Japanese, Thai, Lao, Burmese, Khmer) is a word. An item of fewer than ``min_words`` words is searched exactly.
 
 Method. An item is cut into pieces of equal length that do not overlap. An edit spoils at most one piece, so a passage
 within k edits of an item of p pieces holds at least p - k of them unspoilt, each at most k words from its place. Every
@@ -14,8 +15,7 @@ The length of an item's pieces is the largest that leaves two unspoilt pieces, o
 The benchmark goes to the tasks in blocks of at most ``block_items`` items, a fixed size; a larger benchmark takes
 more passes over the documents.
 
-Defined cases: null or empty texts and items hold nothing; items of fewer than ``min_words`` words are too common to
-tell and are not searched; repeated rows are searched each; extra columns are ignored; an empty table on either side
+Defined cases: null or empty texts and items hold nothing; an item without words is not searched; repeated rows are searched each; extra columns are ignored; an empty table on either side
 gives no rows.
 """
 
@@ -35,7 +35,7 @@ FOUND = "doc_id long, item_id long, distance int, item_words int, start long, en
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``max_pairs``: places of pieces handled at once in a task; it bounds memory and changes no result."""
+    """``min_words``: fewest words of an item that may be edited. ``max_pairs``: places of pieces handled at once in a task; it bounds memory and changes no result."""
 
     max_edits: float = 0.2
     min_words: int = 8
@@ -43,11 +43,13 @@ class LeakParams:
     max_pairs: int = 1 << 21
 
     def edits(self, words: int) -> int:
-        return int(self.max_edits * words)
+        return int(self.max_edits * words) if words >= self.min_words else 0
 
     def piece(self, words: int) -> int:
         """Length of the pieces of an item of ``words`` words."""
         limit = self.edits(words)
+        if words < self.min_words:
+            return words
         if limit >= words:
             raise ValueError("max_edits must be below 1")
         for unspoilt in (2, 1):
@@ -179,9 +181,33 @@ def _search(codes, first_word, rows, groups, items, params):
         yield row, item, edits, start, end
 
 
+#: fixed values: first and last code points of scripts without spaces between words, CJK marks included
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3000, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _characters_apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray):
+    """(start, end, row) of words, after characters of scripts without spaces have become words of their own."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return starts, ends, rows
+    wide = data[lead] >= 0xF0
+    byte = lambda k: (data[np.minimum(lead + k, len(data) - 1)] & 0x3F).astype(np.int64)
+    three = ((data[lead].astype(np.int64) & 0x0F) << 12) | (byte(1) << 6) | byte(2)
+    four = ((data[lead].astype(np.int64) & 0x07) << 18) | (byte(1) << 12) | (byte(2) << 6) | byte(3)
+    point = np.where(wide, four, three)
+    own = np.zeros(len(lead), dtype=bool)
+    for low, high in UNSPACED:
+        own |= (point >= low) & (point <= high)
+    lead, after = lead[own], (lead + np.where(wide, 4, 3))[own]
+    word = np.searchsorted(starts, lead, side="right") - 1
+    cut = np.unique(np.concatenate([starts, lead, after[after < ends[word]]]))
+    word = np.searchsorted(starts, cut, side="right") - 1
+    return cut, np.minimum(np.append(cut[1:], len(data)), ends[word]), rows[word]
+
+
 def _codes(texts: pa.Array):
     for first, last, data, offsets in pieces(texts):
-        starts, ends, rows = word_bounds(data, offsets, MARKS)
+        starts, ends, rows = _characters_apart(data, *word_bounds(data, offsets, MARKS))
         first_word = np.searchsorted(rows, np.arange(last - first + 1))
         yield first, data, offsets, starts, ends, rows, first_word, word_codes(data, starts, ends, MARKS)
 
@@ -202,7 +228,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, params: LeakParams
         for first, _, _, _, _, _, first_word, codes in _codes(part.column("text")):
             for i in range(len(first_word) - 1):
                 item = codes[first_word[i]:first_word[i + 1]]
-                if len(item) >= params.min_words:
+                if len(item):
                     ids.append(part.column("item_id")[first + i].as_py())
                     words.append(item)
         if words:

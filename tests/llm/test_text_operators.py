@@ -311,6 +311,20 @@ def test_benchmark_passages_at_the_edit_limit(spark):
         assert {(r.doc_id, r.item_id) for r in found} == planted
 
 
+def test_short_and_unspaced_benchmark_items(spark):
+    asked = "水星是离太阳最近的行星吗请写出它的名字"
+    items = ["Who wrote it?", "Zweifel", asked, "ดาวพุธ", "é"]
+    texts = ["He asked: who WROTE it", "who really wrote it", "kein zweifel", asked, "前言" + asked.replace("最近", "很近") + "后记abc",
+             "水星是", "看ดาวพุธนะ", "café é", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.benchmark_passages(docs, bench).collect()}
+    assert set(got) == {(0, 0), (2, 1), (3, 2), (4, 2), (6, 3), (7, 4)}
+    assert got[4, 2].distance == 1 and texts[4][got[4, 2].start:got[4, 2].end] == asked.replace("最近", "很近")
+    assert [got[k].distance for k in ((0, 0), (2, 1), (3, 2), (6, 3), (7, 4))] == [0] * 5
+    assert texts[0][got[0, 0].start:got[0, 0].end] == "who WROTE it"
+
+
 def test_scores_of_both_language_models(spark, texts, docs, nothing):
     rows = ctw.score_texts(docs, ctw.TreeParams(frequent=50)).collect()
     tokens = {i: WORDS(LOWER(t)) + ["\0"] for i, t in enumerate(texts)}
