@@ -3,7 +3,10 @@
 Base kinds: ``assign`` (a value given to a name such as password or token), ``access`` (access key ids) and ``hex``
 (long hexadecimal runs). The method adds ``random``: a run of at least ``min_length`` key characters whose mean
 log-likelihood ratio per character step, between a Markov model of random strings and one of ordinary words, exceeds
-``min_ratio``. Runs that overlap a base span are not added.
+``min_ratio``. Where the mean of the whole run does not, or a base span lies within, the pieces between / . = _ and - are
+scored by their means, and beside them the stretches of the run that have the largest sums of step ratios less ``min_gain`` each: one linear scan ends a stretch where its sum falls to zero or by ``max_drop``
+below its largest value, and the stretch goes up to that value. A stretch of at least ``min_length`` characters whose
+mean exceeds ``min_ratio`` is added. Nothing added overlaps a base span.
 
 Both models are bigram counts, smoothed towards their character shares, which have add-one smoothing. They are trained on a sample of about
 ``sample_docs`` documents, labelled by the base forms: matched values are random strings; other words of at least
@@ -29,6 +32,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
 KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
+PIECE = r"[A-Za-z0-9+]{{{},}}+"
 SIZE = len(KEY_CHARS) + 1
 
 
@@ -36,6 +40,8 @@ SIZE = len(KEY_CHARS) + 1
 class SecretParams:
     min_length: int = 20
     min_ratio: float = 0.7
+    min_gain: float = 0.35
+    max_drop: float = 20.0
     min_word: int = 6
     smoothing: float = 10.0
     sample_docs: int = 20_000
@@ -123,24 +129,65 @@ def step_ratios(docs: DataFrame, params: SecretParams = SecretParams()) -> list[
     return [round(float(x), 6) for x in (logs[1] - logs[0]).reshape(-1)]
 
 
+def _random_spans(run: Column, base: Column, ratios: Column, params: SecretParams) -> Column:
+    """Array of (start, kind, end) of the random strings in ``run`` that overlap no span of ``base``."""
+    start, end = run.getField("start"), run.getField("end")
+    span = lambda a, z: F.struct(a.alias("start"), F.lit(3).alias("kind"), z.alias("end"))
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    never = F.lit(-1e9)
+    near = F.filter(base, lambda x: (x.getField("start") < end) & (start < x.getField("end")))
+
+    def stretches(scores: Column) -> Column:
+        def step(a: Column, x: Column) -> Column:
+            at, first, last, out = (a.getField(k) for k in ("at", "first", "last", "out"))
+            total, best = a.getField("total") + x - params.min_gain, a.getField("best")
+            stop = (total <= 0) | (total < best - params.max_drop)
+            good = stop & (last - first + 1 >= params.min_length) & (best > (params.min_ratio - params.min_gain) * (last - first))
+            ahead = total > best
+            return F.struct(
+                (at + 1).alias("at"), F.when(stop, at + 1).otherwise(first).alias("first"),
+                F.when(stop | ahead, at + 1).otherwise(last).alias("last"),
+                F.when(stop, F.lit(0.0)).otherwise(total).alias("total"),
+                F.when(stop, F.lit(0.0)).when(ahead, total).otherwise(best).alias("best"),
+                F.when(good, F.concat(out, F.array(span(start + first, start + last + 1)))).otherwise(out).alias("out"),
+            )
+
+        zero, nought = F.lit(0).cast("long"), F.lit(0.0)
+        begin = F.struct(zero.alias("at"), zero.alias("first"), zero.alias("last"), nought.alias("total"), nought.alias("best"), none.alias("out"))
+        return F.aggregate(F.concat(scores, F.array(never)), begin, step, lambda a: a.getField("out"))
+
+    def scored(near: Column) -> Column:
+        def chosen(scores: Column) -> Column:
+            mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(x), F.lit(1))
+            inner = lambda p: F.slice(scores, (p.getField("start") + 1).cast("int"), (p.getField("end") - p.getField("start") - 1).cast("int"))
+            parts = F.filter(_spans(run.getField("value"), PIECE.format(params.min_length), 3), lambda p: mean(inner(p)) > params.min_ratio)
+            placed = F.transform(parts, lambda p: span(start + p.getField("start"), start + p.getField("end")))
+            apart = lambda found: F.filter(stretches(scores), lambda x: ~F.exists(
+                found, lambda p: (p.getField("start") < x.getField("end")) & (x.getField("start") < p.getField("end"))
+            ))
+            pieces = _let(placed, lambda found: F.concat(found, apart(found)))
+            return F.when((F.size(near) == 0) & (mean(scores) > params.min_ratio), F.array(span(start, end))).otherwise(pieces)
+
+        # a step lies on two characters
+        taken = lambda i: F.exists(near, lambda x: (x.getField("start") <= start + i + 1) & (start + i < x.getField("end")))
+        plain = lambda s: F.transform(s, lambda x: F.get(ratios, x))
+        free = lambda s: F.transform(s, lambda x, i: F.when(taken(i), never).otherwise(F.get(ratios, x)))
+        return _steps(run.getField("value"), lambda s: _let(F.when(F.size(near) == 0, plain(s)).otherwise(free(s)), chosen))
+
+    return _let(near, scored)
+
+
 def secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame:
     """Counts of base spans, a digest of them and all spans, for every document of ``docs`` (doc_id, text)."""
     ratios = F.from_json(F.lit(json.dumps(step_ratios(docs, params))), "array<double>")
-    ratio = lambda value: _steps(
-        value, lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + F.get(ratios, x)) / F.greatest(F.size(s), F.lit(1))
-    )
     found = _base(docs).select(
         "doc_id", "assign", "access", "hex", _spans(F.col("text"), _run(params.min_length), 3).alias("runs")
     )
     plain = lambda column: F.transform(column, lambda m: m.dropFields("value"))
     both = found.withColumns({
         "base": F.array_sort(F.concat(plain("assign"), plain("access"), plain("hex"))),
-    }).withColumn("added", _let(F.col("base"), lambda b: F.filter(
-        F.filter(
-            F.col("runs"),
-            lambda r: ~F.exists(b, lambda x: (x.getField("start") < r.getField("end")) & (r.getField("start") < x.getField("end"))),
-        ),
-        lambda r: ratio(r.getField("value")) > params.min_ratio,
+    }).withColumn("added", _let(F.col("base"), lambda b: F.flatten(
+        F.transform(F.col("runs"), lambda r: _random_spans(r, b, ratios, params))
     )))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda m: F.concat_ws(
         ":", F.element_at(F.array(*map(F.lit, KINDS)), m.getField("kind") + 1), m.getField("start"), m.getField("end")
@@ -148,6 +195,6 @@ def secrets(docs: DataFrame, params: SecretParams = SecretParams()) -> DataFrame
     return both.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
         F.sha2(spelled(F.col("base")), 256).alias("base_sha256"),
-        spelled(F.array_sort(F.concat(F.col("base"), plain("added")))).alias("spans"),
+        spelled(F.array_sort(F.concat(F.col("base"), F.col("added")))).alias("spans"),
         F.size("added").cast("long").alias("n_random"),
     )

@@ -261,6 +261,35 @@ def test_secret_spans(spark, nothing):
     assert secrets.secrets(nothing).collect() == []
 
 
+def test_secrets_glued_to_ordinary_text_are_found(spark):
+    rng = random.Random(5)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    vocabulary = ["".join(rng.choice(syllables) for _ in range(rng.randint(3, 4))) for _ in range(200)]
+    key = lambda n=32: "".join(rng.choice(secrets.KEY_CHARS[:62]) for _ in range(n))
+    path = lambda: "/".join(rng.choice(vocabulary) for _ in range(8))
+    texts = [" ".join([path(), *(rng.choice(vocabulary) for _ in range(20)), "token = " + key()]) for _ in range(150)]
+    planted = {}
+    for i in range(40):
+        first, second, before = key(), key(), "é " * (i % 3) + path() + "/"
+        kinds = [
+            before + first, before + first + "/" + path(), before + first + "/" + path() + "/" + second,
+            f"{before}{first}/{path()} token={second}",
+        ]
+        text = kinds[i % 4]
+        planted[len(texts)] = [(text.index(k), text.index(k) + 32) for k in (first, second) if k in text][:2 if i % 4 == 2 else 1]
+        texts.append(text)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.secrets(docs).collect()
+    hits = 0
+    for r in found:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random")]
+        if r.doc_id not in planted:
+            assert not spans, texts[r.doc_id]
+        else:
+            hits += sum(any(min(e, z) - max(a, s) >= 20 and z - s <= 42 for s, z in spans) for a, e in planted[r.doc_id])
+    assert hits >= 0.9 * sum(map(len, planted.values()))
+
+
 def test_benchmark_passages(spark, nothing):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
