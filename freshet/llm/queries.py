@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from freshet.llm import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {"op2_ngram_jaccard_join": sql.NEAR_DUPLICATES, "op8_quality_divergence": sql.QUALITY}
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": sql.NEAR_DUPLICATES,
+    "op8_quality_divergence": sql.QUALITY,
+    "op11_hard_negatives": sql.HARD_NEGATIVES,
+    "op12_ns_kmeans": sql.KMEANS,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,3 +99,25 @@ def op9_language_fusion(spark, sf_dir):
     from freshet.llm.language import page_languages
 
     return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    from freshet.llm.hard_negatives import hard_negatives, vector_rows
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vector_rows(table(spark, sf_dir, "embeddings"), label, 256), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op12_ns_kmeans(spark, sf_dir):
+    from freshet.llm.ns_kmeans import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_url_filter(spark, sf_dir):
+    from freshet.llm.url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))

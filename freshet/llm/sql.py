@@ -71,3 +71,52 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
     AND NOT coalesce(n_words >= {_P.min_words_common} AND m.d > {_P.max_word_distance}, false) AS kept,
   round(c.d, 6) AS char_distance, round(m.d, 6) AS word_distance
 FROM facts f LEFT JOIN classes_distance c ON c.doc_id = f.doc_id LEFT JOIN common_distance m ON m.doc_id = f.doc_id"""
+
+#: components that are known and finite
+_FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+HARD_NEGATIVES = f"""WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+def _kmeans(clusters: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds written out: cells (centroid number, component, value) and nearest centroids by turns."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT n, arg_min(c, d * {clusters} + c) AS c, min(d) AS d
+  FROM (SELECT x.n, y.c, sum((x.x - y.x) * (x.x - y.x))::BIGINT AS d FROM cells x JOIN c{r} y USING (i) GROUP BY 1, 2) GROUP BY 1)""")
+        if r < rounds:
+            steps.append(f"""s{r} AS (
+  SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM cells JOIN a{r} USING (n) GROUP BY 1, 2),
+c{r + 1} AS (
+  SELECT c, i, CASE WHEN s.n IS NULL THEN x ELSE (s.s - ((s.s % s.n) + s.n) % s.n) // s.n END AS x FROM c{r} LEFT JOIN s{r} s USING (c, i))""")
+    return f"""WITH kept AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINE}),
+cells AS (SELECT n, unnest(range(64)) AS i, unnest(v) AS x FROM kept),
+c0 AS (
+  SELECT c - 1 AS c, unnest(range(64)) AS i, unnest(v) AS x FROM (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) AS c, v FROM kept WHERE vec_id IS NOT NULL) WHERE c <= {clusters}),
+{', '.join(steps)},
+h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN kept USING (n) JOIN h USING (c)"""
+
+
+KMEANS = _kmeans()
