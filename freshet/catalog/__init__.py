@@ -5,5 +5,5 @@ from importlib import import_module
 
 def load() -> None:
     """Import every module that registers queries."""
-    for name in ("windows", "months", "panels", "distributions", "models"):
+    for name in ("windows", "months", "panels", "distributions", "models", "files"):
         import_module(f"freshet.catalog.{name}")

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.functions.calendar import cycle_cos, cycle_sin, DAYS_PER_YEAR
 from freshet.functions.numeric import from_log_target, log_target, zero_if_null
-from freshet.operators import aggregates, bands, evaluation, linear, panel, trees
+from freshet.operators import aggregates, bands, evaluation, linear, panel, quantiles, trees
 from freshet.operators.scaling import mean_imputed
 from freshet.operators.windows import SeriesWindow
 from freshet.plans.reports import score_report
 from freshet.session import durable
 from freshet.sources.checks import pick_features
-from freshet.sources.tables import write_result
+from freshet.sources.results import read_result, write_result
 
 # Default periods, quantiles, weights and features of the published model.
 TRAIN_END, VAL_END = 2018, 2023
@@ -106,9 +106,10 @@ def model_table(features: DataFrame, sub: DataFrame | None, config: DailyConfig)
         F.col("inflow_next30").alias("y_true"), F.col("inflow_next30_log").alias("y_log"),
     ).withColumn("split", evaluation.split_by_year(F.col("year"), config.train_end, config.val_end))
     if config.impute_before_drop:
-        rows = mean_imputed(rows, chosen, F.col("split") == "train")
-    rows = rows.na.drop()
-    rows = evaluation.train_quantiles(rows, "y_true", {"flood": FLOOD_QUANTILE, "event": EVENT_QUANTILE})
+        rows = mean_imputed(durable(rows), chosen, F.col("split") == "train")
+    # thresholds read the rows several times
+    rows = durable(rows.na.drop())
+    rows = quantiles.train_quantiles(rows, "y_true", {"flood": FLOOD_QUANTILE, "event": EVENT_QUANTILE})
     weight = evaluation.tail_weight(F.col("y_true"), F.col("event"), F.col("flood"), EVENT_WEIGHT, FLOOD_WEIGHT)
     high = (F.col("y_true") >= F.col("event")).cast("double")
     return rows.withColumns({"weight": weight, "high": high}), chosen
@@ -125,16 +126,32 @@ class DailyForecast:
     cadence: DataFrame
     issue_day: int = 1
 
-    def write(self, folder: str, fmt: str = "csv") -> None:
-        """Scores, test forecast, issue-day slice and cadence scores as files."""
-        day = f"day{self.issue_day}"
-        write_result(score_report(self.scores), f"{folder}/metrics_daily_next30", fmt, order_by=["split", "RMSE", "name"])
-        write_result(self.forecast, f"{folder}/predictions_daily_next30_with_ci", fmt, order_by=["date_day"])
-        write_result(
-            self.issue_days, f"{folder}/predictions_monthly_issue_{day}_next30_with_ci", fmt, order_by=["date_day"]
-        )
+    def files(self, folder: str) -> dict[str, str]:
+        """Paths of the result files."""
+        return {
+            "scores": f"{folder}/metrics_daily_next30",
+            "forecast": f"{folder}/predictions_daily_next30_with_ci",
+            "issue_days": f"{folder}/predictions_monthly_issue_day{self.issue_day}_next30_with_ci",
+            "cadence": f"{folder}/metrics_issue_cadence_next30",
+        }
+
+    def write(self, folder: str, fmt: str = "csv") -> dict[str, str]:
+        """Scores, test forecast, issue-day slice and cadence scores as files; returns their paths."""
+        paths = self.files(folder)
         cadence = score_report(self.cadence.join(self.best.withColumnRenamed("name", "model"), "series_id"))
-        write_result(cadence, f"{folder}/metrics_issue_cadence_next30", fmt, order_by=["cadence"])
+        write_result(score_report(self.scores), paths["scores"], fmt, order_by=["split", "RMSE", "name"])
+        write_result(self.forecast, paths["forecast"], fmt, order_by=["date_day"])
+        write_result(self.issue_days, paths["issue_days"], fmt, order_by=["date_day"])
+        write_result(cadence, paths["cadence"], fmt, order_by=["cadence"])
+        return paths
+
+    def read(self, spark: SparkSession, folder: str, name: str, fmt: str = "csv") -> DataFrame:
+        """One of the written files, typed as the table it was written from."""
+        table = {"forecast": self.forecast, "issue_days": self.issue_days}.get(name)
+        schema = score_report(self.scores).schema if name == "scores" else table.schema if table is not None else None
+        if schema is None:
+            schema = score_report(self.cadence.withColumn("model", F.lit(""))).schema
+        return read_result(spark, self.files(folder)[name], schema, fmt)
 
 
 def predict_all(table: DataFrame, chosen: list[str], config: DailyConfig) -> tuple[DataFrame, dict[str, str]]:

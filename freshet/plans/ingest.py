@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from freshet.functions.numeric import zero_fill
 from freshet.sources.schemas import MEASURES
-from freshet.sources.tables import daily_log, write_result
+from freshet.sources.results import write_result
+from freshet.sources.tables import daily_log
 from freshet.sources.text_log import read_text_logs
 
 

@@ -14,7 +14,7 @@ from freshet.operators.scaling import mean_imputed
 from freshet.operators.windows import SeriesWindow, append_future_rows, latest_rows
 from freshet.plans.reports import score_report
 from freshet.session import durable
-from freshet.sources.tables import write_result
+from freshet.sources.results import write_result
 
 # Default periods, heavy-rain limit and features of the published monthly model.
 TRAIN_END, VAL_END = 2018, 2021
@@ -151,7 +151,7 @@ def monthly_forecast(
         evaluation.split_by_year(F.col("year"), train_end, val_end, exclude_years).alias("split"),
     )
     if impute_before_drop:
-        rows = mean_imputed(rows, chosen, F.col("split") == "train")
+        rows = mean_imputed(durable(rows), chosen, F.col("split") == "train")
     rows = durable(rows.na.drop())
     train = rows.where("split = 'train'")
     out, columns = rows, {}

@@ -1,4 +1,4 @@
-"""CSV inputs and result files."""
+"""CSV inputs."""
 
 from __future__ import annotations
 
@@ -61,23 +61,5 @@ def subbasin_rows(raw: DataFrame, value_header: str, value: str, series_id: str
     ).na.drop(subset=["date_day", "area"])
 
 
-def write_result(
-    df: DataFrame,
-    path: str,
-    fmt: str = "parquet",
-    partition_by: list[str] | None = None,
-    order_by: list[str] | None = None,
-) -> None:
-    """Write a result; parquet by default, CSV with header on request, split into folders or sorted when asked."""
-    if order_by:
-        df = df.orderBy(*order_by)
-    writer = df.write.mode("overwrite").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], schema) -> DataFrame:
     return spark.createDataFrame(rows, schema)
