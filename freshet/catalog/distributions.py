@@ -12,6 +12,7 @@ from freshet.functions.calendar import season
 from freshet.functions.numeric import interval_band, sigma_band
 from freshet.operators import distributions, products, quantiles
 from freshet.plans.monthly import month_history_table
+from freshet.session import durable
 
 BY = ["series_id", "month"]
 
@@ -24,9 +25,9 @@ CUBIC_FEET_PER_ACRE_FOOT = 43560
 
 
 def _daily(spark, sf_dir):
-    """Daily inflow of the five series in larger units."""
-    log = priority_log(spark, sf_dir)
-    return log.select("series_id", F.month("date_day").alias("month"), (F.col("inflow_adj") / CUBIC_FEET_PER_ACRE_FOOT).alias("x"))
+    """Daily inflow of the five series in larger units, a row per series and day; read several times, so written once."""
+    inflow = (F.col("inflow_adj") / CUBIC_FEET_PER_ACRE_FOOT).alias("x")
+    return durable(priority_log(spark, sf_dir).select("series_id", F.month("date_day").alias("month"), inflow))
 
 
 DAILY_X = PRIORITY + f""", xs AS (
@@ -279,14 +280,14 @@ _Q = [0.05, 0.25, 0.75, 0.95]
     "quantiles_by_season_month",
     select(DAILY_X + f", ss AS (SELECT *, {_SEASON} AS season FROM xs)",
            "SELECT series_id, season, month, CAST(grouping(series_id, season, month) AS BIGINT) AS grouping, count(*) AS n, "
-           + ", ".join(f"round(quantile_cont(x, {p}), 7) AS {distributions.quantile_name(p)}" for p in _Q)
+           + ", ".join(f"round(quantile_cont(x, {p}), 7) AS {quantiles.quantile_name(p)}" for p in _Q)
            + " FROM ss GROUP BY GROUPING SETS ((series_id, season, month), (series_id, season), (series_id))"),
 )
 def _(spark, sf_dir):
     daily = _daily(spark, sf_dir).withColumn("season", season(F.col("month")))
     keys = ["series_id", "season", "month"]
-    out = distributions.quantile_table(daily, "x", _Q, [keys, keys[:2], keys[:1]], keys)
-    return rounded(out, {distributions.quantile_name(p): 7 for p in _Q})
+    out = quantiles.quantile_table(daily, "x", _Q, [keys, keys[:2], keys[:1]], keys)
+    return rounded(out, {quantiles.quantile_name(p): 7 for p in _Q})
 
 
 @query(
@@ -296,14 +297,14 @@ def _(spark, sf_dir):
            """SELECT series_id, month, x, round(greatest(least(x, hi), lo), 7) AS clipped FROM xs JOIN q USING (series_id)"""),
 )
 def _(spark, sf_dir):
-    clipped = distributions.winsorized(_daily(spark, sf_dir), "x", 0.01, "clipped")
+    clipped = quantiles.winsorized(_daily(spark, sf_dir), "x", 0.01, "clipped")
     return rounded(clipped, {"clipped": 7})
 
 
 @query(
     "pooled_quantiles",
     f"""SELECT l_returnflag, count(*) AS n, {', '.join(
-        f"round(quantile_cont(l_extendedprice * l_quantity, {p}), 5) AS {distributions.quantile_name(p)}" for p in (0.01, *_Q, 0.99))}
+        f"round(quantile_cont(l_extendedprice * l_quantity, {p}), 5) AS {quantiles.quantile_name(p)}" for p in (0.01, *_Q, 0.99))}
 FROM lineitem GROUP BY 1""",
 )
 def _(spark, sf_dir):
@@ -312,4 +313,4 @@ def _(spark, sf_dir):
         "l_returnflag", (F.col("l_extendedprice") * F.col("l_quantity")).alias("amount")
     )
     out = quantiles.pooled_quantiles(lines, "amount", [0.01, *_Q, 0.99], ["l_returnflag"])
-    return rounded(out, {distributions.quantile_name(p): 5 for p in (0.01, *_Q, 0.99)})
+    return rounded(out, {quantiles.quantile_name(p): 5 for p in (0.01, *_Q, 0.99)})

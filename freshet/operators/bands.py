@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.functions.calendar import season
-from freshet.operators.distributions import quantile_name, quantile_table, winsorized
+from freshet.operators.quantiles import quantile_name, quantile_table, winsorized
+from freshet.session import durable
 
 # Quantile levels of the 90 % and the 50 % band.
 LEVELS = {"lo90": 0.05, "hi90": 0.95, "lo50": 0.25, "hi50": 0.75}
@@ -23,12 +24,12 @@ def residual_bands(df: DataFrame, residual: str, month: str = "month") -> DataFr
 
     Residuals are clipped at their 1 % ends. A month of at least ten rows speaks with weight min(1, n / 30) and its
     season, when it has twenty, with the rest; weights are scaled to 1, and without either the series-wide quantiles
-    stand. Quantiles are exact and a group holds at most one residual per date.
+    stand. Quantiles are exact.
     """
     base = df.where(F.col(residual).isNotNull()).select(
         "series_id", F.col(month).alias("month"), season(F.col(month)).alias("season"), F.col(residual).alias("_r")
     )
-    clipped = winsorized(base, "_r", CLIP_SHARE, "_rw")
+    clipped = durable(winsorized(base, "_r", CLIP_SHARE, "_rw"))
     table = quantile_table(
         clipped,
         "_rw",

@@ -6,10 +6,13 @@ moments, which combine map-side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions import gamma as G
 from freshet.functions.numeric import grid_point, normal_density
+from freshet.operators.groups import join_groups, with_facts
+from freshet.operators.ranks import cumulated, value_counts
+from freshet.session import durable
 
 BY_MONTH = ["series_id", "month"]
 
@@ -111,20 +114,17 @@ def gamma_grid(fit: DataFrame, by: list[str] = BY_MONTH, points: int = 200, pad:
 def gamma_ks(df: DataFrame, fit: DataFrame, value: str, by: list[str] = BY_MONTH) -> DataFrame:
     """Kolmogorov-Smirnov distance of the values from their fitted gamma, with the asymptotic p-value.
 
-    A group without a fit has its size and nulls.
+    A group without a fit has its size and nulls. Values are ranked by a range exchange, so one group spreads over as
+    many tasks as it needs; equal values are one row.
     """
-    group = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(
-        *by,
-        F.col(value).alias("_x"),
-        F.row_number().over(group.orderBy(value)).alias("_i"),
-        F.count(F.lit(1)).over(group).alias("_n"),
-    )
-    scored = ranked.join(fit.select(*by, "shape", "loc", "scale"), by, "left").withColumn(
-        "_f", F.when(F.col("shape").isNotNull(), G.gamma_cdf(F.col("_x"), F.col("shape"), F.col("loc"), F.col("scale")))
+    counts = cumulated(value_counts(df, value, by), by)
+    sizes = durable(counts.groupBy(*by).agg(F.sum("c").alias("n")))
+    scored = join_groups(join_groups(counts, sizes, by), durable(fit.select(*by, "shape", "loc", "scale")), by).withColumn(
+        "_f", F.when(F.col("shape").isNotNull(), G.gamma_cdf(F.col("x"), F.col("shape"), F.col("loc"), F.col("scale")))
     )
-    gap = F.greatest(F.col("_i") / F.col("_n") - F.col("_f"), F.col("_f") - (F.col("_i") - 1) / F.col("_n"))
-    ks = scored.groupBy(*by).agg(F.max("_n").alias("n"), F.max(gap).alias("d"))
+    # of equal values, the last is highest above the fit and the first lowest below it
+    gap = F.greatest((F.col("before") + F.col("c")) / F.col("n") - F.col("_f"), F.col("_f") - F.col("before") / F.col("n"))
+    ks = scored.groupBy(*by).agg(F.max("n").alias("n"), F.max(gap).alias("d"))
     return ks.select(*by, "n", "d", kolmogorov_p(F.sqrt("n") * F.col("d")).alias("p_value"))
 
 
@@ -151,20 +151,13 @@ def histogram(df: DataFrame, value: str, by: list[str] = BY_MONTH, bins: int | s
     ``bins="sqrt"`` takes the root of the group size, kept between 12 and 15. A group of one repeated value gets the
     unit interval around it.
     """
-    group = Window.partitionBy(*by)
-    n = F.count(value).over(group)
-    root = F.least(F.lit(15), F.greatest(F.lit(12), F.floor(F.sqrt(n)).cast("int")))
+    x = F.col(value)
+    pad = F.when(F.min(x) == F.max(x), 0.5).otherwise(0.0)
+    facts = [F.count(x).alias("n"), (F.min(x) - pad).alias("_low"), (F.max(x) + pad).alias("_high")]
+    root = F.least(F.lit(15), F.greatest(F.lit(12), F.floor(F.sqrt("n")).cast("int")))
     k = root if bins == "sqrt" else F.lit(int(bins))
-    flat = F.min(value).over(group) == F.max(value).over(group)
-    pad = F.when(flat, 0.5).otherwise(0.0)
-    placed = df.where(F.col(value).isNotNull()).select(
-        *by,
-        F.col(value).alias("_x"),
-        n.alias("n"),
-        k.alias("_k"),
-        (F.min(value).over(group) - pad).alias("_low"),
-        (F.max(value).over(group) + pad).alias("_high"),
-    )
+    known = df.where(x.isNotNull()).select(*by, value)
+    placed = with_facts(known, facts, by).withColumnRenamed(value, "_x").withColumn("_k", k)
     span = F.col("_high") - F.col("_low")
     slot = F.least(F.floor((F.col("_x") - F.col("_low")) / span * F.col("_k")), F.col("_k") - 1).cast("int")
     head = [*by, "n", "_k", "_low", "_high"]
@@ -183,33 +176,6 @@ def histogram(df: DataFrame, value: str, by: list[str] = BY_MONTH, bins: int | s
     )
 
 
-def quantile_table(df: DataFrame, value: str, levels: list[float], sets: list[list[str]], keys: list[str]) -> DataFrame:
-    """Exact interpolated quantiles and group sizes for several groupings in one pass.
-
-    ``keys`` lists every grouping column; a key outside a row's grouping is null there, and ``grouping`` tells which.
-    """
-    groups = [[F.col(c) for c in s] for s in sets]
-    q = F.percentile(value, F.array(*[F.lit(float(p)) for p in levels]))
-    out = df.groupingSets(groups, *[F.col(k) for k in keys]).agg(
-        F.grouping_id().alias("grouping"), F.count(F.lit(1)).alias("n"), q.alias("_q")
-    )
-    return out.select(*keys, "grouping", "n", *[F.col("_q")[i].alias(quantile_name(p)) for i, p in enumerate(levels)])
-
-
-def quantile_name(level: float) -> str:
-    """q05 for 0.05, q975 for 0.975."""
-    digits = f"{level:.3f}"[2:]
-    return "q" + (digits[:2] if digits.endswith("0") else digits)
-
-
-def winsorized(df: DataFrame, value: str, p: float, name: str, series: list[str] = ("series_id",)) -> DataFrame:
-    """Add ``value`` clipped to its p and 1 - p quantiles within the series."""
-    ends = F.percentile(value, F.array(F.lit(p), F.lit(1 - p))).over(Window.partitionBy(*series))
-    low, high = F.col("_ends")[0], F.col("_ends")[1]
-    clipped = F.when(F.col(value) < low, low).when(F.col(value) > high, high).otherwise(F.col(value))
-    return df.withColumn("_ends", ends).withColumn(name, clipped).drop("_ends")
-
-
 def regression_residual(
     df: DataFrame,
     y: str,
@@ -224,16 +190,15 @@ def regression_residual(
 
     ``fit`` restricts the rows that the line is fitted on, for instance to the training years.
     """
-    w = Window.partitionBy(*series)
     used = F.col(x).isNotNull() & F.col(y).isNotNull()
     if fit is not None:
         used = used & fit
     yy, xx = F.when(used, F.col(y)), F.when(used, F.col(x))
     if intercept:
-        slope, base = F.regr_slope(yy, xx).over(w), F.regr_intercept(yy, xx).over(w)
+        slope, base = F.regr_slope(yy, xx), F.regr_intercept(yy, xx)
     else:
-        slope, base = F.try_divide(F.sum(yy * xx).over(w), F.sum(xx * xx).over(w)), F.lit(0.0)
-    fitted = df.select("*", slope.alias("_slope"), base.alias("_base"), F.count(yy).over(w).alias("_pairs"))
+        slope, base = F.try_divide(F.sum(yy * xx), F.sum(xx * xx)), F.min(F.lit(0.0))
+    fitted = with_facts(df, [slope.alias("_slope"), base.alias("_base"), F.count(yy).alias("_pairs")], list(series))
     residual = F.when(F.col("_pairs") >= min_pairs, F.col(y) - (F.col("_base") + F.col("_slope") * F.col(x)))
     return fitted.withColumn(name, residual).drop("_slope", "_base", "_pairs")
 

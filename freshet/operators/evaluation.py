@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from freshet.operators.groups import with_facts
+from freshet.operators.long_series import number_rows
+
 
 def split_by_year(year: Column, train_end: int, val_end: int, exclude: list[int] = ()) -> Column:
     """train / val / test by year, ends inclusive; excluded years are left out of train (null)."""
@@ -19,18 +22,10 @@ def hash_split(key: Column, seed: int = 42, train_percent: int = 80) -> Column:
 
 
 def ordered_split(df: DataFrame, order: str, share: float = 0.8, series: list[str] = ("series_id",)) -> DataFrame:
-    """First ``share`` of every series by order is train, the rest test."""
-    w = Window.partitionBy(*series)
-    row, n = F.row_number().over(w.orderBy(order)), F.count(F.lit(1)).over(w)
-    return df.withColumn("split", F.when(row <= F.floor(n * F.lit(share)), "train").otherwise("test"))
-
-
-def train_quantiles(df: DataFrame, value: str, levels: dict[str, float], series: list[str] = ("series_id",)):
-    """Add per-series quantiles of the training rows as columns."""
-    on_train = F.when(F.col("split") == "train", F.col(value))
-    names = list(levels)
-    q = F.percentile(on_train, F.array(*[F.lit(levels[c]) for c in names])).over(Window.partitionBy(*series))
-    return df.withColumn("_q", q).select("*", *[F.col("_q")[i].alias(c) for i, c in enumerate(names)]).drop("_q")
+    """First ``share`` of every series by order is train, the rest test. Rows are numbered by a range exchange."""
+    numbered = with_facts(number_rows(df, list(series), [order]), [F.count(F.lit(1)).alias("_n")], list(series))
+    split = F.when(F.col("position") <= F.floor(F.col("_n") * F.lit(share)), "train").otherwise("test")
+    return numbered.select(*df.columns, split.alias("split"))
 
 
 def tail_weight(value: Column, event: Column, flood: Column, event_weight: float = 1.8, flood_weight: float = 3.0):
@@ -81,9 +76,13 @@ def score(
     yhat: str = "y_pred",
     flood: str | None = None,
     event: str | None = None,
+    mse: bool = False,
 ) -> DataFrame:
     """All scores per group in one aggregation; rows lacking either value do not count."""
     measures = accuracy(y, yhat)
+    if mse:
+        err = F.col(y) - F.col(yhat)
+        measures.append(F.avg(err * err).alias("mse"))
     if flood:
         measures += flood_scores(y, yhat, flood)
     if event:
@@ -91,6 +90,17 @@ def score(
     return predictions.na.drop(subset=[y, yhat]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *measures)
 
 
+def coverage(df: DataFrame, by: list[str], y: str = "y_true", names: tuple[str, ...] = ("90", "50"), prefix: str = "y_") -> DataFrame:
+    """How many rows of a group lie in their intervals: n and the share ``covered_90`` with y_lo90 <= y <= y_hi90.
+
+    Rows lacking the value or an end do not count.
+    """
+    ends = [f"{prefix}{side}{n}" for n in names for side in ("lo", "hi")]
+    inside = lambda n: F.col(y).between(F.col(f"{prefix}lo{n}"), F.col(f"{prefix}hi{n}")).cast("double")
+    known = df.na.drop(subset=[y, *ends])
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(inside(n)).alias(f"covered_{n}") for n in names])
+
+
 def stack_predictions(df: DataFrame, models: dict[str, str], keep: list[str]) -> DataFrame:
     """Prediction columns side by side -> one row per model, in one pass over the table."""
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).alias("y_pred")) for n, c in models.items()])
@@ -135,8 +145,8 @@ def issue_day_rows(df: DataFrame, issue_day: int = 1, date: str = "date_day") ->
 def outlier_flags(df: DataFrame, y: str, yhat: str, by: list[str] = ("series_id",), sigmas: float = 2.0) -> DataFrame:
     """Mark rows whose residual exceeds ``sigmas`` population standard deviations of the group's residuals."""
     resid = F.col(y) - F.col(yhat)
-    spread = F.stddev_pop(resid).over(Window.partitionBy(*by))
-    return df.withColumn("outlier", F.abs(resid) > F.lit(sigmas) * spread)
+    spread = with_facts(df, [F.stddev_pop(resid).alias("_spread")], list(by))
+    return spread.withColumn("outlier", F.abs(resid) > F.lit(sigmas) * F.col("_spread")).drop("_spread")
 
 
 def trend_line(df: DataFrame, y: str, yhat: str, by: list[str] = ("series_id",)) -> DataFrame:

@@ -2,9 +2,10 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.functions import gamma
-from freshet.operators import distributions as dist
+from freshet.operators import distributions as dist, quantiles, ranks
 
 BY = ["series_id", "month"]
 
@@ -103,13 +104,13 @@ def test_histogram_matches_numpy(sample, bins):
 
 def test_quantiles_and_winsorizing(sample):
     df, x = sample
-    table = dist.quantile_table(df, "x", [0.05, 0.975], [BY, ["series_id"]], BY)
+    table = quantiles.quantile_table(df, "x", [0.05, 0.975], [BY, ["series_id"]], BY)
     rows = {r.month: r for r in table.collect()}
     everything = np.concatenate(list(x.values()))
     assert rows[2].q05 == pytest.approx(np.quantile(x[2], 0.05))
     assert rows[None].q975 == pytest.approx(np.quantile(everything, 0.975))
     assert rows[None].n == len(everything) + 1  # sizes count rows with a null too
-    clipped = [r.c for r in dist.winsorized(df, "x", 0.1, "c").collect() if r.c is not None]
+    clipped = [r.c for r in quantiles.winsorized(df, "x", 0.1, "c").collect() if r.c is not None]
     assert min(clipped) == pytest.approx(np.quantile(everything, 0.1))
     assert max(clipped) == pytest.approx(np.quantile(everything, 0.9))
 
@@ -133,13 +134,11 @@ def test_correlation_skips_pairs_with_a_null(frame):
     assert r.xy == pytest.approx(1) and r.xz == pytest.approx(-1)
 
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1000])
-def test_pooled_quantiles_are_exact(spark, monkeypatch, broadcast_rows):
-    from freshet.operators import quantiles
-
+@pytest.mark.parametrize("broadcast_bytes", ["-1", "10m"])
+def test_pooled_quantiles_are_exact(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(quantiles, "ACCURACY", 200)
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 2000)
-    monkeypatch.setattr(quantiles, "_BROADCAST_ROWS", broadcast_rows)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, broadcast_bytes)
     rng = np.random.default_rng(4)
     x = {
         "smooth": rng.normal(size=30_000),
@@ -154,8 +153,75 @@ def test_pooled_quantiles_are_exact(spark, monkeypatch, broadcast_rows):
     got = {r.g: r for r in quantiles.pooled_quantiles(df, "x", levels, ["g"]).collect()}
     for k, values in x.items():
         assert got[k].n == len(values)
-        mine = [got[k][dist.quantile_name(p)] for p in levels]
+        mine = [got[k][quantiles.quantile_name(p)] for p in levels]
         assert mine == pytest.approx(np.quantile(values, levels).tolist()), k
+    spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("shift", [-1.0, 0.5, 40.0])
+def test_a_bracket_that_misses_is_widened(spark, shift):
+    """Proposals that lie beside every wanted rank, in all but the last reach or in all of them."""
+    values = np.random.default_rng(9).normal(size=5_000)
+    df = spark.createDataFrame([("a", float(v)) for v in values], "g string, x double").repartition(8)
+    levels = [0.25, 0.9]
+    right = [float(np.quantile(values, min(max(p + s * 0.05, 0), 1))) for p in levels for s in (-1, 1)]
+    wrong = [e + shift for e in right]
+    for ends in (wrong + right, wrong * 2):
+        proposals = spark.createDataFrame([("a", 5_000, 5_000, ends)], "g string, rows long, n long, ends array<double>")
+        chosen = quantiles.proved_brackets(df, levels, ["g"], proposals).first().brackets
+        for p, b in zip(levels, chosen):
+            inside = int(((values >= b.low) & (values <= b.high)).sum())
+            assert b.below == int((values < b.low).sum()) <= math.floor(p * 4_999) < b.below + inside
+        got = quantiles.exact_quantiles(df, "x", levels, ["g"], proposals).first()
+        assert got.q == pytest.approx(np.quantile(values, levels).tolist(), abs=1e-15)
+
+
+def test_quantiles_of_odd_groups(frame):
+    inf, nan = float("inf"), float("nan")
+    rows = [("none", None), ("none", nan), ("ends", -inf), ("ends", inf), ("ends", 1.0), ("zero", 0.0), ("zero", -0.0), (None, 4.0)]
+    got = {r.g: r for r in quantiles.exact_quantiles(frame(rows, "g string, x double"), "x", [0.0, 0.5, 1.0], ["g"]).collect()}
+    assert (got["none"].rows, got["none"].n, got["none"].q) == (2, 0, None)
+    assert got["ends"].q == [-inf, 1.0, inf] and got["zero"].q == [0.0, 0.0, 0.0] and got[None].q == [4.0, 4.0, 4.0]
+    assert quantiles.exact_quantiles(frame([], "g string, x double"), "x", [0.5], ["g"]).collect() == []
+
+
+def test_one_group_is_ranked_in_many_tasks(spark):
+    """A group that holds nearly all rows, with ties, spread over the parts of a range exchange."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # this table is small, a large one is not coalesced
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        df = spark.range(200_000).selectExpr(
+            "if(id % 1000 = 0, 'few', 'many') AS g", "cast(pmod(hash(id), 50000) as double) AS x"
+        )
+        ranked = ranks.cumulated(ranks.value_counts(df, "x", ["g"]), ["g"])
+        assert ranked.where("g = 'many'").select("part").distinct().count() >= 4
+        got = {(r.g, r.x): (r.before, r.c) for r in ranked.collect()}
+        plain = df.toPandas()
+        for g, own in plain.groupby("g"):
+            values, counts = np.unique(own["x"], return_counts=True)
+            before_each = np.cumsum(counts) - counts
+            assert [got[g, v] for v in values] == list(zip(before_each.tolist(), counts.tolist()))
+        tiled = ranks.tiles(df.withColumn("i", F.monotonically_increasing_id()), 7, ["x", "i"], ["g"])
+        sizes = {(r.g, r.tile): r.n for r in tiled.groupBy("g", "tile").agg(F.count("*").alias("n")).collect()}
+        n = len(plain[plain.g == "many"])
+        assert [sizes["many", t] for t in range(1, 8)] == [n // 7 + (t <= n % 7) for t in range(1, 8)]
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_ks_with_ties_equals_its_definition_row_by_row(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(rng.gamma(2.0, 3.0, 3_000), 1) + 0.1
+    df = spark.createDataFrame([("a", 1, float(v)) for v in x], "series_id string, month int, x double")
+    fit = dist.gamma_fit(df, "x")
+    got = dist.gamma_ks(df, fit, "x").first()
+    shape, scale = (float(v) for v in fit.select("shape", "scale").first())
+    rows = np.sort(x)
+    steps = spark.createDataFrame([(float(v), shape, 0.0, scale) for v in rows], "x double, shape double, loc double, scale double")
+    cdf = np.array([r.f for r in steps.select(gamma.gamma_cdf(F.col("x"), F.col("shape"), F.col("loc"), F.col("scale")).alias("f")).collect()])
+    i = np.arange(1, len(rows) + 1)
+    assert got.n == len(x) and got.d == pytest.approx(max((i / len(rows) - cdf).max(), (cdf - (i - 1) / len(rows)).max()), abs=1e-12)
 
 
 def test_no_group_vanishes_without_a_free_location(frame):

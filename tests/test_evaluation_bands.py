@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.operators import bands, evaluation as ev
+from freshet.operators import bands, evaluation as ev, quantiles
 
 
 def test_year_split_is_inclusive_and_can_exclude(frame):
@@ -83,7 +83,7 @@ def test_stack_and_widen(frame):
 def test_thresholds_weights_outliers_trend(frame):
     rows = [("a", "train", float(i), float(2 * i + 1)) for i in range(11)] + [("a", "test", 99.0, 500.0)]
     df = frame(rows, "series_id string, split string, y double, p double")
-    df = ev.train_quantiles(df, "y", {"flood": 0.9, "event": 0.75})
+    df = quantiles.train_quantiles(df, "y", {"flood": 0.9, "event": 0.75})
     weighted = df.withColumn("w", ev.tail_weight(F.col("y"), F.col("event"), F.col("flood")))
     got = {r.y: r.w for r in weighted.collect()}
     assert df.first().flood == 9 and df.first().event == 7.5
