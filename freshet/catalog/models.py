@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from freshet.catalog.distributions import _quantiles_sql, GAMMA_ML, NORMAL
@@ -170,85 +172,140 @@ def _(spark, sf_dir):
     return _coefficients(linear.fit_linear(train, _X3, "y_small", "ridge", 1.0), 3)
 
 
-def nonnegative2_sql(source: str, x1: str, x2: str, y: str, name: str) -> str:
-    """Two-feature least squares with coefficients >= 0: the free solution when it qualifies, else the better edge."""
-    full = f"{x1} IS NOT NULL AND {x2} IS NOT NULL AND {y} IS NOT NULL"
-    return f"""{name}_c AS (
-  SELECT series_id, count(*) AS n, avg({x1}) AS m0, avg({x2}) AS m1, avg({y}) AS my, var_pop({x1}) AS c11,
-         var_pop({x2}) AS c22, covar_pop({x1}, {x2}) AS c12, covar_pop({x1}, {y}) AS b1, covar_pop({x2}, {y}) AS b2
-  FROM {source} WHERE {full} GROUP BY 1),
-{name}_f AS (
-  SELECT *, (b1 * c22 - b2 * c12) / (c11 * c22 - c12 * c12) AS f0, (b2 * c11 - b1 * c12) / (c11 * c22 - c12 * c12) AS f1,
-         greatest(b1, 0) / c11 AS e0, greatest(b2, 0) / c22 AS e1,
-         greatest(b1, 0) * greatest(b1, 0) / c11 >= greatest(b2, 0) * greatest(b2, 0) / c22 AS first FROM {name}_c),
-{name}_w AS (
-  SELECT *, CASE WHEN f0 >= 0 AND f1 >= 0 THEN f0 WHEN first THEN e0 ELSE 0.0 END AS w0,
-         CASE WHEN f0 >= 0 AND f1 >= 0 THEN f1 WHEN first THEN 0.0 ELSE e1 END AS w1 FROM {name}_f),
-{name} AS (SELECT series_id, n, my - w0 * m0 - w1 * m1 AS b0, w0, w1 FROM {name}_w)"""
+def eliminated_sql(source: str, k: int, keys: str, name: str) -> str:
+    """CTEs that solve the systems a{i}_{j}, r{i} in the rows of ``source``; ``name`` holds the keys and w0, w1, ..."""
+    parts, previous = [], source
+    for p in range(k):
+        new = []
+        for i in range(k):
+            less = lambda x, y: x if i == p else f"{x} - a{i}_{p} / a{p}_{p} * {y} AS {x}"
+            new += [less(f"a{i}_{j}", f"a{p}_{j}") for j in range(k)] + [less(f"r{i}", f"r{p}")]
+        parts.append(f"{name}_e{p} AS (SELECT {keys}, {', '.join(new)} FROM {previous})")
+        previous = f"{name}_e{p}"
+    weights = ", ".join(f"r{i} / a{i}_{i} AS w{i}" for i in range(k))
+    return ",\n".join([*parts, f"{name} AS (SELECT {keys}, {weights} FROM {previous})"])
+
+
+def moments_sql(source: str, features: list[str], label: str, name: str, by: str = "series_id") -> str:
+    """Counts, means m{i} and my, covariances c{i}_{j}, q{i} (with the label) and qy per group, over whole rows."""
+    k = range(len(features))
+    cells = [f"avg({features[i]}) AS m{i}" for i in k] + [f"avg({label}) AS my", f"var_pop({label}) AS qy"]
+    cells += [f"covar_pop({features[i]}, {features[j]}) AS c{i}_{j}" for i in k for j in k]
+    cells += [f"covar_pop({features[i]}, {label}) AS q{i}" for i in k]
+    full = " AND ".join(f"{c} IS NOT NULL" for c in [*features, label])
+    return f"{name} AS (SELECT {by}, count(*) AS n, {', '.join(cells)} FROM {source} WHERE {full} GROUP BY {by})"
+
+
+def active_sets_sql(moments: str, k: int, name: str, by: str = "series_id", signs: tuple[int, ...] = (0, 1)) -> str:
+    """The optimum among all sets of free coefficients: for each sign pattern the system of the free ones is solved, and
+    the pattern that meets the optimality conditions stays. Signs (0, 1) without a penalty make non-negative least
+    squares, (-1, 0, 1) with the column ``penalty`` the lasso. ``name`` holds by, n, b0, w{i} and the slopes g{i}."""
+    r = range(k)
+    on, pen = [f"s{i} <> 0" for i in r], "penalty" if -1 in signs else "0.0"
+    system = [f"CASE WHEN {on[i]} AND {on[j]} THEN c{i}_{j} ELSE {float(i == j)} END::DOUBLE AS a{i}_{j}" for i in r for j in r]
+    system += [f"CASE WHEN {on[i]} THEN q{i} - {pen} * s{i} ELSE 0.0 END::DOUBLE AS r{i}" for i in r]
+    key = f"{by}, {', '.join(f's{i}' for i in r)}"
+    values = " CROSS JOIN ".join(f"(VALUES {', '.join(f'({s})' for s in signs)}) t{i}(s{i})" for i in r)
+    slope = [f"q{i} - " + " - ".join(f"c{i}_{j} * w{j}" for j in r) for i in r]
+    limit = (lambda i: f"abs(g{i})") if -1 in signs else (lambda i: f"g{i}")
+    off = [f"CASE WHEN {on[i]} THEN greatest(-s{i} * w{i}, 0) * c{i}_{i} ELSE greatest({limit(i)} - {pen}, 0) END / sqrt(c{i}_{i} * qy)" for i in r]
+    mine = " AND ".join(f"o.{c} = p.{c}" for c in by.split(", "))
+    columns = f"{', '.join('p.' + c for c in by.split(', '))}, n, {', '.join(f'w{i}, p.s{i}, m{i}, c{i}_{i}' for i in r)}, my, qy"
+    extra = ", penalty" if -1 in signs and "penalty" not in by.split(", ") else ""
+    return f"""{name}_p AS (SELECT * FROM {moments} CROSS JOIN {values}),
+{name}_s AS (SELECT {key}, {', '.join(system)} FROM {name}_p),
+{eliminated_sql(f'{name}_s', k, key, f'{name}_o')},
+{name}_g AS (
+  SELECT {columns}{extra}, {', '.join(f'{slope[i]} AS g{i}' for i in r)}
+  FROM {name}_p p JOIN {name}_o o ON {mine} AND {' AND '.join(f'o.s{i} = p.s{i}' for i in r)}),
+{name} AS (
+  SELECT {by}{extra}, n, my - {' - '.join(f'w{i} * m{i}' for i in r)} AS b0, {', '.join(f'w{i}, g{i}' for i in r)} FROM {name}_g
+  QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {' + '.join(off)}, {' + '.join(f'abs(s{i})' for i in r)}) = 1)"""
+
+
+def nonnegative_sql(source: str, features: list[str], label: str, name: str) -> str:
+    return moments_sql(source, features, label, f"{name}_m") + ",\n" + active_sets_sql(f"{name}_m", len(features), name)
+
+
+def lasso_sql(source: str, features: list[str], label: str, name: str, order: str = "date_day", folds: int = 5, path: int = 100) -> str:
+    """The lasso whose penalty has the smallest mean error over contiguous folds."""
+    k = len(features)
+    r = range(k)
+    full = " AND ".join(f"{c} IS NOT NULL" for c in [*features, label])
+    fold, penalty = "series_id, fold", "series_id, fold, j, penalty"
+    others = f"(SELECT h.fold, f.* EXCLUDE (fold) FROM (SELECT DISTINCT {fold} FROM {name}_x) h JOIN {name}_x f ON h.series_id = f.series_id AND h.fold <> f.fold)"
+    square = " + ".join(f"w{i} * w{j} * h.c{i}_{j}" for i in r for j in r)
+    gap = "h.my - t.b0 - " + " - ".join(f"h.m{i} * w{i}" for i in r)
+    return f"""{name}_x AS (SELECT *, ntile({folds}) OVER (PARTITION BY series_id ORDER BY {order}) AS fold FROM {source} WHERE {full}),
+{moments_sql(f'{name}_x', features, label, f'{name}_held', fold)},
+{moments_sql(others, features, label, f'{name}_fit', fold)},
+{moments_sql(f'{name}_x', features, label, f'{name}_all')},
+{name}_grid AS (
+  SELECT series_id, j, greatest({', '.join(f'abs(q{i})' for i in r)}) * pow(1e-3, j / {path - 1}.0) AS penalty
+  FROM {name}_all, (SELECT unnest(range(0, {path})) AS j)),
+{name}_tries AS (SELECT f.*, g.j, g.penalty FROM {name}_fit f JOIN {name}_grid g ON f.series_id = g.series_id),
+{active_sets_sql(f'{name}_tries', k, f'{name}_t', penalty, (-1, 0, 1))},
+{name}_errors AS (
+  SELECT t.series_id, t.j, any_value(t.penalty) AS penalty,
+         avg(h.qy - 2 * ({' + '.join(f'w{i} * h.q{i}' for i in r)}) + {square} + pow({gap}, 2)) AS e
+  FROM {name}_t t JOIN {name}_held h ON t.series_id = h.series_id AND t.fold = h.fold GROUP BY 1, 2),
+{name}_best AS (SELECT series_id, penalty FROM {name}_errors QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(e, 9), j) = 1),
+{name}_chosen AS (SELECT a.*, b.penalty FROM {name}_all a JOIN {name}_best b ON a.series_id = b.series_id),
+{active_sets_sql(f'{name}_chosen', k, name, 'series_id', (-1, 0, 1))}"""
 
 
+_LAGGED = ["x1", "x2", "x3", "x4"]
 PRIO_LAGS = PRIORITY + f""", lagged AS (
-  SELECT series_id, inflow_adj / 1e6 AS y, lag(inflow_adj, 1) {over()} / 1e6 AS x1, lag(inflow_adj, 7) {over()} / 1e6 AS x2
-  FROM prio)"""
+  SELECT series_id, date_day, inflow_adj / 1e6 AS y, {', '.join(f"lag(inflow_adj, {k}) {over()} / 1e6 AS x{i}" for i, k in ((1, 1), (2, 7), (3, 30)))},
+         (lag(inflow_adj, 2) {over()} - lag(inflow_adj, 1) {over()}) / 1e6 AS x4 FROM prio)"""
 
 
 def _lagged(spark, sf_dir):
     w = SeriesWindow()
-    return priority_log(spark, sf_dir).select(
-        "series_id", "date_day", (F.col("inflow_adj") / 1e6).alias("y"),
-        (w.lag("inflow_adj", 1) / 1e6).alias("x1"), (w.lag("inflow_adj", 7) / 1e6).alias("x2"),
-    )
+    lag = lambda k: w.lag("inflow_adj", k) / 1e6
+    return durable(priority_log(spark, sf_dir).select(
+        "series_id", "date_day", (F.col("inflow_adj") / 1e6).alias("y"), lag(1).alias("x1"), lag(7).alias("x2"),
+        lag(30).alias("x3"), ((w.lag("inflow_adj", 2) - w.lag("inflow_adj", 1)) / 1e6).alias("x4"),
+    ))
+
+
+def _certified(model, k, more=()):
+    """Rounded coefficients with the slopes that prove them."""
+    cells = [c for i in range(k) for c in (
+        F.round(F.col("coefficients")[i], 7).alias(f"w{i}"), (F.round(F.col("slopes")[i], 6) + 0.0).alias(f"g{i}"))]
+    return model.select("series_id", *more, F.round("intercept", 5).alias("b0"), *cells)
 
 
 @query(
     "non_negative",
-    select(PRIO_LAGS + ", " + nonnegative2_sql("lagged", "x1", "x2", "y", "m"),
-           "SELECT series_id, n, round(b0, 5) AS b0, round(w0, 7) AS w0, round(w1, 7) AS w1 FROM m"),
+    select(PRIO_LAGS + ", " + nonnegative_sql("lagged", _LAGGED, "y", "m"), "SELECT series_id, n, round(b0, 5) AS b0, " + ", ".join(
+        f"round(w{i}, 7) AS w{i}, round(g{i}, 6) + 0.0 AS g{i}" for i in range(4)) + " FROM m"),
 )
 def _(spark, sf_dir):
-    return _coefficients(linear.fit_linear(_lagged(spark, sf_dir), ["x1", "x2"], "y", "non_negative"), 2)
+    """Four lags, one of which enters twice with opposite signs, so that sides of the region are touched."""
+    return _certified(linear.fit_linear(_lagged(spark, sf_dir), _LAGGED, "y", "non_negative"), 4, ["n"])
 
 
-@query(
-    "lasso_cv",
-    select(PRIO_LAGS.replace("SELECT series_id, inflow_adj", "SELECT series_id, date_day, inflow_adj") + """, folded AS (
-  SELECT *, ntile(5) OVER (PARTITION BY series_id ORDER BY date_day) AS fold FROM lagged WHERE x1 IS NOT NULL),
-held AS (
-  SELECT series_id, fold, count(*) AS n, avg(x1) AS mx, avg(y) AS my, var_pop(x1) AS cxx, covar_pop(x1, y) AS cxy,
-         var_pop(y) AS cyy FROM folded GROUP BY 1, 2),
-fits AS (
-  SELECT h.series_id, h.fold, avg(f.x1) AS mx, avg(f.y) AS my, var_pop(f.x1) AS cxx, covar_pop(f.x1, f.y) AS cxy
-  FROM held h JOIN folded f ON h.series_id = f.series_id AND h.fold <> f.fold GROUP BY 1, 2),
-whole AS (
-  SELECT series_id, count(*) AS n, avg(x1) AS mx, avg(y) AS my, var_pop(x1) AS cxx, covar_pop(x1, y) AS cxy
-  FROM folded GROUP BY 1),
-grid AS (SELECT series_id, j, abs(cxy) * pow(1e-3, j / 99.0) AS penalty FROM whole, (SELECT unnest(range(0, 100)) AS j)),
-tried AS (
-  SELECT g.series_id, g.j, g.penalty, f.fold, sign(f.cxy) * greatest(abs(f.cxy) - g.penalty, 0) / f.cxx AS w, f.mx, f.my
-  FROM grid g JOIN fits f ON g.series_id = f.series_id),
-errors AS (
-  SELECT t.series_id, t.j, any_value(t.penalty) AS penalty,
-         avg(h.cyy - 2 * h.cxy * w + w * w * h.cxx + pow(h.my - t.my - (h.mx - t.mx) * w, 2)) AS e
-  FROM tried t JOIN held h ON t.series_id = h.series_id AND t.fold = h.fold GROUP BY 1, 2),
-best AS (SELECT series_id, penalty FROM errors QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY round(e, 9), j) = 1)""",
-           """SELECT series_id, round(penalty, 7) AS penalty,
-  round(sign(cxy) * greatest(abs(cxy) - penalty, 0) / cxx, 7) + 0.0 AS w0,
-  round(my - mx * sign(cxy) * greatest(abs(cxy) - penalty, 0) / cxx, 5) AS b0 FROM whole JOIN best USING (series_id)"""),
-)
+def _lasso_columns(k):
+    return "SELECT series_id, round(penalty, 7) AS penalty, round(b0, 5) AS b0, " + ", ".join(
+        f"round(w{i}, 7) + 0.0 AS w{i}, round(g{i}, 6) + 0.0 AS g{i}" for i in range(k)) + " FROM m"
+
+
+@query("lasso_cv", select(PRIO_LAGS + ", " + lasso_sql("lagged", _LAGGED[:3], "y", "m"), _lasso_columns(3)))
 def _(spark, sf_dir):
-    model = linear.fit_lasso_cv(_lagged(spark, sf_dir), ["x1"], "y", "date_day")
-    return model.select(
-        "series_id", F.round("penalty", 7).alias("penalty"), F.round(F.col("coefficients")[0], 7).alias("w0"),
-        F.round("intercept", 5).alias("b0"),
-    )
+    model = linear.fit_lasso_cv(_lagged(spark, sf_dir), _LAGGED[:3], "y", "date_day")
+    return _certified(model, 3, [F.round("penalty", 7).alias("penalty")])
+
+
+TRAIN_SCALED = SCALED + ", train AS (SELECT * FROM scaled WHERE split = 'train')"
 
 
-@query("lasso_cv_daily")
+@query("lasso_cv_daily", select(TRAIN_SCALED + ", " + lasso_sql("train", _X3, "y_small", "m"), _lasso_columns(3)))
 def _(spark, sf_dir):
-    train = _scaled(model_rows(spark, sf_dir)).where("split = 'train'")
-    model = linear.fit_lasso_cv(durable(train), _X3, "y_small", "date_day")
-    flat = [F.round(F.col("coefficients")[i], 7).alias(f"w{i}") for i in range(3)]
-    return model.select("series_id", F.round("penalty", 7).alias("penalty"), F.round("intercept", 5).alias("b0"), *flat)
+    """All features of the daily model."""
+    train = durable(_scaled(model_rows(spark, sf_dir)).where("split = 'train'"))
+    model = linear.fit_lasso_cv(train, _X3, "y_small", "date_day")
+    return _certified(model, 3, [F.round("penalty", 7).alias("penalty")])
 
 
 @query(
@@ -465,6 +522,48 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.round(F.col(c) / 1e6, 5) for c in _LARGE})
 
 
+@query("interval_coverage", select(LINEAR3 + """, covered AS (
+  SELECT t.series_id, t.month, (y_true BETWEEN y_lo90 AND y_hi90)::INTEGER AS c90, (y_true BETWEEN y_lo50 AND y_hi50)::INTEGER AS c50
+  FROM test t JOIN ivals i ON t.series_id = i.series_id AND t.date_day = i.date_day)""",
+    """SELECT series_id, CAST(month AS INTEGER) AS month, count(*) AS n, round(avg(c90), 6) AS covered_90, round(avg(c50), 6) AS covered_50
+FROM covered GROUP BY 1, 2 UNION ALL SELECT series_id, NULL, count(*), round(avg(c90), 6), round(avg(c50), 6) FROM covered GROUP BY 1"""))
+def _(spark, sf_dir):
+    """Share of the test rows inside their bands, for each month and for all (month null)."""
+    config = DailyConfig(TRAIN_END, VAL_END, models=("linear",))
+    rows = durable(daily_plan.daily_forecast(daily_log(spark, sf_dir), config=config).forecast.withColumn("month", F.month("date_day")))
+    by_month = evaluation.coverage(rows, ["series_id", "month"], "y_true_next30")
+    whole = evaluation.coverage(rows, ["series_id"], "y_true_next30").withColumn("month", F.lit(None).cast("int"))
+    return rounded(by_month.unionByName(whole), {"covered_90": 6, "covered_50": 6})
+
+
+_CUTS = SCALED + """, cuts AS (SELECT DISTINCT series_id, year AS cut FROM scaled),
+upto AS (
+  SELECT c.series_id || '#' || c.cut AS series_id, c.series_id AS own, c.cut, r.* EXCLUDE (series_id)
+  FROM cuts c JOIN scaled r ON r.series_id = c.series_id AND r.year <= c.cut), """ + solve_sql("upto", _X3, "y_small", "m") + f""",
+spreads AS (
+  SELECT u.series_id, u.own, u.cut, any_value(m.n) AS n_train, sqrt(sum(pow(y_small - ({value_sql(_X3)}), 2)) / (any_value(m.n) - 4)) AS sigma
+  FROM upto u JOIN m USING (series_id) GROUP BY 1, 2, 3 HAVING any_value(m.n) >= 6),
+ahead AS (
+  SELECT s.own AS series_id, s.cut, s.n_train, r.y_small AS y, {value_sql(_X3)} AS f, sigma
+  FROM spreads s JOIN m USING (series_id) JOIN scaled r ON r.series_id = s.own AND r.year = s.cut + 1)"""
+_INSIDE = lambda share: f"round(avg((abs(y - f) <= sigma * {NormalDist().inv_cdf((1 + share) / 2)!r})::INTEGER), 6)"
+
+
+@query("rolling_backtest", select(_CUTS, f"""SELECT series_id, CAST(cut AS BIGINT) AS cut, count(*) AS n, max(n_train) AS n_train,
+  round(avg(abs(y - f)), 6) AS mae, round(sqrt(avg(pow(y - f, 2))), 6) AS rmse,
+  round(1 - sum(pow(y - f, 2)) / (var_pop(y) * count(*)), 6) AS r2, {_INSIDE(0.9)} AS covered_90, {_INSIDE(0.5)} AS covered_50
+FROM ahead GROUP BY 1, 2"""))
+def _(spark, sf_dir):
+    """Each year predicted from all years before it: errors and interval coverage per cut year."""
+    rows = durable(_scaled(model_rows(spark, sf_dir)).select("series_id", "year", *_X3, "y_small"))
+    ahead = durable(linear.rolling_origin(rows, _X3, "y_small"))
+    scores = evaluation.score(ahead, ["series_id", "cut", "n_train"], y="y_small").select(
+        "series_id", "cut", "n", F.col("n_train").cast("long").alias("n_train"), "mae", "rmse", "r2"
+    )
+    covered = evaluation.coverage(ahead, ["series_id", "cut"], "y_small", prefix="").drop("n")
+    return rounded(scores.join(covered, ["series_id", "cut"]), {c: 6 for c in ("mae", "rmse", "r2", "covered_90", "covered_50")})
+
+
 # tree models: no SQL counterpart. Forests have the published sizes. Boosting rounds run one after another, several
 # Spark jobs each, so the queries run fewer rounds than published; README.md gives the measured time of a round.
 
@@ -522,14 +621,15 @@ def _(spark, sf_dir):
 # month forecasts
 
 
-TALL2 = ["rainfall", "rainfall_next"]
+FOUR = monthly_plan.MONTH_FEATURES
 SCALED_ONLY = """scaled AS (
   SELECT * REPLACE (inflow_adj / 1e6 AS inflow_adj, inflow_next / 1e6 AS inflow_next) FROM history)"""
 IN_MILLIONS = HISTORY + ", " + SCALED_ONLY
-FITTED2 = IN_MILLIONS + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m")
-_FITTED = FITTED2 + """, fitted AS (
-  SELECT h.series_id, h.year, b0 + w0 * rainfall + w1 * rainfall_next AS predicted_inflow
-  FROM scaled h JOIN m USING (series_id) WHERE h.month = 1 AND rainfall_next IS NOT NULL)"""
+FITTED4 = IN_MILLIONS + ", " + nonnegative_sql("scaled", FOUR, "inflow_next", "m")
+_WHOLE = " AND ".join(f"{c} IS NOT NULL" for c in FOUR)
+_FITTED = FITTED4 + f""", fitted AS (
+  SELECT h.series_id, h.year, {value_sql(FOUR)} AS predicted_inflow
+  FROM scaled h JOIN m USING (series_id) WHERE h.month = 1 AND {_WHOLE})"""
 
 
 def _history(spark, sf_dir):
@@ -540,7 +640,7 @@ def _history(spark, sf_dir):
 
 @query("fitted_by_year", select(_FITTED, "SELECT series_id, year, round(predicted_inflow, 6) AS predicted_inflow FROM fitted"))
 def _(spark, sf_dir):
-    out = linear.fitted_by_year(_history(spark, sf_dir), TALL2, "inflow_next", 1)
+    out = linear.fitted_by_year(_history(spark, sf_dir), FOUR, "inflow_next", 1)
     return rounded(out, {"predicted_inflow": 6})
 
 
@@ -550,18 +650,22 @@ def _(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY year DESC) <= 4"""),
 )
 def _(spark, sf_dir):
-    out = products.latest_years(linear.fitted_by_year(_history(spark, sf_dir), TALL2, "inflow_next", 1), 4)
+    out = products.latest_years(linear.fitted_by_year(_history(spark, sf_dir), FOUR, "inflow_next", 1), 4)
     return rounded(out, {"predicted_inflow": 6})
 
 
-SIMULATED = FITTED2 + """, simulated AS (
-  SELECT h.series_id, h.year, h.month, greatest(rainfall, 0) AS simulated_rain,
-         round(greatest(b0 + w0 * rainfall + w1 * greatest(rainfall, 0), 0), 2) AS predicted_inflow
-  FROM scaled h JOIN m USING (series_id) WHERE h.month = 1)"""
+SIMULATED = FITTED4 + f""", inputs AS (
+  SELECT h.series_id, h.year, h.month, h.simulated_rain, b0, w0, w1, w2, w3, {', '.join(
+      f"coalesce({'simulated_rain' if c == 'rainfall_next' else c}, m{i}) AS x{i}" for i, c in enumerate(FOUR))}
+  FROM (SELECT *, CASE WHEN rainfall IS NOT NULL THEN greatest(rainfall, 0) END AS simulated_rain FROM scaled WHERE month = 1) h
+       JOIN m USING (series_id) JOIN m_m USING (series_id)),
+simulated AS (
+  SELECT series_id, year, month, simulated_rain,
+         round(greatest(b0 + w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3, 0), 2) AS predicted_inflow FROM inputs)"""
 
 
 def _simulated(spark, sf_dir):
-    return linear.simulated_by_year(_history(spark, sf_dir), TALL2, "inflow_next", 1, "rainfall", "rainfall_next")
+    return linear.simulated_by_year(_history(spark, sf_dir), FOUR, "inflow_next", 1, "rainfall", "rainfall_next")
 
 
 @query(
@@ -599,12 +703,31 @@ ahead AS (
 )
 def _(spark, sf_dir):
     history = _history(spark, sf_dir)
-    simulated = linear.simulated_by_year(history, TALL2, "inflow_next", 1, "rainfall", "rainfall_next")
+    simulated = linear.simulated_by_year(history, FOUR, "inflow_next", 1, "rainfall", "rainfall_next")
     summary = products.prediction_summary(simulated, "predicted_inflow", ["series_id"])
     out = products.recent_months_with_forecast(history, "inflow_adj", summary)
     return rounded(out, {"inflow": 7})
 
 
+_MARKED = IN_MILLIONS + """, marked AS (
+  SELECT *, CASE WHEN CAST('0x' || substr(md5(strftime(date, '%Y-%m-%d') || '#42'), 1, 8) AS BIGINT) % 100 < 80
+                 THEN 'train' ELSE 'test' END AS split FROM scaled WHERE inflow_next IS NOT NULL AND """ + _WHOLE + "), " \
+    + nonnegative_sql("(SELECT * FROM marked WHERE split = 'train')", FOUR, "inflow_next", "m")
+
+
+@query(
+    "positive_regression_scores",
+    select(_MARKED + f", p AS (SELECT series_id, split, inflow_next AS y, {value_sql(FOUR)} AS f FROM marked JOIN m USING (series_id))",
+           """SELECT series_id, split, count(*) AS n, round(avg(abs(y - f)), 5) AS mae, round(sqrt(avg(pow(y - f, 2))), 5) AS rmse,
+  round(1 - sum(pow(y - f, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(1 - sum(pow(y - f, 2)) / (var_pop(y) * count(*)), 6) AS nse,
+  round(avg(pow(y - f, 2)), 3) AS mse FROM p GROUP BY 1, 2"""),
+)
+def _(spark, sf_dir):
+    """The non-negative month model fitted on four fifths of the months, scored on both parts."""
+    scores = linear.held_out_scores(_history(spark, sf_dir), FOUR, "inflow_next", "date", "non_negative")
+    return rounded(scores, {"mae": 5, "rmse": 5, "r2": 6, "nse": 6, "mse": 3})
+
+
 @query(
     "last12",
     select(HISTORY, """SELECT series_id, date, inflow_adj FROM history WHERE inflow_adj > 0
@@ -621,40 +744,40 @@ _SCENARIO = """, newest AS (
 
 @query(
     "scenario_predict",
-    select(NORMAL + ", " + SCALED_ONLY + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
+    select(NORMAL + ", " + SCALED_ONLY + ", " + nonnegative_sql("scaled", FOUR, "inflow_next", "m") + _SCENARIO + """, points AS (
   SELECT series_id, 'lower' AS scenario, mean - 2 * sigma AS x FROM fit WHERE month = 1
   UNION ALL SELECT series_id, 'mean', mean FROM fit WHERE month = 1
   UNION ALL SELECT series_id, 'upper', mean + 2 * sigma FROM fit WHERE month = 1)""",
-           """SELECT p.series_id, scenario, round(x, 4) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 6) AS predicted_inflow
+           """SELECT p.series_id, scenario, round(x, 4) AS rainfall_next, round(b0 + w0 * rainfall_1 + w1 * rainfall + w2 * x + w3 * evap_in, 6) AS predicted_inflow
 FROM points p JOIN m USING (series_id) JOIN newest n ON n.series_id = p.series_id"""),
 )
 def _(spark, sf_dir):
     history = _history(spark, sf_dir)
-    model = linear.fit_linear(history, TALL2, "inflow_next", "non_negative")
+    model = linear.fit_linear(history, FOUR, "inflow_next", "non_negative")
     january = history.where("month = 1")
     bounds = distributions.normal_bounds(january, "rainfall").drop("month")
     newest = latest_rows(january, SeriesWindow(order=["date"]))
-    out = linear.scenario_predictions(bounds, model, newest, TALL2, "rainfall_next")
+    out = linear.scenario_predictions(bounds, model, newest, FOUR, "rainfall_next")
     return rounded(out, {"rainfall_next": 4, "predicted_inflow": 6})
 
 
 @query(
     "scenario_predict_gamma",
     select(GAMMA_ML + ", " + _quantiles_sql("(SELECT * FROM shapes WHERE month = 1)", {"lower": 0.025, "upper": 0.975})
-           + ", " + SCALED_ONLY + ", " + nonnegative2_sql("scaled", "rainfall", "rainfall_next", "inflow_next", "m") + _SCENARIO + """, points AS (
+           + ", " + SCALED_ONLY + ", " + nonnegative_sql("scaled", FOUR, "inflow_next", "m") + _SCENARIO + """, points AS (
   SELECT series_id, name AS scenario, mean / shape * z AS x FROM found
   UNION ALL SELECT series_id, 'mean', mean FROM shapes WHERE month = 1)""",
-           """SELECT p.series_id, scenario, round(x, 3) AS rainfall_next, round(b0 + w0 * rainfall + w1 * x, 6) AS predicted_inflow
+           """SELECT p.series_id, scenario, round(x, 3) AS rainfall_next, round(b0 + w0 * rainfall_1 + w1 * rainfall + w2 * x + w3 * evap_in, 6) AS predicted_inflow
 FROM points p JOIN m USING (series_id) JOIN newest n ON n.series_id = p.series_id"""),
 )
 def _(spark, sf_dir):
     history = _history(spark, sf_dir)
-    model = linear.fit_linear(history, TALL2, "inflow_next", "non_negative")
+    model = linear.fit_linear(history, FOUR, "inflow_next", "non_negative")
     january = history.where("month = 1")
     fit = distributions.gamma_fit(january, "rainfall")
     bounds = distributions.with_gamma_interval(fit, 0.95, "").select("series_id", "lower", "mean", "upper")
     newest = latest_rows(january, SeriesWindow(order=["date"]))
-    out = linear.scenario_predictions(bounds, model, newest, TALL2, "rainfall_next")
+    out = linear.scenario_predictions(bounds, model, newest, FOUR, "rainfall_next")
     return rounded(out, {"rainfall_next": 3, "predicted_inflow": 6})
 
 
@@ -695,10 +818,10 @@ def _(spark, sf_dir):
 _ENDS = {"lower_50": 0.25, "upper_50": 0.75, "lower_95": 0.025, "upper_95": 0.975}
 OUTLOOK = (
     GAMMA_ML + ", " + _quantiles_sql("(SELECT * FROM shapes WHERE month = 1)", _ENDS)
-    + ", " + nonnegative2_sql("history", "rainfall", "rainfall_next", "inflow_next", "m") + """,
+    + ", " + nonnegative_sql("history", FOUR, "inflow_next", "m") + """,
 fitted AS (
-  SELECT h.series_id, h.year, b0 + w0 * rainfall + w1 * rainfall_next AS predicted_inflow
-  FROM history h JOIN m USING (series_id) WHERE h.month = 1 AND rainfall_next IS NOT NULL
+  SELECT h.series_id, h.year, """ + value_sql(FOUR) + f""" AS predicted_inflow
+  FROM history h JOIN m USING (series_id) WHERE h.month = 1 AND {_WHOLE}
   QUALIFY row_number() OVER (PARTITION BY h.series_id ORDER BY h.year DESC) <= 12),
 spread AS (
   SELECT series_id, avg(rainfall) AS mean, stddev_samp(rainfall) AS sigma FROM history
@@ -721,7 +844,7 @@ FROM fitted f JOIN spread s ON f.series_id = s.series_id JOIN reach r ON f.serie
 )
 def _(spark, sf_dir):
     """Fitted January inflow of the latest years, beside the normal and gamma intervals of January's rain."""
-    outlook = monthly_plan.month_outlook(durable(daily_log(spark, sf_dir)), 1, TALL2)
+    outlook = monthly_plan.month_outlook(durable(daily_log(spark, sf_dir)), 1, FOUR)
     both = outlook.fitted.join(outlook.normal.drop("month"), "series_id")
     return rounded(both.join(outlook.gamma.drop("month", "mean"), "series_id"), _OUTLOOK_DIGITS)
 

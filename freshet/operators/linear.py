@@ -8,13 +8,16 @@ problem per series, solved in numpy on one summary row each.
 from __future__ import annotations
 
 from itertools import combinations_with_replacement
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from freshet.functions.numeric import floor_at_zero, round_half_even
+from freshet.operators.evaluation import hash_split, score
+from freshet.operators.ranks import tiles
 
 SERIES = ["series_id"]
 
@@ -23,9 +26,13 @@ _FIT = StructType(
         StructField("intercept", DoubleType()),
         StructField("coefficients", ArrayType(DoubleType())),
         StructField("penalty", DoubleType()),
+        StructField("slopes", ArrayType(DoubleType())),
     ]
 )
 
+#: share of its terms by which an optimality condition may be off for rounding
+TOLERANCE = 1e-8
+
 
 def moments(df: DataFrame, features: list[str], label: str, by: list[str] = SERIES) -> DataFrame:
     """Count, means and population covariances of features and label, over rows without a null among them."""
@@ -106,10 +113,53 @@ def _lasso(c, penalty, start=None, sweeps=100_000, tol=1e-13):
             moved = max(moved, abs(new - x[j]))
             x[j] = new
         if moved <= stop:
-            return x / scale
+            return _settled(a, b, limit, x) / scale
     raise ArithmeticError(f"lasso did not settle in {sweeps} sweeps at penalty {penalty}")
 
 
+def _settled(a, b, limit, x) -> np.ndarray:
+    """``x`` with its coefficients that are not 0 solved for at once, where they keep their signs."""
+    on = x != 0
+    if not on.any():
+        return x
+    exact = np.linalg.lstsq(a[np.ix_(on, on)], b[on] - limit[on] * np.sign(x[on]), rcond=None)[0]
+    if (np.sign(exact) != np.sign(x[on])).any():
+        return x
+    out = x.copy()
+    out[on] = exact
+    return out
+
+
+def slopes(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Covariance of each feature with the residual: how fast the error falls as its coefficient grows."""
+    return c[:-1, -1] - c[:-1, :-1] @ x
+
+
+def certify(method: str, c: np.ndarray, n: float, penalty: float, x: np.ndarray) -> np.ndarray:
+    """The slopes at ``x``, after proving that no other coefficients are better.
+
+    The error functions are convex, so these conditions are enough. Least squares: every slope is 0; ridge: it balances
+    the penalty's pull; non-negative: no slope is above 0, and those of coefficients above 0 are 0; lasso: no slope exceeds
+    the penalty in size, and those of coefficients other than 0 equal it, with their sign. Raises where one does not hold.
+    """
+    g = slopes(c, x)
+    room = TOLERANCE * (np.abs(c[:-1, -1]) + np.abs(c[:-1, :-1]) @ np.abs(x) + np.sqrt(np.diag(c)[:-1] * c[-1, -1]))
+    on = x != 0
+    if method == "non_negative":
+        off = np.maximum(g, 0) + np.where(on, np.abs(g), 0) + np.maximum(-x, 0) * np.diag(c)[:-1]
+    elif method == "lasso":
+        off = np.where(on, np.abs(g - penalty * np.sign(x)), np.maximum(np.abs(g) - penalty, 0))
+        room = room + TOLERANCE * penalty
+    elif method == "ridge":
+        off = np.abs(g - penalty / n * x)
+        room = room + TOLERANCE * penalty / n * np.abs(x)
+    else:
+        off = np.abs(g)
+    if (off > room).any():
+        raise ArithmeticError(f"{method} is not optimal: conditions are off by {off.tolist()}, allowed {room.tolist()}")
+    return g
+
+
 def _solve(method: str, c: np.ndarray, n: float, penalty: float) -> np.ndarray:
     if method == "least_squares":
         return _least_squares(c)
@@ -134,7 +184,8 @@ def fit_linear(
 
     ``method``: least_squares, non_negative (coefficients >= 0), ridge (penalty on the squared coefficients against
     the summed squared error) or lasso (penalty on the absolute coefficients against half the mean squared error).
-    The intercept is never penalised.
+    The intercept is never penalised. ``slopes`` holds each feature's covariance with the residual, by which every model
+    is proved optimal before it is returned (``certify``).
     """
     size = len(features) + 1
 
@@ -144,8 +195,9 @@ def fit_linear(
         for count, mean, cov in zip(n, means, covariances):
             c = _square(cov, size)
             x = _solve(method, c, count, penalty)
-            rows.append((float(mean[-1] - np.dot(mean[:-1], x)), [float(v) for v in x], float(penalty)))
-        return pd.DataFrame(rows, columns=["intercept", "coefficients", "penalty"])
+            g = certify(method, c, count, penalty, x)
+            rows.append((float(mean[-1] - np.dot(mean[:-1], x)), [float(v) for v in x], float(penalty), [float(v) for v in g]))
+        return pd.DataFrame(rows, columns=["intercept", "coefficients", "penalty", "slopes"])
 
     return moments(df, features, label, by).select(*by, "n", solve("n", "means", "covariances").alias("m")).select(
         *by, "n", "m.*"
@@ -162,14 +214,14 @@ def fit_lasso_cv(
     path_ratio: float = 1e-3,
     by: list[str] = SERIES,
 ) -> DataFrame:
-    """Lasso with the penalty chosen by cross-validation over contiguous folds in ``order``.
+    """Lasso with the penalty chosen by cross-validation over contiguous folds in ``order``, a total order.
 
-    Fold moments add up to those of every training complement, and held-out errors follow from moments too, so the
-    table is read once however long the penalty path is.
+    Folds are cut at counted positions, so no task holds a series. Fold moments add up to those of every training
+    complement, and held-out errors follow from moments too, so the table is read once however long the penalty path is.
+    The chosen model is proved optimal (``certify``) and carries its slopes.
     """
-    whole = df.na.drop(subset=[*features, label])
-    tile = F.ntile(folds).over(Window.partitionBy(*by).orderBy(order))
-    per_fold = moments(whole.withColumn("_fold", tile), features, label, [*by, "_fold"])
+    whole = df.select(*by, order, *features, label).na.drop(subset=[*features, label])
+    per_fold = moments(tiles(whole, folds, [order], list(by), "_fold"), features, label, [*by, "_fold"])
     size = len(features) + 1
     schema = StructType([df.schema[c] for c in by] + list(_FIT.fields))
 
@@ -193,8 +245,9 @@ def fit_lasso_cv(
         best = float(grid[errors.mean(axis=0).argmin()])
         x = _lasso(c, best)
         keys = {k: fold_rows[k].iloc[0] for k in by}
+        g = certify("lasso", c, 1.0, best, x)
         out = {**keys, "intercept": float(mean[-1] - mean[:-1] @ x), "coefficients": x.tolist(), "penalty": best}
-        return pd.DataFrame([out])
+        return pd.DataFrame([out | {"slopes": g.tolist()}])
 
     return per_fold.groupBy(*by).applyInPandas(solve, schema)
 
@@ -206,6 +259,48 @@ def _pooled(parts):
     return n, mean, c
 
 
+def rolling_origin(
+    df: DataFrame, features: list[str], label: str, levels: tuple[float, ...] = (0.9, 0.5), year: str = "year", by: list[str] = SERIES
+) -> DataFrame:
+    """Rows of each year but the first, predicted by the model fitted on all earlier years of the series.
+
+    Adds ``cut`` (the last year fitted on), ``n_train``, ``y_pred`` and for each level the ends ``lo90``, ``hi90`` of the
+    interval that normal residuals of that model would keep to. All models come from one aggregation: moments per year,
+    merged year by year in one row per year and series. A cut needs two rows more than coefficients.
+    """
+    size, schema = len(features) + 1, StructType(
+        [df.schema[c] for c in by] + [StructField("cut", LongType()), StructField("n_train", DoubleType()),
+                                      StructField("intercept", DoubleType()), StructField("coefficients", ArrayType(DoubleType())),
+                                      StructField("sigma", DoubleType())]
+    )
+
+    def cuts(years: pd.DataFrame) -> pd.DataFrame:
+        rows, total = [], None
+        for r in years.sort_values(year).itertuples():
+            own = (float(r.n), np.asarray(r.means, dtype=float), _square(r.covariances, size))
+            total = own if total is None else _pooled([total, own])
+            n, mean, c = total
+            if n < size + 2:
+                continue
+            x = _least_squares(c)
+            g = certify("least_squares", c, n, 0.0, x)
+            error = max(float(c[-1, -1] - x @ (c[:-1, -1] + g)), 0.0)  # mean squared residual
+            keys = [getattr(r, k) for k in by]
+            rows.append((*keys, int(getattr(r, year)), n, float(mean[-1] - mean[:-1] @ x), x.tolist(), float(np.sqrt(error * n / (n - size)))))
+        return pd.DataFrame(rows, columns=schema.fieldNames())
+
+    models = moments(df, features, label, [*by, year]).groupBy(*by).applyInPandas(cuts, schema)
+    fit = models.select(*by, "cut", "n_train", F.col("intercept").alias("_b"), F.col("coefficients").alias("_w"), F.col("sigma").alias("_s"))
+    rows = df.withColumn("cut", F.col(year).cast("long") - 1).join(fit, [*by, "cut"])
+    value = linear_value(F.col("_b"), F.col("_w"), [F.col(c) for c in features])
+    predicted = rows.withColumn("y_pred", value)
+    ends = {}
+    for level in levels:
+        reach = F.lit(NormalDist().inv_cdf((1 + level) / 2)) * F.col("_s")
+        ends |= {f"lo{round(100 * level)}": F.col("y_pred") - reach, f"hi{round(100 * level)}": F.col("y_pred") + reach}
+    return predicted.withColumns(ends).select(*df.columns, "cut", "n_train", "y_pred", *ends)
+
+
 def linear_value(intercept: Column, coefficients: Column, inputs: list[Column]) -> Column:
     """Intercept plus coefficients times inputs as built-in arithmetic; null when an input is missing."""
     value = intercept
@@ -237,6 +332,13 @@ def fitted_by_year(
     return predict_linear(rows, model, features, "predicted_inflow").select("series_id", "year", "predicted_inflow")
 
 
+def held_out_scores(df: DataFrame, features: list[str], label: str, key: str, method: str, seed: int = 42) -> DataFrame:
+    """Errors (mse among them) of a model fitted on the four fifths of the rows that ``hash_split`` puts into train."""
+    rows = df.na.drop(subset=[*features, label]).withColumn("split", hash_split(F.col(key), seed))
+    model = fit_linear(rows.where("split = 'train'"), features, label, method)
+    return score(predict_linear(rows, model, features), ["series_id", "split"], y=label, mse=True)
+
+
 def simulated_by_year(df: DataFrame, features: list[str], label: str, month: int, rain: str, next_rain: str):
     """Next-month value for every year, with that year's own rain of the month standing in for next month's rain.
 

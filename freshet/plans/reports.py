@@ -20,6 +20,9 @@ SCORE_NAMES = {
     "event_precision": "EventPrecision",
 }
 
+# Columns of the scenario table.
+SCENARIO_NAMES = {"scenario": "Scenario", "predicted_inflow": "Predicted Inflow"}
+
 # Columns of the simulated next-month inflow.
 SIMULATION_NAMES = {
     "year": "Year (used)",
@@ -33,5 +36,9 @@ def score_report(scores: DataFrame) -> DataFrame:
     return scores.withColumnsRenamed({k: v for k, v in SCORE_NAMES.items() if k in scores.columns})
 
 
+def scenario_report(scenarios: DataFrame) -> DataFrame:
+    return scenarios.withColumnsRenamed(SCENARIO_NAMES)
+
+
 def simulation_report(simulated: DataFrame) -> DataFrame:
     return simulated.select("series_id", *[F.col(c).alias(name) for c, name in SIMULATION_NAMES.items()])
