@@ -15,6 +15,7 @@ from freshet.plans.daily import DailyConfig
 from freshet.plans.reports import SCORE_NAMES
 from freshet.session import shared_folder
 from freshet.sources import log_source
+from freshet.sources.text_log import read_text_logs
 
 STATION, FIRST, LAST = "LAKE", 1997, 1999
 
@@ -28,20 +29,22 @@ def _folder(spark) -> str:
     select(DAILY, f"""SELECT layout, '{STATION}' AS station, CAST(year(date_day) AS INTEGER) AS year,
   CAST(month(date_day) AS INTEGER) AS month, CAST(day(date_day) AS INTEGER) AS day, elevation_ft AS pool, elevation_ft,
   storage_2400, releases_power, releases_total, evap_in, inflow_adj, rain_dam_in, rain_bsn_in
-FROM daily, (VALUES ('flat'), ('by_year')) l(layout)
+FROM daily, (VALUES ('flat'), ('by_year'), ('folders')) l(layout)
 WHERE elevation_ft IS NOT NULL AND rain_bsn_in IS NOT NULL AND year(date_day) BETWEEN {FIRST} AND {LAST}"""),
 )
 def _(spark, sf_dir):
-    """The log as monthly files in both layouts, of which a span of years is read; incomplete lines drop out."""
+    """The log as monthly files in both layouts, of which a span of years is read, folders of years also by Spark's own
+    reader; incomplete lines drop out."""
     date = F.col("date_day")
     parts = {"year": F.year(date), "month": F.month(date), "day": F.dayofmonth(date), "pool": F.col("elevation_ft")}
     log = daily_log(spark, sf_dir).withColumn("station", F.lit(STATION)).withColumns(parts)
     folder, found = _folder(spark), []
     for layout in ("flat", "by_year"):
         log_source.write_logs(log, f"{folder}/{layout}", layout)
-        read = log_source.read_logs(spark, f"{folder}/{layout}", files_per_partition=12)
-        found.append(read.where(F.col("year").between(FIRST, LAST)).select(F.lit(layout).alias("layout"), "*"))
-    return found[0].unionByName(found[1])
+        found.append(log_source.read_logs(spark, f"{folder}/{layout}", FIRST, LAST, files_per_partition=12))
+    found.append(read_text_logs(spark, f"{folder}/by_year", FIRST, LAST))
+    marked = [df.select(F.lit(name).alias("layout"), "*") for df, name in zip(found, ("flat", "by_year", "folders"), strict=True)]
+    return marked[0].unionByName(marked[1]).unionByName(marked[2])
 
 
 _LARGE = ["y_pred_next30", "y_lo90", "y_hi90", "y_lo50", "y_hi50"]

@@ -17,14 +17,18 @@ def read_text_logs(
     """Every log file under ``path`` as typed daily rows, optionally for a span of years.
 
     One file is one month (about 50 lines), so a whole file per row is small; files spread over tasks. With both
-    years given, files of other years are not even opened.
+    years given, files of other years are not even opened; where they lie in folders ``year=YYYY``, either year will do,
+    as Spark prunes the folders.
     """
     reader = spark.read
     if first_year is not None and last_year is not None:
         years = ",".join(str(y) for y in range(first_year, last_year + 1))
         reader = reader.option("pathGlobFilter", f"*_{{{years}}}.txt")
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    return parse_text_logs(files, first_year, last_year)
+    files = reader.text(path, wholetext=True)
+    if "year" in files.columns:
+        for year, keep in ((first_year, F.col("year") >= first_year), (last_year, F.col("year") <= last_year)):
+            files = files if year is None else files.where(keep)
+    return parse_text_logs(files.select(F.col("_metadata.file_name").alias("file_name"), "value"), first_year, last_year)
 
 
 def parse_text_logs(files: DataFrame, first_year: int | None = None, last_year: int | None = None) -> DataFrame:

@@ -132,22 +132,31 @@ def test_log_source_reads_chosen_files_only(spark, tmp_path):
     flat = [d for d in everything if d[:3] != ("LAKE", 2018, 5)]
     assert sorted((r.station, r.year, r.month, r.day, r.inflow_adj) for r in by_spark.collect()) == flat
     assert df.rdd.getNumPartitions() == 5
-    for condition, files, keep in (
-        ("year >= 2018 AND year < 2019", 2, lambda d: d[1] == 2018),
-        ("year > 2017 AND month IN (2, 3)", 2, lambda d: d[1] > 2017 and d[2] in (2, 3)),
-        ("year = 2017 AND day <> 2", 1, lambda d: d[1] == 2017 and d[3] != 2),
-        ("station = 'POND'", 1, lambda d: d[0] == "POND"),
-        ("year <= 2017 OR station = 'POND'", 5, lambda d: d[1] <= 2017 or d[0] == "POND"),
-        ("year > 2030", 1, lambda d: False),
+    for options, files, keep in (
+        ({"first_year": 2018, "last_year": 2018}, 2, lambda d: d[1] == 2018),
+        ({"first_year": 2018, "months": [2, 3]}, 2, lambda d: d[1] > 2017 and d[2] in (2, 3)),
+        ({"last_year": 2017}, 1, lambda d: d[1] == 2017),
+        ({"stations": ["POND", "SEA"]}, 1, lambda d: d[0] == "POND"),
+        ({"first_year": 2030}, 1, lambda d: False),
     ):
-        some = df.where(condition)
-        assert days(some) == [d for d in everything if keep(d)], condition
-        assert some.rdd.getNumPartitions() == files, condition
-    assert "PushedFilters: [GreaterThan(year,2030)]" in df.where("year > 2030")._sc._jvm.PythonSQLUtils.explainString(
-        df.where("year > 2030")._jdf.queryExecution(), "formatted"
-    )
-    ranged = log_source.read_logs(spark, str(tmp_path), 2018, 2018, files_per_partition=10)
-    assert days(ranged) == [d for d in everything if d[1] == 2018] and ranged.rdd.getNumPartitions() == 1
+        some = log_source.read_logs(spark, str(tmp_path), **options)
+        assert days(some) == [d for d in everything if keep(d)], options
+        assert some.rdd.getNumPartitions() == files, options
+        assert days(some.where("day = 2 OR year = 2017")) == [d for d in everything if keep(d) and (d[3] == 2 or d[1] == 2017)]
+    one, other = df.where("year = 2017"), df.where("year = 2018")  # filters of one query do not reach another
+    assert days(one.unionByName(other)) == [d for d in everything if d[1] < 2019] and days(df) == everything
+    together = log_source.read_logs(spark, str(tmp_path), 2018, 2018, files_per_partition=10)
+    assert days(together) == [d for d in everything if d[1] == 2018] and together.rdd.getNumPartitions() == 1
+
+
+def test_folders_of_years_are_pruned_by_spark(spark, frame, tmp_path):
+    columns = ", ".join(f"{m} double" for m in schemas.MEASURES)
+    rows = [("LAKE", y, m, 1, *[1.5] * len(schemas.MEASURES)) for y in range(2015, 2021) for m in (1, 2)]
+    log_source.write_logs(frame(rows, f"station string, year int, month int, day int, {columns}"), str(tmp_path / "x"), "by_year")
+    some = text_log.read_text_logs(spark, str(tmp_path / "x"), first_year=2019)
+    assert sorted((r.year, r.month, r.pool) for r in some.collect()) == [(y, m, 1.5) for y in (2019, 2020) for m in (1, 2)]
+    assert "PartitionFilters: [isnotnull(year" in some._jdf.queryExecution().toString()
+    assert len(some.inputFiles()) == 12 and len(text_log.read_text_logs(spark, str(tmp_path / "x"), 2019, 2020).inputFiles()) == 4
 
 
 @pytest.mark.parametrize("layout", ["flat", "by_year"])
