@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of ``documents``.
-Nulls: a row without text fails the quality rules; a row without an id stands for itself in the second stage.
+Nulls: a row without text fails the quality rules. In the second and third stage rows are told apart by a 64-bit hash of
+all their columns, so rows without an id and different texts under one id are judged like all others; rows that repeat
+in full count once.
 """
 
 from __future__ import annotations
@@ -16,6 +18,14 @@ from freshet.llm.pii import masked_documents
 from freshet.llm.quality import kept_documents
 from freshet.session import durable
 
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column that tells its rows apart, and rows that repeat in full not."""
+    return docs.withColumn(KEY, F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns]))
+
+
 #: several stages (verified links, packing ranks, tokenizer) have no SQL form
 ORACLE_SQL = None
 
@@ -26,17 +36,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; repeated ids count once."""
-    first = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The document with the smallest id of each group of near duplicates, one without an id only where none has one."""
+    rows = _keyed(docs)
+    groups = near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text")).toDF(KEY, "n_shingles", "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    first = rows.select(KEY, "doc_id").join(groups, KEY).groupBy("component").agg(F.min(order).alias("x")).select(f"x.{KEY}")
+    return rows.join(durable(first), KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = durable(benchmark_passages(docs, benchmark).filter("doc_id is not null").select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = benchmark_passages(rows.select(F.col(KEY).alias("doc_id"), "text"), benchmark)
+    return rows.join(durable(found.select(F.col("doc_id").alias(KEY)).distinct()), KEY, "left_anti").select(docs.columns)
 
 
 def personal_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: bytes of text handled at once, and rows of an Arrow batch
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 BATCH_ROWS = 1_000
 
 #: bytes that stand in no word: white space, or all ASCII but letters and digits

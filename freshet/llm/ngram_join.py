@@ -35,7 +35,9 @@ from freshet.llm.components import components
 from freshet.session import durable
 
 #: signature rows held before they are sorted and handed on
-FLUSH_ROWS = 1 << 19
+FLUSH_ROWS = 1 << 17
+#: signature rows of a bucket, which is grouped at once
+BUCKET_ROWS = 1 << 17
 #: members of a signature group in one row
 GROUP_ROWS = 10_000
 #: fewest 64-bit words of a set's parity bits
@@ -172,6 +174,7 @@ def widespread_shingles(docs: DataFrame, params: JoinParams = JoinParams()) -> n
     found = (
         docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text")
         .mapInArrow(run, "shingle long")
+        .repartition("shingle")  # nearly all are different: counting them before the exchange only takes memory
         .groupBy("shingle").count().filter(F.col("count") >= params.widespread)
         .orderBy(F.desc("count"), "shingle").limit(50_000)
         .select("shingle").toPandas()
@@ -179,13 +182,17 @@ def widespread_shingles(docs: DataFrame, params: JoinParams = JoinParams()) -> n
     return np.sort(found["shingle"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
-def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """(grp, pivot, code): sets that share a signature, one row per member, groups of equal members once."""
+def signature_groups(docs: DataFrame, shingles: int, params: JoinParams = JoinParams()) -> DataFrame:
+    """(grp, code): sets that share a signature, one row per member, groups of equal members once.
+
+    ``shingles``, the size of all sets together, sets the number of buckets: a set shows fewer signatures than it has
+    shingles, but for the smallest ones. Tasks take one bucket after another, so their memory does not follow the input.
+    """
     spark = docs.sparkSession
     words, percent = params.words, params.percent
     wide_codes = spark.sparkContext.broadcast(widespread_shingles(docs, params))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 2 * tasks
+    buckets = max(2 * tasks, min(shingles // BUCKET_ROWS, 1 << 20))
 
     def flush(sigs, codes):
         """Rows of a bucket in one: 6 bytes of each signature, and the sets' codes with their numbers of rows."""
@@ -237,21 +244,24 @@ def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
             yield flush(sigs, codes)
 
     def group(batches):
-        sigs, codes = [], []
+        """Groups of each bucket; its rows follow one another."""
+        sigs, codes, at = [], [], None
         for batch in batches:
             for bucket, s, c, n in zip(*batch.columns, strict=True):
+                if bucket.as_py() != at and sigs:
+                    yield from grouped(np.concatenate(sigs), np.concatenate(codes))
+                    sigs, codes = [], []
+                at = bucket.as_py()
                 short = np.frombuffer(s.as_py(), dtype=np.uint8).reshape(-1, 6)
-                wide = np.empty((len(short), 8), dtype=np.uint8)
+                wide = np.zeros((len(short), 8), dtype=np.uint8)
                 wide[:, :6] = short
-                wide[:, 6:] = np.array([bucket.as_py() & 0xFFFF], dtype=np.uint16).view(np.uint8)
                 sigs.append(wide.reshape(-1).view(np.uint64))
                 counts = np.frombuffer(n.as_py(), dtype=np.uint32)
                 codes.append(np.repeat(np.frombuffer(c.as_py(), dtype=np.uint64), counts))
-        if not sigs:
-            return
-        sig = np.concatenate(sigs)
-        code = np.concatenate(codes)
-        sigs = codes = None
+        if sigs:
+            yield from grouped(np.concatenate(sigs), np.concatenate(codes))
+
+    def grouped(sig, code):
         order = np.argsort(sig)
         sig, code = sig[order], code[order]
         same = sig[1:] == sig[:-1]
@@ -288,7 +298,7 @@ def signature_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> Data
 
     rows = docs.select("text").mapInArrow(show, "bucket int, sigs binary, codes binary, counts binary")
     groups = (
-        rows.repartition(tasks, "bucket")
+        rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
         .mapInArrow(group, "grp long, chunk int, members array<long>")
         .groupBy("grp", "chunk").agg(F.first("members").alias("members"))
     )
@@ -368,7 +378,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     distinct = durable(counts.filter("n_shingles > 0").groupBy("code").agg(
         F.min_by(F.struct("doc_id", "n_shingles", "parity"), "doc_id").alias("x")
     ).select("code", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.parity"))
-    members = durable(signature_groups(docs, params).join(distinct.select("code", "rep", "n"), "code").drop("code"))
+    shingles = counts.agg(F.sum("n_shingles")).first()[0] or 0
+    members = durable(signature_groups(docs, shingles, params).join(distinct.select("code", "rep", "n"), "code").drop("code"))
     parity = distinct.select("rep", "parity")
 
     pivots = members.groupBy("grp").agg(F.min(F.struct("rep", "n")).alias("least")).select(

@@ -34,6 +34,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo es más como".split(),
 }
 SLOTS = max(map(len, COMMON_WORDS.values())) + 1
+LISTED = sorted({w for v in COMMON_WORDS.values() for w in v})
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"[:SLOTS - 1]
 WHITE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -115,7 +117,7 @@ def _facts(docs: DataFrame, others: bool = False) -> DataFrame:
     })
     words = F.col("__words")
     counted = split.withColumns({
-        "__at": F.transform(words, lambda w: F.array_position(F.col("__list"), F.lower(w)).cast("int")),
+        "__hits": F.filter(F.transform(words, lambda w: F.lower(w)), lambda w: w.isin(LISTED)),
         "__n": F.size(words).cast("long"),
         "__word_chars": F.length(F.array_join(words, "")).cast("long"),
         "__symbols": _removed(text, SYMBOLS),
@@ -128,11 +130,14 @@ def _facts(docs: DataFrame, others: bool = False) -> DataFrame:
     n, chars, symbols, repeat = (F.col(c) for c in ("__n", "__word_chars", "__symbols", "__repeat"))
     space = F.length(text) - chars
     letters = chars - symbols - F.col("__upper") - F.col("__digit") - F.col("__mark")
-    at = F.col("__at")
-    common = F.array(*[(F.size(at) - F.size(F.array_remove(at, k))).cast("double") for k in range(SLOTS)])
-    low = F.transform(words, lambda w: F.lower(w))
-    held = lambda x, listed: F.size(F.filter(x, lambda w: w.isin(listed)))
-    listed = _let(low, lambda x: F.greatest(*[held(x, v) for v in COMMON_WORDS.values()]))
+    # the places of the words in the list as letters of one text, in which a letter is counted by taking it out
+    place = lambda w: F.substring(F.lit("." + LETTERS), F.array_position(F.col("__list"), w).cast("int") + 1, F.lit(1))
+    held = lambda places: [(F.length(places) - F.length(F.translate(places, c, ""))).cast("double") for c in LETTERS]
+    common = _let(
+        F.replace(F.array_join(F.transform("__hits", place), ""), F.lit("."), F.lit("")),
+        lambda places: F.array((n - F.length(places)).cast("double"), *held(places)),
+    )
+    listed = F.greatest(*[F.size(F.filter("__hits", lambda w, v=v: w.isin(v))) for v in COMMON_WORDS.values()])
     facts = F.struct(
         n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"), ((n < 20) | (100 * repeat > 30 * n)).alias("base_failed"),

@@ -86,7 +86,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_dealt_query_is_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, duck):
@@ -114,4 +114,19 @@ def test_stages_take_odd_tables(spark, duck):
         docs = spark.createDataFrame(rows, schema)
         for _, stage in p.STAGES:
             docs = stage(spark, docs, SF_DIR)
-        assert {r.doc_id for r in docs.collect()} == ({1, None} if rows else set())
+        assert {r.doc_id for r in docs.collect()} == ({1} if rows else set())
+
+
+def test_rows_without_an_id_and_repeated_ids_are_judged_like_others(spark, duck):
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    say = lambda a: " ".join(f"{a}{i}" for i in range(60))
+    rows = [(7, say("a"), "en", "s", 1), (3, say("a"), "en", "t", 1), (None, say("a") + " end", "en", "s", 1), (3, say("b"), "en", "s", 1),
+            (3, say("b"), "en", "s", 1), (None, say("c"), "en", "s", 1), (None, say("c"), None, "s", 1), (9, None, "en", "s", 1), (9, "", "en", "s", 1)]
+    kept = p.one_of_each_group(spark, spark.createDataFrame(rows, schema), SF_DIR).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in kept) == [(0, "c0"), (3, "a0"), (3, "b0"), (9, ""), (9, "")]
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").filter("length(text) > 200").first().text
+    leaks = [(None, item, "en", "s", 1), (4, "so " + item + " it", "en", "s", 1), (4, say("d"), "en", "s", 1), (None, say("e"), "en", "s", 1)]
+    clean = p.without_benchmark(spark, spark.createDataFrame(leaks, schema), SF_DIR).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in clean) == [(0, "e0"), (4, "d0")]
