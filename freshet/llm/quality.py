@@ -137,7 +137,8 @@ def _facts(docs: DataFrame, others: bool = False) -> DataFrame:
         F.replace(F.array_join(F.transform("__hits", place), ""), F.lit("."), F.lit("")),
         lambda places: F.array((n - F.length(places)).cast("double"), *held(places)),
     )
-    listed = F.greatest(*[F.size(F.filter("__hits", lambda w, v=v: w.isin(v))) for v in COMMON_WORDS.values()])
+    of_list = lambda listed: F.size(F.filter("__hits", lambda w: w.isin(listed)))
+    listed = F.greatest(*map(of_list, COMMON_WORDS.values()))
     facts = F.struct(
         n.alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), F.col("__dup").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"), ((n < 20) | (100 * repeat > 30 * n)).alias("base_failed"),
