@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog.distributions import _quantiles_sql, GAMMA_ML, NORMAL
 from freshet.catalog.months import HISTORY, rounded
+from freshet.catalog.panels import _panel_sql as panel_query_sql
 from freshet.catalog.registry import query
 from freshet.catalog.sqltext import MONTH_MEANS, over, select
 from freshet.catalog.tables import (
@@ -15,7 +16,8 @@ from freshet.catalog.tables import (
 )
 from freshet.catalog.windows import FEATURES_SQL
 from freshet.functions.numeric import from_log_target
-from freshet.operators import bands, distributions, evaluation, linear, products, trees
+from freshet.operators import bands, distributions, evaluation, linear, panel, products, trees
+from freshet.operators.groups import with_facts
 from freshet.operators.windows import SeriesWindow, latest_rows
 from freshet.plans import daily as daily_plan, monthly as monthly_plan
 from freshet.plans.daily import DailyConfig
@@ -522,6 +524,31 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.round(F.col(c) / 1e6, 5) for c in _LARGE})
 
 
+_F12 = [*_F3, *daily_plan.PANEL_FEATURES]
+_CELLS = ", ".join(
+    f"max({f}) FILTER (subbasin = '{sb}') AS {n}" for n in daily_plan.PANEL_FEATURES for f, sb in [panel.cell_name(n)])
+LINEAR12 = FEATURES_SQL + ", " + panel_query_sql(True) + f""", wide AS (SELECT date_day, {_CELLS} FROM panel GROUP BY 1),
+plain AS (
+  SELECT f.series_id, f.date_day, year, month, {', '.join(_F12)}, inflow_next30 AS y_true, inflow_next30_log AS y_log, {SPLIT} AS split
+  FROM features f LEFT JOIN wide ON f.date_day = wide.date_day
+  WHERE inflow_next30 IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _F12)})""" \
+    + LINEAR3[LINEAR3.index(",\nlimits AS"):].replace(
+        solve_sql("model_rows", _F3, "y_log", "m", where="split = 'train'"), solve_sql("model_rows", _F12, "y_log", "m", where="split = 'train'")
+    ).replace(value_sql(_F3, "m"), value_sql(_F12, "m"))
+
+
+@query(
+    "daily_forecast_linear_panel",
+    select(LINEAR12, "SELECT * REPLACE (" + ", ".join(f"round({c} / 1e6, 4) AS {c}" for c in _LARGE) + ") FROM ivals"),
+)
+def _(spark, sf_dir):
+    """The whole daily analysis with the published subbasin features and the linear model; predictions in millions."""
+    config = DailyConfig(TRAIN_END, VAL_END, models=("linear",))
+    rain, soil = rain_by_area(spark, sf_dir), soil_by_area(spark, sf_dir)
+    out = daily_plan.daily_forecast(daily_log(spark, sf_dir), rain, soil, config).forecast
+    return out.withColumns({c: F.round(F.col(c) / 1e6, 4) for c in _LARGE})
+
+
 @query("interval_coverage", select(LINEAR3 + """, covered AS (
   SELECT t.series_id, t.month, (y_true BETWEEN y_lo90 AND y_hi90)::INTEGER AS c90, (y_true BETWEEN y_lo50 AND y_hi50)::INTEGER AS c50
   FROM test t JOIN ivals i ON t.series_id = i.series_id AND t.date_day = i.date_day)""",
@@ -564,38 +591,67 @@ def _(spark, sf_dir):
     return rounded(scores.join(covered, ["series_id", "cut"]), {c: 6 for c in ("mae", "rmse", "r2", "covered_90", "covered_50")})
 
 
-# tree models: no SQL counterpart. Forests have the published sizes. Boosting rounds run one after another, several
-# Spark jobs each, so the queries run fewer rounds than published; README.md gives the measured time of a round.
+# tree models: SQL cannot fit them, but it knows what holds for each of them. Forests have the published sizes. Boosting
+# rounds run one after another, several Spark jobs each, so the queries run fewer rounds than published; README.md gives
+# the measured time of a round.
+
+
+_TREE_KEYS = ["series_id", "date_day", "split", "y_true"]
+
 
+def _fact_sql(name: str) -> str:
+    return select(ROWS, f"SELECT {', '.join(_TREE_KEYS)}, true AS {name} FROM model_rows")
 
-@query("forest")
+
+def _within(rows, column: str = "y_pred"):
+    """Whether a prediction lies in the range of its series' training values, as means of these do."""
+    on_train = F.when(F.col("split") == "train", F.col("y_true"))
+    ranged = with_facts(rows, [F.min(on_train).alias("_low"), F.max(on_train).alias("_high")], ["series_id"])
+    return ranged.withColumn("in_range", F.col(column).between(F.col("_low") * (1 - 1e-9), F.col("_high") * (1 + 1e-9)))
+
+
+def _forest(spark, sf_dir, spec, weight=None):
+    def fit(train):
+        model = trees.fit_forest(train, _F3, "y_log", spec, weight)
+        return lambda df: trees.predict(df, model, _F3)
+
+    out = trees.per_series(durable(model_rows(spark, sf_dir)), {"y_pred": fit})
+    return _within(out).select(*_TREE_KEYS, "in_range")
+
+
+@query("forest", _fact_sql("in_range"))
 def _(spark, sf_dir):
-    rows = durable(model_rows(spark, sf_dir))
-    model = trees.fit_forest(rows.where("split = 'train'"), _F3, "y_log", trees.DAILY_FOREST)
-    return trees.predict(rows, model, _F3).select("series_id", "date_day", "split", "y_true", "y_pred")
+    return _forest(spark, sf_dir, trees.DAILY_FOREST)
 
 
-@query("weighted_forest")
+@query("weighted_forest", _fact_sql("in_range"))
 def _(spark, sf_dir):
-    rows = durable(model_rows(spark, sf_dir))
-    model = trees.fit_forest(rows.where("split = 'train'"), _F3, "y_log", trees.WEIGHTED_FOREST, "weight")
-    return trees.predict(rows, model, _F3).select("series_id", "date_day", "split", "y_true", "y_pred")
+    return _forest(spark, sf_dir, trees.WEIGHTED_FOREST, "weight")
 
 
-@query("regime_blend")
+@query("regime_blend", _fact_sql("between_regimes"))
 def _(spark, sf_dir):
+    """The blend lies between the forecasts of its two regimes."""
     rows = durable(model_rows(spark, sf_dir))
     blend = trees.fit_regime_blend(rows.where("split = 'train'"), _F3, "y_log", "high", "weight")
     if blend is None:
         raise ValueError(f"a regime has fewer than {trees.REGIME_MIN_ROWS} training rows")
-    return trees.predict_regime_blend(rows, blend, _F3).select("series_id", "date_day", "split", "y_true", "y_pred")
+    out = trees.predict_regime_blend(rows, blend, _F3, parts=True)
+    low, high = F.least("y_pred_low", "y_pred_high"), F.greatest("y_pred_low", "y_pred_high")
+    return out.select(*_TREE_KEYS, F.col("y_pred").between(low * (1 - 1e-9), high * (1 + 1e-9)).alias("between_regimes"))
 
 
-@query("boosted_trees")
+@query("boosted_trees", _fact_sql("above_zero"))
 def _(spark, sf_dir):
-    rows = durable(model_rows(spark, sf_dir))
-    model = trees.fit_boosted(rows.where("split = 'train'"), _F3, "y_log", trees.BoostSpec(rounds=10))
-    return trees.predict(rows, model, _F3).select("series_id", "date_day", "split", "y_true", "y_pred")
+    """Sums of trees may leave the training range, but stay finite and, in this table, above zero."""
+
+    def fit(train):
+        model = trees.fit_boosted(train, _F3, "y_log", trees.BoostSpec(rounds=10))
+        return lambda df: trees.predict(df, model, _F3)
+
+    out = trees.per_series(durable(model_rows(spark, sf_dir)), {"y_pred": fit})
+    known = (F.col("y_pred") > 0) & (F.col("y_pred") < float("inf"))
+    return out.select(*_TREE_KEYS, known.alias("above_zero"))
 
 
 @query("daily_forecast")

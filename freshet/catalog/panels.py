@@ -68,7 +68,7 @@ def _(spark, sf_dir):
 
 def _long(spark, sf_dir, exact):
     rain, soil = _sides(spark, sf_dir, exact)
-    return panel.rolling_panel(panel.dense_panel(rain, soil, panel.match_areas(rain, soil)))
+    return panel.subbasin_windows(rain, soil, durable(panel.match_areas(rain, soil)))
 
 
 def _long_rounded(spark, sf_dir, exact):

@@ -11,7 +11,7 @@ also inside the region. The text of a block has single spaces, blocks are joined
 end a block. Character references are decoded once, after the markup is read.
 
 Defined cases: null or empty html and pages without a word have empty text; unclosed elements end with what holds
-them; repeated rows are read each; extra columns are ignored; an empty table gives no rows. Without labelled pages
+them or where the next element implies it; reading takes time in proportion to the page; repeated rows are read each; extra columns are ignored; an empty table gives no rows. Without labelled pages
 all words score the same.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -44,6 +45,47 @@ LEFT_OUT_NAMES = frozenset(
     "cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo related "
     "share sidebar social sponsor sponsored subscribe widget".split()
 )
+PLAIN_NAMES = frozenset(
+    "area bar block box bottom button container content footer group header inner item items left link links list main outer "
+    "overlay page panel right row section site slot text title top unit wrap wrapper".split()
+)
+#: fixed values: elements whose end tag may be left out, with the elements that shelter one and those whose start ends it
+IMPLIED_END = {
+    "li": (("ul", "ol", "menu"), ("li",)),
+    "dt": (("dl",), ("dt", "dd")),
+    "dd": (("dl",), ("dt", "dd")),
+    "td": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
+    "th": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
+    "tr": (("table",), ("tr", "tbody", "tfoot")),
+    "option": (("select", "datalist"), ("option", "optgroup")),
+}
+RAW = frozenset("script style textarea title noscript iframe template".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+# a quoted value has at most 10,000 characters, so that a stray quote costs no scan of the page
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|"
+    r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,10000}+\"|'[^']{0,10000}+'|[\"'])*+)(?:>|(?=<)|\Z)",
+    re.DOTALL,
+)
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
+    "cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo related "
+    "share sidebar social sponsor sponsored subscribe widget".split()
+)
+PLAIN_NAMES = frozenset(
+    "area bar block box bottom button container content footer group header inner item items left link links list main outer "
+    "overlay page panel right row section site slot text title top unit wrap wrapper".split()
+)
+#: fixed values: elements whose end tag may be left out, with the elements that shelter one and those whose start ends it
+IMPLIED_END = {
+    "li": (("ul", "ol", "menu"), ("li",)),
+    "dt": (("dl",), ("dt", "dd")),
+    "dd": (("dl",), ("dt", "dd")),
+    "td": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
+    "th": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
+    "tr": (("table",), ("tr", "tbody", "tfoot")),
+    "option": (("select", "datalist"), ("option", "optgroup")),
+}
 RAW = frozenset("script style textarea title noscript iframe template".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _TOKEN = re.compile(
@@ -70,11 +112,67 @@ class Page:
     articles: int = 0
 
 
+class OpenElements:
+    """Names of the elements that are open; one lookup and one removal for each tag, however deep they nest."""
+
+    def __init__(self, *names: str):
+        self.names, self.count = list(names), Counter(names)
+
+    def open(self, name: str) -> None:
+        self.names.append(name)
+        self.count[name] += 1
+
+    def close(self, name: str) -> None:
+        """End the innermost element of that name and all that it holds."""
+        while self.names:
+            last = self.names.pop()
+            self.count[last] -= 1
+            if last == name:
+                return
+
+    def __contains__(self, name: str) -> bool:
+        return self.count[name] > 0
+
+    def __bool__(self) -> bool:
+        return bool(self.names)
+
+
+def _ends(name: str, inside: OpenElements, new: str) -> bool:
+    """Whether the start of ``new`` ends an element ``name`` whose end tag may be left out."""
+    if name == "p":
+        return new in BLOCKS and new != "br"
+    holders, followers = IMPLIED_END.get(name, ((), ()))
+    return new in followers and not any(h in inside for h in holders)
+
+
+def _left_out(name: str, attributes: str, inside: int) -> bool:
+    """Whether an element and all it holds is no main text, by its name or by a class, id or role of it."""
+    if name in LEFT_OUT or (name == "header" and not inside):
+        return True
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    for value in _NAMES.finditer(attributes):
+        for word in value[1].strip("\"'").lower().split():
+            parts = _PART.findall(word)
+            if name == "article":
+                if "comment" in parts or "comments" in parts:
+                    return True
+            # a compound says so only where its other parts say nothing else
+            elif any(p in LEFT_OUT_NAMES for p in parts) and all(p in LEFT_OUT_NAMES or p in PLAIN_NAMES for p in parts):
+                return True
+    return False
+
+
 def read_page(source: str) -> Page:
-    """Blocks and tags of ``source`` outside of the elements that are left out."""
+    """Blocks and tags of ``source`` outside of the elements that are left out.
+
+    One pass: a tag ends at its ``>``, or before the next ``<`` that no quotes hold. An element that is left out ends at its
+    end tag, where the end tag of what holds it stands, or where the next element implies its end.
+    """
     page = Page()
     parts: list[str] = []
-    context, inside, out_name, out_depth, at = "body", 0, "", 0, 0
+    context, inside, out_name, at = "body", 0, "", 0
+    holders, held = OpenElements(), OpenElements()
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
@@ -96,35 +194,34 @@ def read_page(source: str) -> Page:
         if not m[2]:
             continue
         closing, name = m[1] == "/", m[2].lower()
-        if name in RAW and not closing and not m[3].endswith("/"):
+        single = name in VOID or m[3].endswith("/")
+        if name in RAW and not closing and not single:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(source, at)
             at = end.end() if end else n
             if not out_name:
                 close()
             continue
         if out_name:
-            if name == out_name:
-                out_depth += -1 if closing else 1
-            if not out_depth or (name in ("article", "main") and not closing and out_name != name) or (
-                closing and name in ("body", "html")
-            ):
-                out_name, out_depth = "", 0
-                if closing:
-                    continue
-            else:
+            if closing and name in held:
+                held.close(name)
+                out_name = out_name if held else ""
+                continue
+            ended = closing and name in holders or not closing and (
+                _ends(out_name, held, name) or name in ("article", "main") and out_name != name
+            )
+            if not ended:
+                if not closing and not single:
+                    held.open(name)
                 continue
-        if not closing and name not in VOID and not m[3].endswith("/"):
-            odd = name in LEFT_OUT or (name == "header" and not inside)
-            if not odd and m[3] and name not in ("html", "body", "article", "main"):
-                named = " ".join(x[1].lower() for x in _NAMES.finditer(m[3]))
-                odd = bool(named) and any(x in LEFT_OUT_NAMES for x in _PART.findall(named))
-            elif not odd and m[3] and name == "article":
-                named = " ".join(x[1].lower() for x in _NAMES.finditer(m[3]))
-                odd = "comment" in _PART.findall(named) or "comments" in _PART.findall(named)
-            if odd:
+            out_name = ""
+        if closing and name in holders:
+            holders.close(name)
+        if not closing and not single:
+            if _left_out(name, m[3], inside):
                 close()
-                out_name, out_depth = name, 1
+                out_name, held = name, OpenElements(name)
                 continue
+            holders.open(name)
         if name in BLOCKS:
             close()
             if name in ("article", "main"):

@@ -7,11 +7,12 @@ The posterior of a page's language is the product of
 * the likelihood of the language that its markup declares, given the true language;
 * a prior of its host, smoothed towards its domain, then its address suffix, then all pages.
 
-Declaration likelihoods and priors are grouped aggregations over all pages, labelled by their text alone. Trigrams are
+Declaration likelihoods and priors are grouped aggregations over all pages with text, labelled by their text alone; a
+page without any evidence from its text has no label and no vote. Trigrams are
 hashed to a fixed number of slots, so the text model has a fixed size for each language. The host join is salted: a
 host that holds a third of all pages is spread over ``salts`` keys.
 
-Defined cases: null or empty html gives no text evidence, a null url the empty host; a language is taken from the
+Defined cases: null or empty html gives no text evidence and a null ``text_lang``, a null url the empty host; a language is taken from the
 labels of the documents, null labels are left out; more than ``max_languages`` labels are an error; without labelled
 documents there is no row; repeated rows are judged each; extra columns are ignored.
 """
@@ -31,7 +32,12 @@ from freshet.llm.bytescan import _LOWER, in_small_batches, pieces
 from freshet.llm.html_text import main_text, read_page
 from freshet.session import durable
 
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+#: the language of the root element (lang or xml:lang), or of a header given in the markup
+_DECLARED = re.compile(
+    r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})"
+    r"|<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*[\"']?content-language\b)[^<>]*?\bcontent\s*=\s*[\"']?([A-Za-z]{2,3})",
+    re.IGNORECASE,
+)
 
 
 @dataclass(frozen=True)
@@ -97,7 +103,7 @@ def _text_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray, par
                 part = batch.slice(a, 500)
                 sources = [x or "" for x in part.column(2).to_pylist()]
                 texts = ["\n".join(main_text(x, {}) or read_page(x).blocks) for x in sources]
-                declared = [m[1].lower() if (m := _DECLARED.search(x)) else "" for x in sources]
+                declared = [(m[1] or m[2]).lower() if (m := _DECLARED.search(x)) else "" for x in sources]
                 rows = np.zeros((len(texts), len(model.value)))
                 for first, last, data, offsets in pieces(pa.array(texts, pa.string())):
                     slot, row = _slots(data, offsets, slots)
@@ -147,12 +153,13 @@ def page_languages(pages: DataFrame, docs: DataFrame, params: LanguageParams = L
     known = F.when(F.col("declared").isin(languages), F.col("declared")).otherwise(
         F.when(F.col("declared") == "", F.lit("none")).otherwise(F.lit("other"))
     )
+    told_by_text = F.when(F.exists("evidence", lambda x: x != 0), best(F.col("evidence")))
     seen = durable(
         _text_evidence(pages, languages, logs, params)
-        .withColumn("host", host).withColumns({"domain": domain, "suffix": suffix, "known": known, "label": best(F.col("evidence"))})
+        .withColumn("host", host).withColumns({"domain": domain, "suffix": suffix, "known": known, "label": told_by_text})
     )
 
-    counted = [F.count("*").alias("n")] + [F.count(F.when(F.col("label") == i, 1)).alias(f"n{i}") for i in range(len(languages))]
+    counted = [F.count("label").alias("n")] + [F.count(F.when(F.col("label") == i, 1)).alias(f"n{i}") for i in range(len(languages))]
     # one row for each language and two more
     told = {r.known: r for r in seen.groupBy("known").agg(*counted).collect()}
     true = [sum(r[f"n{i}"] for r in told.values()) for i in range(len(languages))]

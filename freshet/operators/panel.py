@@ -6,9 +6,12 @@ step works on (days x subbasins) rows however many raw readings there were.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from freshet.operators.windows import SeriesWindow
+from freshet.session import durable
 
 FEATURES = ["arain_7d", "arain_30d", "asm_7d", "asm_30d"]
 
@@ -97,6 +100,50 @@ def dense_panel(rain: DataFrame, soil: DataFrame, areas: DataFrame) -> DataFrame
     )
 
 
+def panel_cells(rain: DataFrame, soil: DataFrame, areas: DataFrame) -> DataFrame:
+    """(series_id, date_day, k, rain, soil): the readings of either side, by subbasin; no row where there is none.
+
+    ``rain`` and ``soil`` are daily area means, ``areas`` a written table.
+    """
+    side = lambda df, area, value: df.join(
+        areas.select("series_id", "k", F.col(area).alias("area")), ["series_id", "area"]
+    ).select("series_id", "date_day", "k", value)
+    return side(rain, "rain_area", "rain").unionByName(side(soil, "soil_area", "soil"), allowMissingColumns=True)
+
+
+def panel_dates(cells: DataFrame) -> DataFrame:
+    """(series_id, date_day, i): the dates of a series' readings, numbered in order; the calendar bounds them."""
+    dates = cells.groupBy("series_id").agg(F.array_sort(F.collect_set("date_day")).alias("_dates"))
+    return dates.select("series_id", F.posexplode("_dates").alias("i", "date_day")).select("series_id", "date_day", "i")
+
+
+def subbasin_windows(rain: DataFrame, soil: DataFrame, areas: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """What ``rolling_panel`` of the dense panel gives, without building that panel.
+
+    Readings carry the number of their date among all dates of the series, and windows reach back by that number, so
+    dates without a reading need no row. Rows are added only for the dates that are ``asked`` for (series_id,
+    date_day), by default all dates; each asked date has every subbasin. One exchange by series and subbasin serves
+    merging and windows. ``areas`` is a written table.
+    """
+    cells = panel_cells(rain, soil, areas)
+    dates = durable(panel_dates(cells))
+    wanted = dates if asked is None else dates.join(asked.select("series_id", "date_day").distinct(), ["series_id", "date_day"], "left_semi")
+    empty = wanted.join(areas.select("series_id", "k"), "series_id").select("series_id", "date_day", "i", "k", F.lit(True).alias("_asked"))
+    placed = cells.join(dates, ["series_id", "date_day"]).unionByName(empty, allowMissingColumns=True)
+    merged = placed.repartition("series_id", "k").groupBy("series_id", "k", "i", "date_day").agg(
+        F.coalesce(F.max("rain"), F.lit(0.0)).alias("rain"), F.max("soil").alias("soil"), F.max("_asked").alias("_asked")
+    )
+    back = lambda n: Window.partitionBy("series_id", "k").orderBy("i").rangeBetween(1 - n, 0)
+    rolled = merged.select(
+        "series_id", "date_day", "k", "_asked",
+        *[F.sum("rain").over(back(n)).alias(f"arain_{n}d") for n in (7, 30)],
+        *[F.avg("soil").over(back(n)).alias(f"asm_{n}d") for n in (7, 30)],
+    ).where("_asked")
+    return rolled.join(areas.select("series_id", "k", "subbasin", "weight"), ["series_id", "k"]).select(
+        "series_id", "date_day", "subbasin", "weight", *FEATURES
+    )
+
+
 def rolling_panel(dense: DataFrame) -> DataFrame:
     """Per-subbasin rain sums and soil means over 7 and 30 rows."""
     w = SeriesWindow(["series_id", "subbasin"], ["date_day"])
@@ -114,12 +161,34 @@ def rolling_panel(dense: DataFrame) -> DataFrame:
 
 def basin_summary(panel: DataFrame) -> DataFrame:
     """Area-weighted features and their spread (sample standard deviation) across subbasins, per date."""
-    return panel.groupBy("series_id", "date_day").agg(
+    return panel.groupBy("series_id", "date_day").agg(*_summary())
+
+
+def _summary() -> list[Column]:
+    return [
         *[F.coalesce(F.sum(F.col("weight") * F.col(c)), F.lit(0.0)).alias(c.replace("_", "_weighted_", 1))
           for c in FEATURES],
         F.stddev_samp("arain_7d").alias("arain_spread_7d"),
         F.stddev_samp("asm_30d").alias("asm_spread_30d"),
-    )
+    ]
+
+
+def cell_name(name: str) -> tuple[str, str] | None:
+    """(feature, subbasin) of a column such as ``arain_SB4_7d``; None for other names."""
+    parts = re.fullmatch(r"(arain|asm)_(SB[0-9]+)_(7d|30d)", name)
+    return (f"{parts[1]}_{parts[3]}", parts[2]) if parts else None
+
+
+def named_panel(panel: DataFrame, areas: DataFrame, names: list[str]) -> DataFrame:
+    """One row per date with the basin summary and those of the requested cells whose subbasin exists, by their names.
+
+    The request decides the columns: of the areas, only the subbasins that it names are looked up.
+    """
+    cells = {n: cell_name(n) for n in names if cell_name(n)}
+    asked = sorted({sb for _, sb in cells.values()})
+    found = {r["subbasin"] for r in areas.where(F.col("subbasin").isin(asked)).select("subbasin").distinct().collect()} if asked else set()
+    values = [F.max(F.when(F.col("subbasin") == sb, F.col(c))).alias(n) for n, (c, sb) in cells.items() if sb in found]
+    return panel.groupBy("series_id", "date_day").agg(*_summary(), *values)
 
 
 def wide_panel(panel: DataFrame, subbasins: list[str], columns: list[str] = FEATURES) -> DataFrame:

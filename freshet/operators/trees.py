@@ -1,19 +1,27 @@
 """Forests and boosted trees on spark.ml, with the log target and the regime blend.
 
-One model is fitted on all series together. Split candidates are binned, so results resemble other forest
+A fit takes the rows that it is given; ``per_series`` gives it one series at a time. Split candidates are binned, so results resemble other forest
 implementations but never equal them. Predictions stay columns of their rows.
 """
 
 from __future__ import annotations
 
+import uuid
+import warnings
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from freshet.session import shared_folder
 
 _INPUTS = "_inputs"
 
@@ -154,10 +162,61 @@ def fit_regime_blend(
     )
 
 
-def predict_regime_blend(df: DataFrame, blend: RegimeBlend, features: list[str], name: str = "y_pred") -> DataFrame:
-    """Regime forecasts on the original scale, mixed by the probability of the high regime."""
+def predict_regime_blend(
+    df: DataFrame, blend: RegimeBlend, features: list[str], name: str = "y_pred", parts: bool = False
+) -> DataFrame:
+    """Regime forecasts on the original scale, mixed by the probability of the high regime.
+
+    With ``parts`` the forecasts of the two regimes stay as ``{name}_low`` and ``{name}_high``.
+    """
     odds = blend.classifier.transform(with_inputs(df, features))
     odds = odds.withColumn("_p_high", vector_to_array("_probability")[1]).select(*df.columns, "_p_high")
     both = predict(predict(odds, blend.low, features, "_low"), blend.high, features, "_high")
     mixed = F.col("_p_high") * F.col("_high") + (1 - F.col("_p_high")) * F.col("_low")
-    return both.withColumn(name, mixed).select(*df.columns, name)
+    shown = [F.col(f"_{p}").alias(f"{name}_{p}") for p in ("low", "high")] if parts else []
+    return both.withColumn(name, mixed).select(*df.columns, name, *shown)
+
+
+Predictor = Callable[[DataFrame], DataFrame]
+
+
+def per_series(
+    table: DataFrame, fits: dict[str, Callable[[DataFrame], Predictor | None]], series: str = "series_id", workers: int = 4
+) -> DataFrame:
+    """``table`` with one column for each of ``fits``, every model fitted on the training rows of one series.
+
+    A fit takes the rows with split 'train' of a series and returns what adds its column, or None where they are too few;
+    that column is null then, with a warning. Fits of different series and models do not wait for each other: ``workers``
+    of them run at once, each as jobs of its own in a scheduler pool of its name, and Spark shares the executors among
+    them. Each series' predictions are written to the shared folder, so the result's plan does not grow with the series.
+    """
+    spark = table.sparkSession
+    names = [r[0] for r in table.select(series).distinct().collect()]
+    folder = f"{shared_folder(spark).rstrip('/')}/freshet-series-{uuid.uuid4().hex}"
+    own = {s: table.where(F.col(series).eqNullSafe(s)) for s in names}
+
+    def fitted(job: tuple) -> Predictor | None:
+        s, name = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        train = own[s].where("split = 'train'")
+        found = None if train.isEmpty() else fits[name](train)
+        if found is None:
+            warnings.warn(f"too few training rows of series {s!r} for {name}", stacklevel=2)
+        return found
+
+    def written(job: tuple) -> None:
+        at, s = job
+        rows = own[s]
+        for name in fits:
+            predictor = models[s, name]
+            rows = rows.withColumn(name, F.lit(None).cast("double")) if predictor is None else predictor(rows)
+        rows.select(*table.columns, *fits).write.parquet(f"{folder}/{at}")
+
+    jobs = [(s, name) for s in names for name in fits]
+    with ThreadPoolExecutor(workers) as pool:
+        models = dict(zip(jobs, pool.map(inheritable_thread_target(spark)(fitted), jobs), strict=True))
+        list(pool.map(inheritable_thread_target(spark)(written), enumerate(names)))
+    schema = StructType([*table.schema.fields, *[StructField(n, DoubleType()) for n in fits]])
+    if not names:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/*")

@@ -86,15 +86,13 @@ def daily_features(log: DataFrame, soil_hours: DataFrame | None = None) -> DataF
     return featured.withColumn("inflow_next30_log", log_target(F.col("inflow_next30")))
 
 
-def subbasin_features(rain: DataFrame, soil: DataFrame, match: str = "auto") -> DataFrame:
-    """Wide subbasin features per date from (series_id, date_day, area, rain) and (.., soil)."""
+def subbasin_features(rain: DataFrame, soil: DataFrame, names: list[str] = PANEL_FEATURES, match: str = "auto") -> DataFrame:
+    """The basin summary and the subbasin features of ``names`` per date, from (series_id, date_day, area, rain) and
+    (.., soil). Names of subbasins that the data lacks have no column."""
     rain_daily = durable(panel.daily_area_mean(rain, "rain"))
     soil_daily = durable(panel.daily_area_mean(soil, "soil"))
-    areas = panel.match_areas(rain_daily, soil_daily, match)
-    long = panel.rolling_panel(panel.dense_panel(rain_daily, soil_daily, areas))
-    long = durable(long)
-    wide = panel.wide_panel(long, panel.subbasin_labels(areas))
-    return wide.join(panel.basin_summary(long), ["series_id", "date_day"])
+    areas = durable(panel.match_areas(rain_daily, soil_daily, match))
+    return panel.named_panel(panel.subbasin_windows(rain_daily, soil_daily, areas), areas, names)
 
 
 def model_table(features: DataFrame, sub: DataFrame | None, config: DailyConfig) -> tuple[DataFrame, list[str]]:
@@ -155,36 +153,48 @@ class DailyForecast:
 
 
 def predict_all(table: DataFrame, chosen: list[str], config: DailyConfig) -> tuple[DataFrame, dict[str, str]]:
-    """Fit every configured model on the training rows and add one prediction column each."""
+    """One prediction column for every configured model, fitted on the training rows of each series.
+
+    Linear models are solved for all series at once. Tree models are fitted series by series, several fits at a time.
+    """
     train = table.where(F.col("split") == "train")
-    out, columns = table, {}
+    columns = {name: f"y_{name}" for name in config.models}
     shrink = lambda s: trees.ForestSpec(max(1, round(s.trees * config.tree_share)), s.depth, s.leaf)
 
-    for name in config.models:
-        column = f"y_{name}"
-        if name in ("linear", "ridge"):
-            method = "least_squares" if name == "linear" else "ridge"
-            model = linear.fit_linear(train, chosen, "y_log", method, penalty=1.0)
-            out = linear.predict_linear(out, model, chosen, column)
-            out = out.withColumn(column, from_log_target(F.col(column)))
-        elif name in ("forest", "weighted_forest"):
-            weighted = name == "weighted_forest"
-            spec = shrink(trees.WEIGHTED_FOREST if weighted else trees.DAILY_FOREST)
-            model = trees.fit_forest(train, chosen, "y_log", spec, "weight" if weighted else None)
-            out = trees.predict(out, model, chosen, column)
-        elif name == "regime_blend":
-            specs = [shrink(s) for s in (trees.REGIME_CLASSIFIER, trees.REGIME_LOW, trees.REGIME_HIGH)]
-            blend = trees.fit_regime_blend(train, chosen, "y_log", "high", "weight", *specs)
-            if blend is None:
-                continue
-            out = trees.predict_regime_blend(out, blend, chosen, column)
-        elif name == "boosted":
-            share = config.tree_share if config.boost_share is None else config.boost_share
-            spec = trees.BoostSpec(max(1, round(trees.DAILY_BOOST.rounds * share)), trees.DAILY_BOOST.depth)
-            out = trees.predict(out, trees.fit_boosted(train, chosen, "y_log", spec), chosen, column)
-        else:
-            raise ValueError(f"unknown model {name}")
-        columns[name] = column
+    def forest(spec: trees.ForestSpec, column: str, weight: str | None = None):
+        def fit(rows: DataFrame):
+            model = trees.fit_forest(rows, chosen, "y_log", shrink(spec), weight)
+            return lambda df: trees.predict(df, model, chosen, column)
+
+        return fit
+
+    def blended(rows: DataFrame):
+        specs = [shrink(s) for s in (trees.REGIME_CLASSIFIER, trees.REGIME_LOW, trees.REGIME_HIGH)]
+        blend = trees.fit_regime_blend(rows, chosen, "y_log", "high", "weight", *specs)
+        return None if blend is None else lambda df: trees.predict_regime_blend(df, blend, chosen, "y_regime_blend")
+
+    def boosted(rows: DataFrame):
+        share = config.tree_share if config.boost_share is None else config.boost_share
+        spec = trees.BoostSpec(max(1, round(trees.DAILY_BOOST.rounds * share)), trees.DAILY_BOOST.depth)
+        model = trees.fit_boosted(rows, chosen, "y_log", spec)
+        return lambda df: trees.predict(df, model, chosen, "y_boosted")
+
+    fits = {
+        "forest": forest(trees.DAILY_FOREST, "y_forest"),
+        "weighted_forest": forest(trees.WEIGHTED_FOREST, "y_weighted_forest", "weight"),
+        "regime_blend": blended,
+        "boosted": boosted,
+    }
+    unknown = set(config.models) - {"linear", "ridge", *fits}
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
+    wanted = {columns[name]: fits[name] for name in config.models if name in fits}
+    out = trees.per_series(table, wanted) if wanted else table
+    for name in ("linear", "ridge"):
+        if name in config.models:
+            model = linear.fit_linear(train, chosen, "y_log", "least_squares" if name == "linear" else "ridge", penalty=1.0)
+            out = linear.predict_linear(out, model, chosen, columns[name])
+            out = out.withColumn(columns[name], from_log_target(F.col(columns[name])))
     return out, columns
 
 
@@ -201,7 +211,7 @@ def daily_forecast(
     """
     if config.force_best is not None and config.force_best not in config.models:
         raise ValueError(f"forced model {config.force_best} is not among {config.models}")
-    sub = None if rain is None else subbasin_features(rain, soil)
+    sub = None if rain is None else subbasin_features(rain, soil, config.panel_features)
     table, chosen = model_table(daily_features(log, soil_hours), sub, config)
     predicted, columns = predict_all(durable(table), chosen, config)
     keep = ["series_id", "date_day", "month", "split", "y_true", "flood", "event"]

@@ -154,28 +154,32 @@ def monthly_forecast(
         rows = mean_imputed(durable(rows), chosen, F.col("split") == "train")
     rows = durable(rows.na.drop())
     train = rows.where("split = 'train'")
-    out, columns = rows, {}
+    columns = {name: f"y_{name}" for name in models}
+
+    def forest(own: DataFrame):
+        spec = trees.ForestSpec(max(1, round(trees.MONTHLY_FOREST.trees * tree_share)), trees.MONTHLY_FOREST.depth, trees.MONTHLY_FOREST.leaf)
+        model = trees.fit_forest(own, chosen, "y_log", spec)
+        return lambda df: trees.predict(df, model, chosen, "y_forest")
+
+    def boosted(own: DataFrame):
+        share = tree_share if boost_share is None else boost_share
+        spec = trees.BoostSpec(max(1, round(trees.MONTHLY_BOOST.rounds * share)), trees.MONTHLY_BOOST.depth)
+        model = trees.fit_boosted(own, chosen, "y_log", spec)
+        return lambda df: trees.predict(df, model, chosen, "y_boosted")
+
+    wanted = {columns[n]: f for n, f in {"forest": forest, "boosted": boosted}.items() if n in models}
+    out = trees.per_series(rows, wanted) if wanted else rows
     for name in models:
-        column = f"y_{name}"
+        column = columns[name]
         if name == "last_value":
             out = out.withColumn(column, F.col("_last"))
-        elif name == "forest":
-            spec = trees.MONTHLY_FOREST
-            spec = trees.ForestSpec(max(1, round(spec.trees * tree_share)), spec.depth, spec.leaf)
-            out = trees.predict(out, trees.fit_forest(train, chosen, "y_log", spec), chosen, column)
-        elif name == "boosted":
-            spec = trees.MONTHLY_BOOST
-            share = tree_share if boost_share is None else boost_share
-            spec = trees.BoostSpec(max(1, round(spec.rounds * share)), spec.depth)
-            out = trees.predict(out, trees.fit_boosted(train, chosen, "y_log", spec), chosen, column)
-        else:
+        elif name not in ("forest", "boosted"):
             if name == "lasso":
                 model = linear.fit_lasso_cv(train, chosen, "y_log", "date")
             else:
                 model = linear.fit_linear(train, chosen, "y_log", "least_squares" if name == "linear" else "ridge")
             out = linear.predict_linear(out, model, chosen, column)
             out = out.withColumn(column, from_log_target(F.col(column)))
-        columns[name] = column
     # the baseline, the inflow of the month before, is not fitted: it has no training rows
     stacked = evaluation.stack_predictions(out, columns, ["series_id", "date", "year", "month", "split", "y_true"])
     long = durable(stacked.where("name <> 'last_value' OR split <> 'train'"))

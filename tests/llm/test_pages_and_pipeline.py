@@ -1,7 +1,9 @@
 """Page operators, the pipeline and the SQL counterparts."""
 
+import math
 import random
 import sys
+import time
 from pathlib import Path
 
 import duckdb
@@ -32,6 +34,28 @@ def test_main_text_of_cases():
     assert len(read("<article>" + "<p>w w</p>" * 20_000 + "</article>")) == 20_000
 
 
+def test_left_out_elements_end_where_their_holder_does():
+    read = lambda x: html_text.main_text(x, {})
+    assert read('<article><h1>Title here now</h1><p class="notice">Sale<p>Body one two.</p><p>More of it</article>') == [
+        "Title here now", "Body one two.", "More of it"]
+    assert read('<p>Before text</p><ul><li class="share">Share<li>kept</ul><p>After') == ["Before text", "kept", "After"]
+    assert read('<ul><li class="menu">A<ul><li>inner<li>more</ul><li>kept</ul>') == ["kept"]
+    assert read('<table><tr><td class="ad">Buy<td>cell<tr class="promo"><td>x<tr><td>next</table>') == ["cell", "next"]
+    assert read('<dl><dt class="ad">Buy<dd>told</dl>') == ["told"]
+    assert read('<div><span class="ad">Buy<b>now</div><p>text') == ["text"]
+    assert read('<article><div class="post-social-proof"><p>All of the text</p></div></article>') == ["All of the text"]
+    assert read('<div class="ad-free story" id="comment-policy"><p>All of the text</p></div>') == ["All of the text"]
+    assert read('<div class="ad-box"><p>buy</p></div><div id=site_footer>x</div><p>text</p>') == ["text"]
+    assert read('<p title="a > b" data-x=\'<i>\'>one</p><a href="x"two</a><p>three < four</p>') == ["one", "three < four"]
+
+
+@pytest.mark.parametrize("piece", ["a <b ", "<a \"", "<a '", "<p class=ad>x", "<div><b></i>", "<!x ", "<li class=menu>", "</p>", "<script>"])
+def test_reading_takes_time_in_proportion(piece):
+    start = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)), {})
+    assert time.process_time() - start < 20
+
+
 def test_best_region_is_the_largest_sum():
     rng = random.Random(0)
     for _ in range(300):
@@ -64,6 +88,59 @@ def test_language_follows_the_evidence(spark):
     assert language.page_languages(spark.createDataFrame(rows, PAGES), docs.filter("lang = 'x'")).collect() == []
 
 
+def test_pages_without_text_have_no_vote(spark):
+    rng = random.Random(7)
+    vocabulary = {"de": "der und fluss mit haus", "en": "the and river with house"}
+    say = lambda x, n: " ".join(rng.choice(vocabulary[x].split()) for _ in range(n))
+    docs = spark.createDataFrame([(x, say(x, 200)) for x in vocabulary for _ in range(5)], "lang string, text string")
+    text = lambda i, x: (i, "https://a.example.org/x", f"<html><body><p>{say(x, 40)}</p></body></html>", "", "")
+    rows = [text(i, "en") for i in range(40)] + [text(i, "de") for i in range(40, 45)]
+    empty = [(100 + i, "https://new.example.net/x", "<html><body></body></html>", "", "") for i in range(60)]
+    told = [(200, None, "<html xml:lang='de-AT'></html>", "", ""), (201, None, '<meta http-equiv="Content-Language" content="de">', "", "")]
+    of = lambda rs: {r.page_id: r for r in language.page_languages(spark.createDataFrame(rs, PAGES), docs).collect()}
+    few, many = of(rows + empty[:1] + told), of(rows + empty + told)
+    assert {many[i].lang for i in range(100, 160)} == {"en"} and all(many[i].text_lang is None for i in range(100, 160))
+    assert [many[i].declared_lang for i in (200, 201)] == ["de", "de"]
+    assert all(few[i].probability == pytest.approx(many[i].probability, abs=1e-12) for i in few)
+
+
+def test_fusion_equals_its_definition(spark):
+    """Evidence, declarations and host priors added up again in plain Python."""
+    rng = random.Random(8)
+    vocabulary = {"de": "der und fluss mit haus", "en": "the and river with house", "fr": "le et avec maison pont"}
+    say = lambda x, n: " ".join(rng.choice(vocabulary[x].split()) for _ in range(n))
+    docs = spark.createDataFrame([(x, say(x, 100)) for x in vocabulary for _ in range(3)], "lang string, text string")
+    names, params = sorted(vocabulary), language.LanguageParams()
+    rows = []
+    for i in range(120):
+        x = rng.choice(names)
+        declared = rng.choice(["", f" lang={x}", f" lang={rng.choice(names)}", " lang=xx"])
+        host = rng.choice(["a.one.org", "b.one.org", "c.two.net", "two.net", ""])
+        body = say(x, rng.choice([0, 2, 3, 30]))
+        rows.append((i, f"https://{host}/" if host else None, f"<html{declared}><p>{body}</p></html>", declared[6:], host))
+    frame = spark.createDataFrame(rows, PAGES)
+    got = {r.page_id: r for r in language.page_languages(frame, docs, params).collect()}
+    languages, logs = language.text_model(docs, params)
+    assert languages == names
+    evidence = {r.page_id: r.evidence for r in language._text_evidence(frame, languages, logs, params).collect()}
+    label = {i: max(range(3), key=lambda k: (e[k], -k)) if any(e) else None for i, e in evidence.items()}
+    form = {r[0]: "none" if not r[3] else r[3] if r[3] in names else "other" for r in rows}
+    host = {r[0]: r[4] for r in rows}
+    voters = [i for i in label if label[i] is not None]
+    true = [sum(label[i] == k for i in voters) for k in range(3)]
+    declare = {f: [math.log((sum(label[i] == k and form[i] == f for i in voters) + 1) / (true[k] + 5)) for k in range(3)] for f in [*names, "none", "other"]}
+    levels = (lambda h: h.rsplit(".", 1)[-1], lambda h: ".".join(h.rsplit(".", 2)[-2:]), lambda h: h)
+    for i in evidence:
+        prior = [(t + 1) / (len(voters) + 3) for t in true]
+        for of in levels:
+            mine = [label[j] for j in voters if of(host[j]) == of(host[i])]
+            prior = [(mine.count(k) + params.weight * prior[k]) / (len(mine) + params.weight) for k in range(3)]
+        total = [evidence[i][k] + declare[form[i]][k] + math.log(prior[k]) for k in range(3)]
+        shares = [math.exp(t - max(total)) for t in total]
+        assert got[i].lang == names[shares.index(max(shares))]
+        assert got[i].probability == pytest.approx(max(shares) / sum(shares), rel=1e-9)
+
+
 @pytest.fixture(scope="module")
 def duck():
     if not Path(SF_DIR).exists():

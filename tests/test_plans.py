@@ -142,3 +142,31 @@ def test_month_analyses(log):
     balance = monthly.water_balance(log).orderBy("date").collect()
     assert balance[0].water_change is None and balance[-1].storage_next_month is None
     assert monthly.rain_climatology(log).count() == 15
+
+
+def test_every_series_has_trees_of_its_own(frame):
+    """A long series that rises with x and a short one that falls; one too short for two regimes."""
+    rows = [("long", i, float(i % 50), float(i % 50) * 2 + 10, "train" if i < 250 else "test") for i in range(300)]
+    rows += [("short", i, float(i), 500.0 - 5 * i, "train" if i < 30 else "test") for i in range(40)]
+    rows += [("untrained", i, float(i), 1.0, "test") for i in range(3)]
+    df = frame(rows, "series_id string, t int, x double, y double, split string")
+    df = df.withColumns({"high": (F.col("y") > 60).cast("double"), "w": F.lit(1.0)})
+    spec = trees.ForestSpec(10, 5, 1)
+
+    def forest(train):
+        model = trees.fit_forest(train, ["x"], "y", spec)
+        return lambda d: trees.predict(d, model, ["x"], "y_forest", log_target=False)
+
+    def blend(train):
+        model = trees.fit_regime_blend(train, ["x"], "y", "high", "w", spec, spec, spec, min_rows=40)
+        return None if model is None else lambda d: trees.predict_regime_blend(d, model, ["x"], "y_blend")
+
+    with pytest.warns(UserWarning, match="too few training rows"):
+        out = trees.per_series(df, {"y_forest": forest, "y_blend": blend}).collect()
+    assert len(out) == len(rows)
+    of = lambda s: [r for r in out if r.series_id == s]
+    assert all(abs(r.y_forest - r.y) < 8 for r in of("long")) and all(abs(r.y_forest - r.y) < 60 for r in of("short"))
+    assert all(355 <= r.y_forest <= 500 for r in of("short"))  # the range of its own training rows
+    assert all(r.y_forest is None and r.y_blend is None for r in of("untrained"))
+    assert all(r.y_blend is not None for r in of("long")) and all(r.y_blend is None for r in of("short"))
+    assert trees.per_series(df.limit(0), {"y_forest": forest}).collect() == []
