@@ -1,27 +1,32 @@
-"""Benchmark passages in documents, found by unspoilt pieces of their words and verified by edit distance.
+"""Benchmark passages in documents, found by CGK walks with sampled steps and verified by edit distance.
 
 An item of n words is in a document if some passage is within ``floor(max_edits * n)`` word edits of it. Words are
 runs of letters, digits and non-ASCII characters, in lower case (A-Z); each character of a script without spaces
 (Chinese, Japanese, Thai, Lao, Burmese, Khmer) is a word. An item of fewer than ``min_words`` words is searched exactly.
 
-Method. An item is cut into pieces of equal length that do not overlap. An edit spoils at most one piece, so a passage
-within k edits of an item of p pieces holds at least p - k of them unspoilt, each at most k words from its place. Every
-run of words of a document is looked up among the pieces by its hash, and where enough pieces of one item stand at
-about the same place, the passage around is compared by exact edit distance. No passage within the limit is lost,
-whatever the item's size and the kind of edits.
+Method. A CGK walk reads a word at each step and moves on to the next word or stays, by a random bit of (step, word).
+Two walks over texts that differ by an edit part there and meet again by chance, so few edits become few steps that
+differ. A signature holds the words read at the sampled steps of one walk; repetitions are independent walks. Walks
+over whole long items drift apart as edits add up, so an item is looked up by the windows that start at each of its
+words, and a document by those at each of its words. Where ``need`` signatures of one item stand at about the same
+place, the item-sized window around is compared by exact edit distance.
 
-The length of an item's pieces is the largest that leaves two unspoilt pieces, or one where two cannot be had.
+The number of walks of an item is chosen by its size: ``walks_needed`` edits random items of that size band up to the
+limit, by replacements, insertions, deletions and a mix, and takes the fewest walks that find ``target`` of each kind.
+A signature of fewer than three different places is left out on both sides, as it says too little.
 
-The benchmark goes to the tasks in blocks of at most ``block_items`` items, a fixed size; a larger benchmark takes
-more passes over the documents.
+The benchmark goes to the tasks in blocks of at most about ``block_items`` items and ``block_bytes`` of text; a larger
+benchmark takes more passes over the documents. One item is never split.
 
-Defined cases: null or empty texts and items hold nothing; an item without words is not searched; repeated rows are searched each; extra columns are ignored; an empty table on either side
-gives no rows.
+Defined cases: null or empty texts and items hold nothing; an item without words is not searched; repeated rows are
+searched each; extra columns are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +40,35 @@ FOUND = "doc_id long, item_id long, distance int, item_words int, start long, en
 
 @dataclass(frozen=True)
 class LeakParams:
-    """``min_words``: fewest words of an item that may be edited. ``max_pairs``: places of pieces handled at once in a task; it bounds memory and changes no result."""
+    """``min_words``: fewest words of an item that may be edited. ``sampled``: the steps of a walk that make a signature.
+
+    ``max_pairs``: signatures of one place handled at once in a task; it bounds memory and changes no result.
+    """
 
     max_edits: float = 0.2
     min_words: int = 8
+    sampled: tuple[int, ...] = (0, 2, 4, 6)
+    need: int = 2
+    target: float = 0.995
+    most_walks: int = 16
     block_items: int = 20_000
+    block_bytes: int = 16 << 20
     max_pairs: int = 1 << 21
 
     def edits(self, words: int) -> int:
         return int(self.max_edits * words) if words >= self.min_words else 0
 
-    def piece(self, words: int) -> int:
-        """Length of the pieces of an item of ``words`` words."""
-        limit = self.edits(words)
-        if words < self.min_words:
-            return words
-        if limit >= words:
-            raise ValueError("max_edits must be below 1")
-        for unspoilt in (2, 1):
-            if words // (limit + unspoilt):
-                return words // (limit + unspoilt)
+    def least(self, words: int) -> int:
+        """Signatures that must stand together for an item of ``words`` words."""
+        return self.need if words >= self.min_words else 1
 
 
 @dataclass
-class Pieces:
-    """Pieces of one length: hashes in order, with their items and places, and a table of the hashes' low bits."""
+class Signatures:
+    """Signatures of one walk, or of whole short items of one length: hashes in order, with their items and places,
+    and a table of the hashes' low bits."""
 
+    walk: int | None
     length: int
     keys: np.ndarray
     owners: np.ndarray
@@ -84,23 +92,107 @@ def run_hashes(codes: np.ndarray, length: int) -> np.ndarray:
     return mix((sums[length:] - sums[:n]) * np.cumprod(back))
 
 
-def _pieces(items: list[np.ndarray], params: LeakParams) -> list[Pieces]:
-    found: dict[int, list] = {}
+def walk_keys(codes: np.ndarray, walk: int, sampled: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, last place, hash) of the signatures of a walk from each word; walks end before the end of ``codes``."""
+    n = len(codes)
+    bits = np.append(mix(codes + mix(np.array([walk + 1], dtype=np.uint64) * BASE)), np.uint64(0))
+    words = np.append(codes, np.uint64(0))
+    at, key, moved, seen = np.arange(n), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int8), np.arange(n)
+    for step in range(sampled[-1] + 1):
+        if step in sampled:
+            key = mix(key * BASE + words[at])
+            moved += at != seen
+            seen = at
+        if step < sampled[-1]:
+            at = np.minimum(at + ((bits[at] >> np.uint64(step)) & np.uint64(1)).astype(np.int64), n)
+    good = np.flatnonzero((at < n) & (moved >= 2))
+    return good, at[good], key[good]
+
+
+def _edited(item: list[int], kind: str, edits: int, rng: random.Random) -> list[int]:
+    words = list(item)
+    for _ in range(edits):
+        how = rng.choice(["replace", "insert", "delete"]) if kind == "mixed" else kind
+        at = rng.randrange(len(words))
+        words[at:at + (how != "insert")] = [] if how == "delete" else [rng.getrandbits(62)]
+    return words
+
+
+def _keys_by_row(texts: list[list[int]], walk: int, sampled: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, signature) of a walk over each of ``texts``; equal signatures of different rows differ here."""
+    rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    start, last, keys = walk_keys(np.array([w for t in texts for w in t], dtype=np.uint64), walk, sampled)
+    own = rows[start] == rows[last]
+    row = rows[start[own]]
+    return row, mix(keys[own] + mix(row.astype(np.uint64) + np.uint64(1)))
+
+
+@cache
+def walks_needed(words: int, params: LeakParams, trials: int = 200) -> int:
+    """Fewest walks by which ``target`` of the items of ``words`` words are found at the edit limit, for each kind of edit."""
+    rng = random.Random(words)
+    wanted = 1
+    for kind in ("replace", "insert", "delete", "mixed"):
+        items = [[rng.getrandbits(62) for _ in range(words)] for _ in range(trials)]
+        texts = [_edited(item, kind, params.edits(words), rng) for item in items]
+        hits, walks = np.zeros(trials, dtype=int), 0
+        while walks < params.most_walks and (walks < wanted or (hits >= params.need).mean() < params.target):
+            row, keys = _keys_by_row(texts, walks, params.sampled)
+            hits += np.bincount(row[np.isin(keys, _keys_by_row(items, walks, params.sampled)[1])], minlength=trials)
+            walks += 1
+        wanted = walks
+    return wanted
+
+
+def _band(words: int) -> int:
+    """The size that stands for items of ``words`` words: all up to 16, then some eight sizes for each doubling."""
+    step = max(1, 1 << max(0, words.bit_length() - 4))
+    return min(words // step * step, 256)
+
+
+def _signatures(items: list[np.ndarray], params: LeakParams) -> list[Signatures]:
+    found: dict[tuple, list] = {}
     for owner, item in enumerate(items):
-        length = params.piece(len(item))
-        keys = run_hashes(item, length)[::length]
-        found.setdefault(length, []).append((keys, np.full(len(keys), owner), np.arange(len(keys)) * length))
+        if len(item) < params.min_words:
+            found.setdefault((None, len(item)), []).append((run_hashes(item, len(item)), np.array([owner]), np.array([0])))
+            continue
+        # repeated words give an item fewer different signatures than a random one: one walk more
+        for walk in range(walks_needed(_band(len(item)), params) + 1):
+            places, _, keys = walk_keys(item, walk, params.sampled)
+            found.setdefault((walk, 0), []).append((keys, np.full(len(keys), owner), places))
     out = []
-    for length, parts in sorted(found.items()):
+    for (walk, length), parts in found.items():
         keys, owners, places = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(keys, kind="stable")
         bits = np.uint64((1 << max(10, int(len(keys) * 8).bit_length())) - 1)
         table = np.zeros(int(bits) + 1, dtype=bool)
         table[keys & bits] = True
-        out.append(Pieces(length, keys[order], owners[order], places[order], table))
+        out.append(Signatures(walk, length, keys[order], owners[order].astype(np.int32), places[order].astype(np.int32), table))
     return out
 
 
+def _met(codes, rows, groups, sampled):
+    """(group, place, first signature, number) of the places whose signature some item has, in order of places."""
+    found = [[], [], [], []]
+    for g, group in enumerate(groups):
+        if group.walk is None:
+            hashes = run_hashes(codes, group.length)
+            start = np.arange(len(hashes))
+            last = start + group.length - 1
+        else:
+            start, last, hashes = walk_keys(codes, group.walk, sampled)
+        own = np.flatnonzero(group.filter[hashes & np.uint64(len(group.filter) - 1)])
+        own = own[rows[start[own]] == rows[last[own]]]
+        low = np.searchsorted(group.keys, hashes[own], side="left")
+        times = np.searchsorted(group.keys, hashes[own], side="right") - low
+        good = times > 0
+        for column, x in zip(found, (np.full(int(good.sum()), g), start[own[good]], low[good], times[good]), strict=True):
+            column.append(x)
+    group, place, low, times = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in found)
+    order = np.argsort(place, kind="stable")
+    return group[order], place[order], low[order], times[order]
+
+
 def _least_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(edits, end) of the passage of ``text`` that is closest to ``item``, the first one of several."""
     steps = np.arange(len(text) + 1)
@@ -122,7 +214,7 @@ def closest_passage(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def _close_places(row, item, shift, need, reach):
-    """(row, item, first shift, last shift) of groups with ``need`` pieces of an item within ``reach`` words."""
+    """(row, item, first shift, last shift) of groups with ``need`` signatures of an item within ``reach`` words."""
     order = np.lexsort((shift, item, row))
     row, item, shift = row[order], item[order], shift[order]
     at = np.arange(len(row))
@@ -132,7 +224,7 @@ def _close_places(row, item, shift, need, reach):
     if not len(at):
         return
     new = np.ones(len(at), dtype=bool)
-    # groups that share a piece are one
+    # groups that share a signature are one
     new[1:] = (row[at[1:]] != row[at[:-1]]) | (item[at[1:]] != item[at[:-1]]) | (at[1:] > last[:-1])
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(at)) - 1
@@ -143,30 +235,26 @@ def _search(codes, first_word, rows, groups, items, params):
     """(row, item, edits, start word, end word) of the closest passage for each row and item."""
     size = np.array([len(x) for x in items])
     limits = np.array([params.edits(n) for n in size])
+    need = np.array([params.least(n) for n in size])
     near = []
-    for group in groups:
-        hashes = run_hashes(codes, group.length)
-        own = np.flatnonzero(group.filter[hashes & np.uint64(len(group.filter) - 1)])
-        own = own[rows[own] == rows[own + group.length - 1]]
-        lo = np.searchsorted(group.keys, hashes[own], side="left")
-        times = np.searchsorted(group.keys, hashes[own], side="right") - lo
-        own, lo, times = own[times > 0], lo[times > 0], times[times > 0]
-        need = np.maximum(1, size // group.length - limits)
-        # whole rows at a time; a row with more places than that is taken by itself
-        total = np.cumsum(times)
-        borders = np.flatnonzero(np.diff(rows[own])) + 1
-        a = 0
-        while a < len(own):
-            done = int(total[a - 1]) if a else 0
-            ends = np.append(borders[borders > a], len(own))
-            fits = ends[total[ends - 1] <= done + params.max_pairs]
-            b = int(fits[-1] if len(fits) else ends[0])
-            n, start = times[a:b], lo[a:b]
-            place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item = group.owners[place]
-            shift = np.repeat(own[a:b], n) - group.places[place]
-            near.extend(_close_places(np.repeat(rows[own[a:b]], n), item, shift, need, 2 * limits))
-            a = b
+    group, own, lo, times = _met(codes, rows, groups, params.sampled)
+    owners, places = [np.concatenate([getattr(g, x) for g in groups]) for x in ("owners", "places")]
+    lo = lo + np.concatenate([[0], np.cumsum([len(g.keys) for g in groups])])[group]
+    # whole rows at a time; a row with more places than that is taken by itself
+    total = np.cumsum(times)
+    borders = np.flatnonzero(np.diff(rows[own])) + 1
+    a = 0
+    while a < len(own):
+        done = int(total[a - 1]) if a else 0
+        ends = np.append(borders[borders > a], len(own))
+        fits = ends[total[ends - 1] <= done + params.max_pairs]
+        b = int(fits[-1] if len(fits) else ends[0])
+        n, start = times[a:b], lo[a:b]
+        place = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item = owners[place]
+        shift = np.repeat(own[a:b], n) - places[place]
+        near.extend(_close_places(np.repeat(rows[own[a:b]], n), item, shift, need, 2 * limits))
+        a = b
     best = {}
     for row, item, low, high in near:
         row, item, limit = int(row), int(item), int(limits[item])
@@ -221,7 +309,8 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, params: LeakParams
     own = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = spark.createDataFrame([], FOUND)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-items.count() // params.block_items)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size.n // params.block_items), -(-size.bytes // params.block_bytes))
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).toArrow().combine_chunks()
         ids, words = [], []
@@ -237,9 +326,7 @@ def benchmark_passages(docs: DataFrame, benchmark: DataFrame, params: LeakParams
 
 
 def _passages(own: DataFrame, ids: list, items: list[np.ndarray], params: LeakParams) -> DataFrame:
-    table = own.sparkSession.sparkContext.broadcast(
-        (ids, items, _pieces(items, params))
-    )
+    table = own.sparkSession.sparkContext.broadcast((ids, items, _signatures(items, params)))
 
     def run(batches):
         ids, items, groups = table.value

@@ -11,8 +11,8 @@ also inside the region. The text of a block has single spaces, blocks are joined
 end a block. Character references are decoded once, after the markup is read.
 
 Defined cases: null or empty html and pages without a word have empty text; unclosed elements end with what holds
-them or where the next element implies it; reading takes time in proportion to the page; repeated rows are read each; extra columns are ignored; an empty table gives no rows. Without labelled pages
-all words score the same.
+them or where the next element implies it; reading takes time in proportion to the page; repeated rows are read
+each; extra columns are ignored; an empty table gives no rows. Without labelled pages all words score the same.
 """
 
 from __future__ import annotations
@@ -67,30 +67,6 @@ _TOKEN = re.compile(
     r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]{0,10000}+\"|'[^']{0,10000}+'|[\"'])*+)(?:>|(?=<)|\Z)",
     re.DOTALL,
 )
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies disclaimer footer header menu modal nav navbar navigation newsletter notice notices popup promo related "
-    "share sidebar social sponsor sponsored subscribe widget".split()
-)
-PLAIN_NAMES = frozenset(
-    "area bar block box bottom button container content footer group header inner item items left link links list main outer "
-    "overlay page panel right row section site slot text title top unit wrap wrapper".split()
-)
-#: fixed values: elements whose end tag may be left out, with the elements that shelter one and those whose start ends it
-IMPLIED_END = {
-    "li": (("ul", "ol", "menu"), ("li",)),
-    "dt": (("dl",), ("dt", "dd")),
-    "dd": (("dl",), ("dt", "dd")),
-    "td": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
-    "th": (("table",), ("td", "th", "tr", "tbody", "tfoot")),
-    "tr": (("table",), ("tr", "tbody", "tfoot")),
-    "option": (("select", "datalist"), ("option", "optgroup")),
-}
-RAW = frozenset("script style textarea title noscript iframe template".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
-)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 

@@ -35,7 +35,7 @@ def test_main_text_of_cases():
 
 
 def test_left_out_elements_end_where_their_holder_does():
-    read = lambda x: html_text.main_text(x, {})
+    read = lambda x: html_text.read_page(x).blocks
     assert read('<article><h1>Title here now</h1><p class="notice">Sale<p>Body one two.</p><p>More of it</article>') == [
         "Title here now", "Body one two.", "More of it"]
     assert read('<p>Before text</p><ul><li class="share">Share<li>kept</ul><p>After') == ["Before text", "kept", "After"]

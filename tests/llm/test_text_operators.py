@@ -340,6 +340,44 @@ def test_benchmark_passages_at_the_edit_limit(spark):
         assert {(r.doc_id, r.item_id) for r in found} == planted
 
 
+def test_recall_beside_every_passage(spark):
+    """Items of repeated everyday words, edited up to the limit; every pair is compared by exact edit distance."""
+    rng = random.Random(12)
+    vocabulary = ["the", "of", "and", "to"] * 20 + ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(rng.choice([8, 10, 13, 20, 40, 90])) for _ in range(40)]
+    texts = []
+    for i in range(200):
+        w = list(items[i % 40])
+        for _ in range(rng.randint(0, len(w) // 5)):
+            at, how = rng.randrange(len(w)), rng.randrange(3)
+            w[at:at + (how != 1)] = [] if how == 2 else [rng.choice(vocabulary)]
+        texts.append(say(rng.randint(0, 30)) + w + say(rng.randint(0, 30)))
+    code = {w: k for k, w in enumerate(sorted({*vocabulary}))}
+    number = lambda words: np.array([code[w] for w in words], dtype=np.uint64)
+    true = {
+        (i, k): edits for i, t in enumerate(texts) for k, item in enumerate(items)
+        if (edits := decontaminate.closest_passage(number(item), number(t))[0]) <= len(item) // 5
+    }
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.benchmark_passages(frame, bench).collect()}
+    assert set(got) <= set(true) and len(got) >= 0.98 * len(true)
+    assert sum(got[x] == true[x] for x in got) >= 0.98 * len(got)
+
+
+def test_near_duplicate_walks_meet_and_others_do_not():
+    """Signatures of texts that differ by one word agree far more often than those of unrelated texts."""
+    rng = random.Random(13)
+    text = np.array([rng.getrandbits(62) for _ in range(200)], dtype=np.uint64)
+    other = text.copy()
+    other[100] = 7
+    for walk in range(5):
+        own, near = (set(decontaminate.walk_keys(x, walk, (0, 2, 4, 6))[2].tolist()) for x in (text, other))
+        assert len(own & near) > 0.9 * len(own)
+        assert not own & set(decontaminate.walk_keys(text[::-1].copy() + np.uint64(1), walk, (0, 2, 4, 6))[2].tolist())
+
+
 def test_short_and_unspaced_benchmark_items(spark):
     asked = "水星是离太阳最近的行星吗请写出它的名字"
     items = ["Who wrote it?", "Zweifel", asked, "ดาวพุธ", "é"]
