@@ -7,10 +7,10 @@ and frequent words of the language. Short documents have no steady histogram, so
 References are sums over all documents of a language that pass the base rules, by one aggregation with partial sums.
 They have one row per language.
 
-A fixed word limit must hold for all languages and is rarely passed. ``kept_documents`` therefore also rejects a text
-whose distance exceeds ``max_none_share`` of the distance of a text without any listed word from the same reference, and
-one whose words stand in another language's list more often than in its own. ``quality`` has the fixed limits alone,
-as its SQL counterpart has.
+A fixed word limit that holds for all languages is rarely passed. The rules in use (``STRICT``, of the query and of
+``kept_documents``) therefore also reject a text whose distance exceeds ``max_none_share`` of the distance of a text
+without any listed word from the same reference, and one whose words stand in another language's list more often than
+in its own.
 
 Defined cases: null text is empty; a document without words fails the base rules; a null language is a language of its
 own, and a language without a word list is compared by character classes only; repeated rows are judged each; extra
@@ -56,7 +56,7 @@ class QualityParams:
     max_none_share: float | None = None
 
 
-#: what ``kept_documents`` keeps
+#: the rules in use
 STRICT = QualityParams(max_none_share=0.85)
 
 

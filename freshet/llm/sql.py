@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freshet.llm.quality import COMMON_WORDS, SLOTS, QualityParams
+from freshet.llm.quality import COMMON_WORDS, SLOTS, STRICT
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = "list_filter(string_split_regex({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -20,10 +20,12 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT doc_id, n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY 1) c ON a = doc_id"""
 
-_P = QualityParams()
+_P = STRICT
 _LISTS = "CASE lang " + " ".join(
     f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in COMMON_WORDS.items()
 ) + " ELSE [] END"
+_MOST_LISTED = "greatest(" + ", ".join(
+    f"len(list_filter(w, lambda x: lower(x) IN ({', '.join(repr(x) for x in v)})))" for v in COMMON_WORDS.values()) + ")"
 _REMOVED = lambda pattern: f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
 
 
@@ -62,15 +64,22 @@ facts AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
          [word_chars - n_symbols - upper - digit - mark, upper, digit, mark, n_symbols, n_chars - word_chars] AS classes,
          CASE WHEN len(list) > 0 THEN list_transform(range(0, {SLOTS}), lambda k: len(list_filter(w,
-           lambda x: coalesce(list_position(list, lower(x)), 0) = k))) END AS common
+           lambda x: coalesce(list_position(list, lower(x)), 0) = k))) END AS common,
+         {_MOST_LISTED} AS most_listed
   FROM b),
 {_distance_sql('classes', '6')},
-{_distance_sql('common', str(SLOTS))}
+{_distance_sql('common', str(SLOTS))},
+bare AS (
+  SELECT lang, sqrt(greatest(0, log2(2 / (1 + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (1 + q)) ELSE 0 END + 1 - q) / 2) AS d
+  FROM (SELECT lang, (sum(v) FILTER (i = 0))::DOUBLE / nullif(sum(v), 0) AS q FROM common_sums GROUP BY 1))
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(n_words >= {_P.min_words_chars} AND c.d > {_P.max_char_distance}, false)
-    AND NOT coalesce(n_words >= {_P.min_words_common} AND m.d > {_P.max_word_distance}, false) AS kept,
+    AND NOT coalesce(n_words >= {_P.min_words_common} AND m.d > {_P.max_word_distance}, false)
+    AND NOT coalesce(n_words >= {_P.min_words_common}
+                     AND (m.d > {_P.max_none_share} * bare.d OR most_listed > n_words - common[1]), false) AS kept,
   round(c.d, 6) AS char_distance, round(m.d, 6) AS word_distance
-FROM facts f LEFT JOIN classes_distance c ON c.doc_id = f.doc_id LEFT JOIN common_distance m ON m.doc_id = f.doc_id"""
+FROM facts f LEFT JOIN classes_distance c ON c.doc_id = f.doc_id LEFT JOIN common_distance m ON m.doc_id = f.doc_id
+  LEFT JOIN bare ON bare.lang = f.lang"""
 
 #: components that are known and finite
 _FINE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
