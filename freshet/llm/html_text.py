@@ -1,10 +1,12 @@
 """Main text of web pages by a maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. Words score by the block that holds them, tags score below zero, and one linear
-scan finds the contiguous region with the largest sum. The scores are log-odds of lying in the article, counted on
-labelled pages: pages with exactly one article element, whose inside is the label. Counting is a grouped aggregation
-over a sample of about ``sample_pages`` pages; its result has one row per kind of block and tag. Where a page has an
-article or main element, words inside score higher and words outside lower by ``article_bonus``.
+scan finds the contiguous region with the largest sum. The scores are counted on labelled pages: pages with exactly one
+article element, whose inside is the label. A word scores the log-odds of lying inside for words of its kind of block; a
+tag costs ``border_cost`` times the share of its occurrences at which the label changes, and a little in any case. So
+the tags around an article are dear to cross by what was learned, and pages without them are read by the same scores.
+Counting is a grouped aggregation over a sample of about ``sample_pages`` pages; its result has two rows for each
+element name of ``BLOCKS`` and two for all others.
 
 Menus, adverts, forms and the like (by element name, or by class or id) score nothing and are left out of the text,
 also inside the region. The text of a block has single spaces, blocks are joined by line breaks; line-break elements
@@ -74,9 +76,9 @@ _PART = re.compile(r"[a-z]+")
 @dataclass(frozen=True)
 class ExtractParams:
     sample_pages: int = 2_000
-    article_bonus: float = 3.0
+    border_cost: float = 60.0
     word_limit: float = 2.0
-    tag_limit: float = 1.0
+    tag_cost: float = 0.1
 
 
 @dataclass
@@ -210,6 +212,11 @@ def read_page(source: str) -> Page:
     return page
 
 
+def _kind(tag: str) -> str:
+    """Name under which a tag is counted: free names share one for opening and one for closing tags."""
+    return tag if tag.lstrip("/") in BLOCKS else "/" if tag[0] == "/" else ""
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """(first, after the last) of the contiguous scores with the largest sum, the first and shortest of several."""
     best, region, run, start = 0.0, (0, 0), 0.0, 0
@@ -225,19 +232,21 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 def main_text(source: str, weights: dict[str, float], params: ExtractParams = ExtractParams()) -> list[str]:
     """Blocks of the best region; ``weights`` has the score of a word by "word:context" and of a tag by "tag:name"."""
     page = read_page(source)
-    bonus = params.article_bonus if any(inside for *_, inside in page.events) else 0.0
     scores = []
-    for block, words, name, inside in page.events:
+    for block, words, name, _ in page.events:
         if block < 0:
-            scores.append(weights.get("tag:" + name, -params.tag_limit / 2))
+            scores.append(weights.get("tag:" + _kind(name), -params.tag_cost))
         else:
-            scores.append(words * (weights.get("word:" + name, params.word_limit / 4) + (bonus if inside else -bonus)))
+            scores.append(words * weights.get("word:" + name, params.word_limit / 4))
     first, last = best_region(scores)
     return [page.blocks[block] for block, *_ in page.events[first:last] if block >= 0]
 
 
 def learned_weights(pages: DataFrame, params: ExtractParams = ExtractParams()) -> dict[str, float]:
-    """Scores of words by their block and of tags by their name, from pages with one article element."""
+    """Scores of words by their block and of tags by their name, from pages with one article element.
+
+    Counted are words inside and outside of it, and tags at which the label changes or stays.
+    """
 
     def run(batches):
         for batch in batches:
@@ -246,34 +255,34 @@ def learned_weights(pages: DataFrame, params: ExtractParams = ExtractParams()) -
                 page = read_page(source.as_py() or "")
                 if page.articles != 1:
                     continue
+                before = False
                 for block, words, name, inside in page.events:
-                    key = ("word:" if block >= 0 else "tag:") + name
-                    counts.setdefault(key, [0, 0])[inside] += words if block >= 0 else 1
+                    if block >= 0:
+                        counts.setdefault("word:" + name, [0, 0])[not inside] += words
+                    else:
+                        counts.setdefault("tag:" + _kind(name), [0, 0])[inside == before] += 1
+                        before = inside
             yield pa.record_batch(
                 [
-                    pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()),
-                    pa.array([c[0] for c in counts.values()], pa.int64()),
+                    pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
+                    pa.array([c[1] for c in counts.values()], pa.int64()),
                 ],
-                names=["name", "inside", "outside"],
+                names=["name", "yes", "no"],
             )
 
     every = max(1, pages.count() // params.sample_pages)
     rows = (
         pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(every)) == 0).select("html")
-        .mapInArrow(run, "name string, inside long, outside long")
-        .groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-        # names are free text: the frequent ones are enough, the others have default scores
-        .orderBy(F.desc(F.col("inside") + F.col("outside")), "name").limit(2_000).collect()
+        .mapInArrow(run, "name string, yes long, no long")
+        .groupBy("name").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()  # names of BLOCKS and two more
     )
-    total_in = sum(r.inside for r in rows if r.name.startswith("word:")) + 1
-    total_out = sum(r.outside for r in rows if r.name.startswith("word:")) + 1
     weights = {}
     for r in rows:
-        odds = math.log((r.inside + 0.5) / total_in) - math.log((r.outside + 0.5) / total_out)
         if r.name.startswith("word:"):
+            odds = math.log(r.yes + 0.5) - math.log(r.no + 0.5)
             weights[r.name] = max(-params.word_limit, min(params.word_limit, odds))
         else:
-            weights[r.name] = max(-params.tag_limit, min(-params.tag_limit / 20, odds))
+            weights[r.name] = -params.tag_cost - params.border_cost * r.yes / (r.yes + r.no)
     return weights
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import sys
 import time
 from pathlib import Path
@@ -65,6 +66,29 @@ def test_best_region_is_the_largest_sum():
         assert sum(scores[a:b]) == max(sums)
 
 
+def test_learned_scores_find_articles_without_their_tags(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_text.learned_weights(pages)
+    assert weights["tag:/article"] < weights["tag:/p"] < 0 < weights["word:p"]
+    same = stripped = 0
+    rows = pages.select("html").collect()
+    for r in rows:
+        page = html_text.read_page(r.html or "")
+        article = [page.blocks[b] for b, *_, inside in page.events if b >= 0 and inside]
+        same += html_text.main_text(r.html or "", weights) == article
+        bare = re.sub("</?(?:article|main)[^>]*>", "", r.html or "")
+        stripped += html_text.main_text(bare, weights) == article
+    assert same == len(rows) and stripped >= 0.95 * len(rows)
+
+
+def test_border_tags_keep_short_outside_text_away():
+    weights = {"tag:article": -60.0, "tag:/article": -60.0, "word:p": 2.0, "word:body": 2.0}
+    inside = " ".join(["word"] * 80)
+    page = f"<p>Some lines before it</p><article><p>{inside}</p></article><p>Some lines after it</p>"
+    assert html_text.main_text(page, weights) == [inside]
+    assert len(html_text.main_text(page.replace("article", "div"), weights)) == 3
+
+
 def test_extracted_rows(spark):
     rows = [(1, "u", PAGE, "x", "y"), (1, "u", PAGE, "x", "y"), (2, None, None, None, None), (None, "u", "", "", "")]
     got = html_text.extracted(spark.createDataFrame(rows, PAGES)).collect()
