@@ -2,14 +2,15 @@
 
 Method. The bytes of the training texts are counted with their ``depth`` preceding bytes over the whole corpus. Each
 byte is decomposed into eight binary decisions; each decision has a context tree whose nodes are the contexts of 0 to
-``depth`` bytes, with a Krichevsky-Trofimov estimate of its counts. A node weights its own estimate against the
-product of its children's evidence, one half each a priori, so a prediction mixes all depths along the path. A context
-is a node of its own if it holds at least ``1/nodes`` of the training bytes; rarer ones share one child of their
-parent. So each depth has at most ``nodes`` nodes, whatever the corpus, and the model can be handed to every task.
+``depth`` bytes seen before it, with a Krichevsky-Trofimov estimate of its counts. A node weights its own estimate
+against the product of its children's evidence, one half each a priori, so a prediction mixes all depths along the path.
+Every context of the training texts is a node, so the tree grows with the corpus.
 
-A model is scored as an automaton: its states are the nodes, and the last ``depth`` bytes decide the state. Texts are
-cut into blocks that run side by side, each warmed up on the bytes before it, so a very long text is no sequential
-work. Bytes are those of the text with A-Z in lower case, followed by one end symbol.
+The tree is one Spark table a depth, a row for each context and decision. Evidence is summed from the deepest contexts
+up, the mixture is carried from the root down, and each distinct (context, byte) of all texts takes its log-probability
+from the deepest nodes of its path. Texts look up frequent pairs (each at least ``1/cached`` of all bytes, so at most
+``cached`` of them) in every task; distinct others of a text are joined with the table. Bytes are those of the text
+with A-Z in lower case, followed by one end symbol.
 
 The word model (``base_score``) is log10((c + 1) / (N + V + 1)) summed over tokens. Words with at least ``1/2**20`` of
 all tokens, at most 2**20 of them, are looked up in each task; occurrences of the others are joined with the counts.
@@ -21,11 +22,14 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +38,8 @@ from freshet.session import durable
 
 #: bytes that UTF-8 never holds: before the start of a text, and its end
 PAD, END = 0xC0, 0xC1
-BLOCK = 512
+#: symbols handled at once
+STEP = 1 << 19
 SCORED = (
     "doc_id long, text_code long, held_out boolean, n_tokens long, n_known long, known_sum double, score double, "
     "n_bytes long"
@@ -44,7 +49,7 @@ SCORED = (
 @dataclass(frozen=True)
 class TreeParams:
     depth: int = 4
-    nodes: int = 4096
+    cached: int = 1 << 20
     frequent: int = 1 << 20
 
 
@@ -63,65 +68,78 @@ def padded(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
     return stream, first
 
 
-def grams(stream: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """Keys of all symbols with their contexts: the symbol is the lowest byte, the nearest context byte the next."""
-    key = np.zeros(len(stream) - depth, dtype=np.int64)
-    for back in range(depth, -1, -1):
-        key = (key << 8) | stream[depth - back:len(stream) - back]
-    return key[stream[depth:] != PAD]
+def grams(stream: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (keys, rows) of symbols with their contexts, ``STEP`` at a time.
+
+    In a key the symbol is the lowest byte, the nearest context byte the next.
+    """
+    for a in range(0, len(stream) - depth, STEP):
+        part = stream[a:a + STEP + depth]
+        key = np.zeros(len(part) - depth, dtype=np.int64)
+        for back in range(depth, -1, -1):
+            key = (key << 8) | part[depth - back:len(part) - back]
+        at = np.flatnonzero(part[depth:] != PAD)
+        yield key[at], np.searchsorted(first, at + (a + depth), side="right") - 1
 
 
 def corpus_counts(docs: DataFrame, params: TreeParams) -> DataFrame:
-    """(kind, key, n) of the training rows: 0 byte contexts with their symbol, 1 words, 2 rows and words."""
+    """(kind, key, n, uses): 0 byte contexts with their symbol, 1 words, 2 rows and words of the training rows.
+
+    ``n`` counts the training rows, ``uses`` all rows.
+    """
     depth = params.depth
 
     def run(batches):
-        def counted(kind, keys):
+        def counted(kind, keys, held):
             keys, n = np.unique(np.concatenate(keys), return_counts=True)
             return pa.record_batch(
-                [pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))],
-                names=["kind", "key", "n"],
+                [
+                    pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys.view(np.int64)),
+                    pa.array(n * (not held)), pa.array(n),
+                ],
+                names=["kind", "key", "n", "uses"],
             )
 
-        byte_keys, words, held = [], [], 0
-        texts = n_words = 0
+        found: dict[tuple[int, bool], list] = {}
+        size = texts = n_words = 0
         for batch in batches:
-            for first_row, last_row, data, offsets in pieces(batch.column(0)):
-                stream, first = padded(data, offsets, depth)
-                byte_keys.append(grams(stream, first, depth))
-                starts, ends, _ = word_bounds(data, offsets)
-                words.append(word_codes(data, starts, ends))
-                texts, n_words = texts + last_row - first_row, n_words + len(starts)
-                held += len(stream)
-                if held > 4 << 20:
-                    yield counted(0, byte_keys)
-                    yield counted(1, words)
-                    byte_keys, words, held = [], [], 0
-        if held:
-            yield counted(0, byte_keys)
-            yield counted(1, words)
+            for held in (False, True):
+                rows = batch.filter(pc.equal(batch.column(0), held))
+                for first_row, last_row, data, offsets in pieces(rows.column(1)):
+                    stream, first = padded(data, offsets, depth)
+                    for keys, _ in grams(stream, first, depth):
+                        found.setdefault((0, held), []).append(keys)
+                    if not held:
+                        starts, ends, _ = word_bounds(data, offsets)
+                        found.setdefault((1, held), []).append(word_codes(data, starts, ends))
+                        texts, n_words = texts + last_row - first_row, n_words + len(starts)
+                    size += len(stream)
+                    if size > 4 << 20:
+                        yield from (counted(kind, keys, of_held) for (kind, of_held), keys in found.items())
+                        found, size = {}, 0
+        yield from (counted(kind, keys, of_held) for (kind, of_held), keys in found.items())
         yield pa.record_batch(
-            [pa.array([2, 2], pa.int8()), pa.array([0, 1], pa.int64()), pa.array([texts, n_words], pa.int64())],
-            names=["kind", "key", "n"],
+            [pa.array([2, 2], pa.int8()), *[pa.array(x, pa.int64()) for x in ([0, 1], [texts, n_words], [texts, n_words])]],
+            names=["kind", "key", "n", "uses"],
         )
 
-    rows = docs.filter(~held_out()).select("text").mapInArrow(run, "kind byte, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select(held_out().alias("held"), "text").mapInArrow(run, "kind byte, key long, n long, uses long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
 
 
-def tree_nodes(counts: DataFrame, symbols: int, params: TreeParams) -> list:
-    """Rows (depth, context, [(symbol, n)]) of the contexts that are nodes; the root always is."""
-    masks = [(1 << (8 * d)) - 1 for d in range(params.depth + 1)]
-    levels = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("d"), F.expr(f"shiftright(key, 8) & {m}L").alias("ctx")) for d, m in enumerate(masks)
+def _decisions(key: str) -> Column:
+    """Rows (dec, bit) of the eight binary decisions that make the lowest byte of ``key``."""
+    return F.explode(F.array(*[
+        F.struct(
+            F.expr(f"cast({1 << k} + shiftright({key} & 255, {8 - k}) AS int)").alias("dec"),
+            F.expr(f"cast(shiftright({key}, {7 - k}) & 1 AS int)").alias("bit"),
+        ) for k in range(8)
     ]))
-    return (
-        counts.filter("kind = 0").select((F.col("key").bitwiseAND(255)).alias("sym"), "n", levels.alias("x"))
-        .groupBy("x.d", "x.ctx", "sym").agg(F.sum("n").alias("n"))
-        .groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.collect_list(F.struct("sym", "n")).alias("syms"))
-        .filter((F.col("d") == 0) | (F.col("total") * params.nodes >= symbols))
-        .select("d", "ctx", "syms").collect()
-    )
+
+
+def _shorter(context: str, depth: int) -> Column:
+    """The nearest ``depth`` bytes of a context."""
+    return F.expr(f"{context} & {(1 << (8 * depth)) - 1}L")
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -134,114 +152,125 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(shift)
 
 
-def _decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of the 255 binary decisions of byte counts, level by level."""
-    out = [counts.reshape(len(counts), 1 << k, 2, -1).sum(axis=3).astype(np.float64) for k in range(8)]
-    both = np.concatenate(out, axis=1)
-    return both[:, :, 0], both[:, :, 1]
-
-
 def _evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a sequence with these counts."""
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - math.log(math.pi)
 
 
+def weighted(level: DataFrame, deepest: bool) -> DataFrame:
+    """(ctx, dec, zeros, ones, total, stay, one) of nodes with their counts and the evidence ``below`` them.
+
+    ``total`` is the log of a node's weighted evidence, ``stay`` the posterior weight of its own estimate ``one`` of a 1.
+    """
+
+    def run(batches):
+        for batch in batches:
+            zeros, ones, below = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            own = _evidence(zeros.astype(np.float64), ones.astype(np.float64))
+            total = own if deepest else np.logaddexp(own, below) - math.log(2)
+            stay = np.ones(len(own)) if deepest else np.exp(np.minimum(0.0, own - math.log(2) - total))
+            one = (ones + 0.5) / (zeros + ones + 1.0)
+            yield pa.record_batch(
+                [*batch.columns[:4], pa.array(total), pa.array(stay), pa.array(one)],
+                names=["ctx", "dec", "zeros", "ones", "total", "stay", "one"],
+            )
+
+    return level.select("ctx", "dec", "zeros", "ones", "below").mapInArrow(
+        run, "ctx long, dec int, zeros long, ones long, total double, stay double, one double"
+    )
+
+
+def tree_levels(counts: DataFrame, params: TreeParams) -> list[DataFrame]:
+    """For each depth (ctx, dec, mixed, left, p) of its nodes.
+
+    ``mixed`` is the part of the prediction settled down to the node, ``left`` the weight that goes further down and ``p``
+    the probability of a 1 where nothing was seen below.
+    """
+    seen = counts.filter("kind = 0 AND n > 0").select(F.expr("shiftright(key, 8)").alias("ctx"), "n", _decisions("key").alias("x"))
+    level = seen.groupBy("ctx", F.col("x.dec").alias("dec")).agg(
+        F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("ones"), F.lit(0.0).alias("below"),
+    )
+    nodes = [durable(weighted(level, deepest=True))]
+    for depth in range(params.depth - 1, -1, -1):
+        level = nodes[0].groupBy(_shorter("ctx", depth).alias("ctx"), "dec").agg(
+            F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("total").alias("below")
+        )
+        nodes.insert(0, durable(weighted(level, deepest=False)))
+    levels: list[DataFrame] = []
+    for depth, level in enumerate(nodes):
+        if depth:
+            above = levels[-1].select(F.col("ctx").alias("up"), "dec", F.col("mixed").alias("mixed_up"), F.col("left").alias("left_up"))
+            level = level.withColumn("up", _shorter("ctx", depth - 1)).join(above, ["up", "dec"])
+        else:
+            level = level.withColumns({"mixed_up": F.lit(0.0), "left_up": F.lit(1.0)})
+        mixed = F.col("mixed_up") + F.col("left_up") * F.col("stay") * F.col("one")
+        left = F.col("left_up") * (1 - F.col("stay"))
+        levels.append(level.select("ctx", "dec", mixed.alias("mixed"), left.alias("left"), (mixed + left / 2).alias("p")))
+    return levels
+
+
+def symbol_logs(counts: DataFrame, params: TreeParams) -> DataFrame:
+    """(key, uses, log10 probability of its byte) of each context with a byte in any text."""
+    rows = counts.filter("kind = 0").select("key", "uses", _decisions("key").alias("x")).select("key", "uses", "x.*")
+    p = []
+    for depth, level in reversed(list(enumerate(tree_levels(counts, params)))):
+        rows = rows.withColumn("ctx", F.expr(f"shiftright(key, 8) & {(1 << (8 * depth)) - 1}L")).join(
+            level.select("ctx", "dec", F.col("p").alias(f"p{depth}")), ["ctx", "dec"], "left"
+        )
+        p.append(f"p{depth}")
+    one = F.coalesce(*p, F.lit(0.5))
+    return rows.groupBy("key").agg(
+        F.first("uses").alias("uses"), F.sum(F.log10(F.when(F.col("bit") == 1, one).otherwise(1 - one))).alias("value")
+    )
+
+
 @dataclass
-class Automaton:
-    """Next state and log10 probability for each state and byte."""
-
-    moves: np.ndarray
-    logs: np.ndarray
-    start: int
-    depth: int
-
-
-def automaton(nodes: list, depth: int) -> Automaton:
-    """Automaton of the weighted tree with these (depth, context, [(symbol, n)]) nodes."""
-    found = {(int(d), int(c)): syms for d, c, syms in nodes}
-    found.setdefault((0, 0), [])
-    keys = sorted(found)
-    number = {k: i for i, k in enumerate(keys)}
-    counts = np.zeros((len(keys), 256), dtype=np.int64)
-    for k, i in number.items():
-        for sym, n in found[k]:
-            counts[i, sym] = n
-    parent = np.array([number[d - 1, c & ((1 << (8 * (d - 1))) - 1)] if d else -1 for d, c in keys])
-    level = np.array([d for d, _ in keys])
-    rest = counts.copy()
-    np.subtract.at(rest, parent[1:], counts[1:])
-    own0, own1 = _decisions(counts)
-    rest0, rest1 = _decisions(rest)
-    own, below = _evidence(own0, own1), _evidence(rest0, rest1)
-    total = own.copy()
-    for d in range(depth, -1, -1):
-        at = np.flatnonzero(level == d)
-        if d < depth:
-            total[at] = np.logaddexp(own[at], below[at]) - math.log(2)
-        if d:
-            np.add.at(below, parent[at], total[at])
-    stay = np.exp(np.minimum(0.0, own - math.log(2) - total))
-    one = (own1 + 0.5) / (own0 + own1 + 1)
-    ahead = np.where((level == depth)[:, None], one, stay * one + (1 - stay) * (rest1 + 0.5) / (rest0 + rest1 + 1))
-    up = parent.copy()
-    while (up >= 0).any():
-        at = np.flatnonzero(up >= 0)
-        mine = up[at]
-        ahead[at] = stay[mine] * one[mine] + (1 - stay[mine]) * ahead[at]
-        up[at] = parent[mine]
-    logs = np.zeros((len(keys), 256))
-    symbol = np.arange(256)
-    for k in range(8):
-        p = ahead[:, (1 << k) - 1 + (symbol >> (8 - k))]
-        bit = (symbol >> (7 - k)) & 1
-        logs += np.log10(np.where(bit == 1, p, 1 - p))
-    context = np.array([c for _, c in keys], dtype=np.int64)
-    moves = np.zeros((len(keys), 256), dtype=np.int32)
-    wide = (context[:, None] << 8) | symbol[None, :]
-    for d in range(1, depth + 1):
-        own_keys = np.array([c for e, c in keys if e == d], dtype=np.int64)
-        if not len(own_keys):
-            break
-        base = number[d, int(own_keys[0])]
-        want = wide & ((1 << (8 * d)) - 1)
-        at = np.minimum(np.searchsorted(own_keys, want), len(own_keys) - 1)
-        fits = (own_keys[at] == want) & (level[:, None] >= d - 1)
-        moves[fits] = (base + at)[fits]
-    start = 0
-    for _ in range(depth):
-        start = int(moves[start, PAD])
-    return Automaton(moves.reshape(-1), logs.reshape(-1), start, depth)
-
-
-def text_scores(model: Automaton, stream: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """log10 probability of each row: ``sizes`` symbols from ``first``, the end mark included."""
-    blocks = -(-sizes // BLOCK)
-    row = np.repeat(np.arange(len(sizes)), blocks)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = first[row] + nth * BLOCK
-    length = np.minimum(BLOCK, sizes[row] - nth * BLOCK)
-    order = np.argsort(-length, kind="stable")
-    begin, length, row = begin[order], length[order], row[order]
-    state = np.zeros(len(row), dtype=np.int32)
-    for back in range(model.depth, 0, -1):
-        state = model.moves[state * 256 + stream[begin - back]]
-    sums = np.zeros(len(row))
-    active = len(row)
-    for t in range(int(length.max(initial=0))):
-        while active and length[active - 1] <= t:
-            active = int(np.searchsorted(-length, -t, side="left"))
-        at = state[:active] * 256 + stream[begin[:active] + t]
-        sums[:active] += model.logs[at]
-        state[:active] = model.moves[at]
-    return np.bincount(row, weights=sums, minlength=len(sizes))
-
-
-def _text_code(codes: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
-    """A code of each row's sequence of words."""
-    first = np.searchsorted(rows, np.arange(n_rows + 1))
-    place = (np.arange(len(codes)) - first[rows] + 1).astype(np.uint64)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(codes ^ (place * np.uint64(0x9E3779B97F4A7C15))))])
-    return mix(total[first[1:]] - total[first[:-1]])
+class Cache:
+    """Values of keys in a table of fixed size; a key stands in one of two slots or, where both are taken, in none."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        spread, size = mix(keys.astype(np.uint64)), len(self.keys)
+        return (spread >> np.uint64(65 - size.bit_length())).astype(np.int64), (spread & np.uint64(size - 1)).astype(np.int64)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is held, its value or 0) of each key."""
+        one, two = self.slots(keys)
+        at = np.where(self.keys[one] == keys, one, two)
+        held = self.keys[at] == keys
+        return held, np.where(held, self.values[at], 0.0)
+
+
+def cache(keys: np.ndarray, values: np.ndarray) -> Cache:
+    """Cache of these keys (not negative); of those that meet in a slot the first one stays."""
+    size = 1 << max(4, (2 * len(keys)).bit_length())
+    made = Cache(np.full(size, -1, dtype=np.int64), np.zeros(size))
+    left = np.arange(len(keys))
+    for slot in made.slots(keys):
+        free = left[made.keys[slot[left]] < 0]
+        places, first = np.unique(slot[free], return_index=True)
+        made.keys[places], made.values[places] = keys[free[first]], values[free[first]]
+        left = np.setdiff1d(left, free[first])
+    return made
+
+
+def _distinct(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, times) of the distinct pairs."""
+    order = np.lexsort((keys, rows))
+    rows, keys = rows[order], keys[order]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
+    first = np.flatnonzero(new)
+    return rows[first], keys[first], np.diff(np.append(first, len(rows)))
+
+
+def _text_codes(stream: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A code of each row's bytes."""
+    digests = [hashlib.blake2b(stream[a:a + n], digest_size=8).digest() for a, n in zip(first.tolist(), sizes.tolist())]
+    return np.frombuffer(b"".join(digests), dtype=np.int64)
 
 
 def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
@@ -252,13 +281,15 @@ def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame
     facts = {(r.kind, r.key): r.n for r in counts.filter("kind = 2").collect()}
     texts, n_words = facts.get((2, 0), 0), facts.get((2, 1), 0)
     tokens = n_words + texts
-    totals = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("keys")).collect()
-    symbols = sum(r.n for r in totals if r.kind == 0)
+    totals = counts.groupBy("kind").agg(F.sum("uses").alias("uses"), F.count("*").alias("keys")).collect()
     distinct = sum(r.keys for r in totals if r.kind == 1) + (1 if texts else 0)
     words = counts.filter("kind = 1").select(F.col("key").alias("code"), F.col("n").alias("c"))
     often = words.filter(F.col("c") * params.frequent >= tokens).toPandas().sort_values("code")  # at most params.frequent
+    logs = durable(symbol_logs(counts, params))
+    symbols = sum(r.uses for r in totals if r.kind == 0)
+    near = logs.filter(F.col("uses") * params.cached >= symbols).toPandas().sort_values(["uses", "key"], ascending=False)
     model = spark.sparkContext.broadcast((
-        automaton(tree_nodes(counts, symbols, params), depth),
+        cache(near["key"].to_numpy(dtype=np.int64), near["value"].to_numpy(dtype=np.float64)),  # at most params.cached
         often["code"].to_numpy(dtype=np.int64), often["c"].to_numpy(dtype=np.int64),
     ))
     log_all = math.log10(tokens + distinct + 1)
@@ -280,14 +311,17 @@ def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame
                 sizes = np.diff(offsets) + 1
                 starts, ends, rows = word_bounds(data, offsets)
                 codes = word_codes(data, starts, ends)
-                hit, logs = known(codes.view(np.int64))
+                hit, word_logs = known(codes.view(np.int64))
+                symbol_sums = np.zeros(n)
+                for keys, of in grams(stream, first, depth):
+                    symbol_sums += np.bincount(of, weights=model.value[0].look(keys)[1], minlength=n)
                 yield pa.record_batch(
                     [
-                        batch.column(0).slice(a, n), pa.array(_text_code(codes, rows, n).view(np.int64)),
+                        batch.column(0).slice(a, n), pa.array(_text_codes(stream, first, sizes)),
                         batch.column(1).slice(a, n), pa.array(np.bincount(rows, minlength=n) + 1),
                         pa.array(np.bincount(rows[hit], minlength=n) + end_known),
-                        pa.array(np.bincount(rows, weights=logs, minlength=n) + log_end),
-                        pa.array(text_scores(model.value[0], stream, first, sizes)), pa.array(sizes - 1),
+                        pa.array(np.bincount(rows, weights=word_logs, minlength=n) + log_end),
+                        pa.array(symbol_sums), pa.array(sizes - 1),
                     ],
                     names=[c.split()[0] for c in SCORED.split(", ")],
                 )
@@ -298,28 +332,41 @@ def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame
                 starts, ends, rows = word_bounds(data, offsets)
                 codes = word_codes(data, starts, ends)
                 left = ~known(codes.view(np.int64))[0]
-                mine, times = np.unique(
-                    np.stack([_text_code(codes, rows, b - a)[rows[left]], codes[left]]), axis=1, return_counts=True
-                ) if left.any() else (np.zeros((2, 0), dtype=np.uint64), np.zeros(0, dtype=np.int64))
-                yield pa.record_batch(
-                    [pa.array(mine[0].view(np.int64)), pa.array(mine[1].view(np.int64)), pa.array(times.astype(np.int32))],
-                    names=["text_code", "code", "times"],
-                )
+                found = [(1, *_distinct(rows[left], codes[left].view(np.int64)))]
+                stream, first = padded(data, offsets, depth)
+                texts = _text_codes(stream, first, np.diff(offsets) + 1)
+                for keys, of in grams(stream, first, depth):
+                    left = ~model.value[0].look(keys)[0]
+                    found.append((0, *_distinct(of[left], keys[left])))
+                for kind, of, keys, times in found:
+                    yield pa.record_batch(
+                        [
+                            pa.array(texts[of]), pa.array(np.full(len(of), kind, dtype=np.int8)), pa.array(keys),
+                            pa.array(times.astype(np.int32)),
+                        ],
+                        names=["text_code", "kind", "key", "times"],
+                    )
 
     scored = durable(own.select("doc_id", held_out(), "text").mapInArrow(score, SCORED))
-    joined = own.select("text").mapInArrow(rare, "text_code long, code long, times int").join(words, "code")
+    values = words.select(F.lit(1).cast("byte").alias("kind"), F.col("code").alias("key"), F.log10(F.col("c") + 1).alias("value"))
+    values = values.union(logs.select(F.lit(0).cast("byte"), "key", "value"))
+    joined = own.select("text").mapInArrow(rare, "text_code long, kind byte, key long, times int").join(values, ["kind", "key"])
+    word, part = F.col("kind") == 1, F.col("times") * F.col("value")
     sums = joined.groupBy("text_code").agg(
-        F.sum("times").alias("times"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_sum")
+        F.sum(F.when(word, F.col("times")).otherwise(0)).alias("times"),
+        F.sum(F.when(word, part).otherwise(0.0)).alias("rare_words"), F.sum(F.when(word, 0.0).otherwise(part)).alias("rare_symbols"),
     )
     # equal texts share a code and their sums, so each takes its share
     copies = scored.groupBy("text_code").agg(F.count("*").alias("copies"))
     per_text = sums.join(copies, "text_code").select(
-        "text_code", (F.col("times") / F.col("copies")).cast("long").alias("times"), F.col("rare_sum") / F.col("copies")
-    ).toDF("text_code", "times", "rare_sum")
+        "text_code", (F.col("times") / F.col("copies")).cast("long").alias("times"), F.col("rare_words") / F.col("copies"),
+        F.col("rare_symbols") / F.col("copies"),
+    ).toDF("text_code", "times", "rare_words", "rare_symbols")
+    score = F.col("score") + F.coalesce("rare_symbols", F.lit(0.0))
     return scored.join(per_text, "text_code", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("times", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("known_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
-        "score", "n_bytes",
-        (-F.col("score") / math.log10(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("known_sum") + F.coalesce("rare_words", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"),
+        score.alias("score"), "n_bytes",
+        (-score / math.log10(2) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -409,23 +410,67 @@ def test_scores_of_both_language_models(spark, texts, docs, nothing):
     assert all(abs(r.score + 4 * 8 * math.log10(2)) < 1e-9 and r.base_score == 0 for r in ctw.score_texts(lone).collect())
 
 
-def test_tree_weights_equal_sequential_definition():
-    """Each block probability is the recursive CTW mixture, and predictions sum to one over bytes."""
-    stream, first = ctw.padded(np.frombuffer(b"abracadabra", np.uint8), np.array([0, 11]), 2)
-    keys = ctw.grams(stream, first, 2)
-    nodes = []
-    for d in range(3):
-        seen = collections.defaultdict(collections.Counter)
-        for k in keys.tolist():
-            seen[(k >> 8) & ((1 << 8 * d) - 1)][k & 255] += 1
-        nodes += [(d, c, list(x.items())) for c, x in seen.items()]
-    model = ctw.automaton(nodes, 2)
-    assert np.allclose((10 ** model.logs.reshape(-1, 256)).sum(axis=1), 1)
-    state, total = model.start, 0.0
-    for s in stream[2:].tolist():
-        total += model.logs[state * 256 + s]
-        state = model.moves[state * 256 + s]
-    assert math.isclose(total, ctw.text_scores(model, stream, first, np.array([12]))[0])
+def recursive_mixture(texts, depth):
+    """log10 probability function of texts by the definition of context-tree weighting, in exact fractions."""
+    start = bytes([ctw.PAD]) * depth
+
+    def steps(text):
+        data = LOWER(text or "").encode() + bytes([ctw.END])
+        stream = start + data
+        for i, symbol in enumerate(data):
+            context = stream[i:i + depth][::-1]  # the nearest byte first
+            for k in range(8):
+                yield ((1 << k) + (symbol >> (8 - k))), context, (symbol >> (7 - k)) & 1
+
+    seen = collections.defaultdict(list)
+    for text in texts:
+        for decision, context, bit in steps(text):
+            seen[decision].append((context, bit))
+
+    def own(bits):
+        counts, p = [0, 0], Fraction(1)
+        for bit in bits:
+            p *= Fraction(2 * counts[bit] + 1, 2 * (sum(counts) + 1))
+            counts[bit] += 1
+        return p
+
+    def evidence(rows, d):
+        p = own([bit for _, bit in rows])
+        if d == depth or not rows:
+            return p
+        below = collections.defaultdict(list)
+        for context, bit in rows:
+            below[context[d]].append((context, bit))
+        return p / 2 + math.prod((evidence(x, d + 1) for x in below.values()), start=Fraction(1)) / 2
+
+    def score(text):
+        return sum(
+            math.log10(evidence([*seen[decision], (context, bit)], 0) / evidence(seen[decision], 0))
+            for decision, context, bit in steps(text)
+        )
+
+    return score
+
+
+@pytest.mark.parametrize("cached", [4, 1 << 20])
+def test_scores_equal_the_recursive_mixture(spark, cached):
+    texts = ["abracadabra", "abra cadabra", "", None, "a barn, a bard", "zebra", "ABRA\u00e9", "abracadabra", "a barn,  a\tbard", "new text here", "bar"]
+    ids = [0, 1, 2, 3, 4, 5, 6, 7, 8, *[d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2][-2:]]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d in ids]
+    assert held[-2:] == [True, True]
+    want = recursive_mixture([t for t, h in zip(texts, held) if not h], 4)
+    docs = spark.createDataFrame([(d, t, *[None] * 6) for d, t in zip(ids, texts)], DOCS)
+    got = {r.doc_id: r.score for r in ctw.score_texts(docs, ctw.TreeParams(cached=cached)).collect()}
+    for d, t in zip(ids, texts):
+        assert math.isclose(got[d], want(t), rel_tol=1e-9), (d, t)
+
+
+def test_cached_values():
+    keys = np.random.default_rng(0).choice(1 << 40, 50_000, replace=False)
+    made = ctw.cache(keys, keys / 2)
+    held, values = made.look(keys)
+    assert held.mean() > 0.9 and held[0] and (values == np.where(held, keys / 2, 0)).all()
+    assert not made.look(keys[:0])[0].size and not ctw.cache(keys[:0], keys[:0] / 2).look(keys)[0].any()
 
 
 def test_toxicity_chain_finds_planted_words(spark, nothing):
