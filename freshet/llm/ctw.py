@@ -49,7 +49,7 @@ SCORED = (
 @dataclass(frozen=True)
 class TreeParams:
     depth: int = 4
-    cached: int = 1 << 20
+    cached: int = 1 << 21
     frequent: int = 1 << 20
 
 
@@ -68,8 +68,8 @@ def padded(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
     return stream, first
 
 
-def grams(stream: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Yield (keys, rows) of symbols with their contexts, ``STEP`` at a time.
+def grams(stream: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yield (keys, places in the stream) of symbols with their contexts, ``STEP`` at a time.
 
     In a key the symbol is the lowest byte, the nearest context byte the next.
     """
@@ -77,9 +77,10 @@ def grams(stream: np.ndarray, first: np.ndarray, depth: int) -> Iterator[tuple[n
         part = stream[a:a + STEP + depth]
         key = np.zeros(len(part) - depth, dtype=np.int64)
         for back in range(depth, -1, -1):
-            key = (key << 8) | part[depth - back:len(part) - back]
+            key <<= 8
+            key |= part[depth - back:len(part) - back]
         at = np.flatnonzero(part[depth:] != PAD)
-        yield key[at], np.searchsorted(first, at + (a + depth), side="right") - 1
+        yield key[at], at + (a + depth)
 
 
 def corpus_counts(docs: DataFrame, params: TreeParams) -> DataFrame:
@@ -107,7 +108,7 @@ def corpus_counts(docs: DataFrame, params: TreeParams) -> DataFrame:
                 rows = batch.filter(pc.equal(batch.column(0), held))
                 for first_row, last_row, data, offsets in pieces(rows.column(1)):
                     stream, first = padded(data, offsets, depth)
-                    for keys, _ in grams(stream, first, depth):
+                    for keys, _ in grams(stream, depth):
                         found.setdefault((0, held), []).append(keys)
                     if not held:
                         starts, ends, _ = word_bounds(data, offsets)
@@ -232,16 +233,20 @@ class Cache:
     keys: np.ndarray
     values: np.ndarray
 
-    def slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        spread, size = mix(keys.astype(np.uint64)), len(self.keys)
-        return (spread >> np.uint64(65 - size.bit_length())).astype(np.int64), (spread & np.uint64(size - 1)).astype(np.int64)
+    def slot(self, keys: np.ndarray, second: bool) -> np.ndarray:
+        spread, size = mix(keys.view(np.uint64)), len(self.keys)
+        place = spread & np.uint64(size - 1) if second else spread >> np.uint64(65 - size.bit_length())
+        return place.view(np.int64)
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether it is held, its value or 0) of each key."""
-        one, two = self.slots(keys)
-        at = np.where(self.keys[one] == keys, one, two)
-        held = self.keys[at] == keys
-        return held, np.where(held, self.values[at], 0.0)
+        """(value or 0 of each key, places of those that are not held)."""
+        at = self.slot(keys, False)
+        values = self.values[at]
+        other = np.flatnonzero(self.keys[at] != keys)
+        at = self.slot(keys[other], True)
+        held = self.keys[at] == keys[other]
+        values[other] = np.where(held, self.values[at], 0.0)
+        return values, other[~held]
 
 
 def cache(keys: np.ndarray, values: np.ndarray) -> Cache:
@@ -249,7 +254,8 @@ def cache(keys: np.ndarray, values: np.ndarray) -> Cache:
     size = 1 << max(4, (2 * len(keys)).bit_length())
     made = Cache(np.full(size, -1, dtype=np.int64), np.zeros(size))
     left = np.arange(len(keys))
-    for slot in made.slots(keys):
+    for second in (False, True):
+        slot = made.slot(keys, second)
         free = left[made.keys[slot[left]] < 0]
         places, first = np.unique(slot[free], return_index=True)
         made.keys[places], made.values[places] = keys[free[first]], values[free[first]]
@@ -313,8 +319,10 @@ def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame
                 codes = word_codes(data, starts, ends)
                 hit, word_logs = known(codes.view(np.int64))
                 symbol_sums = np.zeros(n)
-                for keys, of in grams(stream, first, depth):
-                    symbol_sums += np.bincount(of, weights=model.value[0].look(keys)[1], minlength=n)
+                for keys, at in grams(stream, depth):
+                    values = model.value[0].look(keys)[0]
+                    begin, end = np.searchsorted(first, at[[0, -1]], side="right")
+                    symbol_sums[begin - 1:end] += np.add.reduceat(values, np.searchsorted(at, first[begin - 1:end]))
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(a, n), pa.array(_text_codes(stream, first, sizes)),
@@ -335,9 +343,9 @@ def score_texts(docs: DataFrame, params: TreeParams = TreeParams()) -> DataFrame
                 found = [(1, *_distinct(rows[left], codes[left].view(np.int64)))]
                 stream, first = padded(data, offsets, depth)
                 texts = _text_codes(stream, first, np.diff(offsets) + 1)
-                for keys, of in grams(stream, first, depth):
-                    left = ~model.value[0].look(keys)[0]
-                    found.append((0, *_distinct(of[left], keys[left])))
+                for keys, at in grams(stream, depth):
+                    left = model.value[0].look(keys)[1]
+                    found.append((0, *_distinct(np.searchsorted(first, at[left], side="right") - 1, keys[left])))
                 for kind, of, keys, times in found:
                     yield pa.record_batch(
                         [

@@ -468,9 +468,20 @@ def test_scores_equal_the_recursive_mixture(spark, cached):
 def test_cached_values():
     keys = np.random.default_rng(0).choice(1 << 40, 50_000, replace=False)
     made = ctw.cache(keys, keys / 2)
-    held, values = made.look(keys)
-    assert held.mean() > 0.9 and held[0] and (values == np.where(held, keys / 2, 0)).all()
-    assert not made.look(keys[:0])[0].size and not ctw.cache(keys[:0], keys[:0] / 2).look(keys)[0].any()
+    values, left = made.look(keys)
+    want = keys / 2
+    want[left] = 0
+    assert len(left) < 0.1 * len(keys) and 0 not in left and (values == want).all()
+    assert not made.look(keys[:0])[0].size and len(ctw.cache(keys[:0], keys[:0] / 2).look(keys)[1]) == len(keys)
+
+
+def test_sums_of_slices_are_those_of_whole_texts(monkeypatch):
+    data = np.frombuffer(b"abc" * 50 + b"xyz", np.uint8)
+    stream, first = ctw.padded(data, np.array([0, 0, 100, 101, 153]), 4)
+    whole = [np.concatenate(x) for x in zip(*ctw.grams(stream, 4))]
+    monkeypatch.setattr(ctw, "STEP", 7)
+    parts = [np.concatenate(x) for x in zip(*ctw.grams(stream, 4))]
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) == 153 + 4
 
 
 def test_toxicity_chain_finds_planted_words(spark, nothing):
