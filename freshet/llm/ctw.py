@@ -213,17 +213,23 @@ def tree_levels(counts: DataFrame, params: TreeParams) -> list[DataFrame]:
 
 def symbol_logs(counts: DataFrame, params: TreeParams) -> DataFrame:
     """(key, uses, log10 probability of its byte) of each context with a byte in any text."""
-    rows = counts.filter("kind = 0").select("key", "uses", _decisions("key").alias("x")).select("key", "uses", "x.*")
-    p = []
-    for depth, level in reversed(list(enumerate(tree_levels(counts, params)))):
-        rows = rows.withColumn("ctx", F.expr(f"shiftright(key, 8) & {(1 << (8 * depth)) - 1}L")).join(
-            level.select("ctx", "dec", F.col("p").alias(f"p{depth}")), ["ctx", "dec"], "left"
+    levels = tree_levels(counts, params)
+    levels[-1] = durable(levels[-1])
+
+    def logs(seen: bool) -> DataFrame:
+        # what was trained on has all its decisions among the deepest nodes, the others lack some
+        rows = counts.filter("kind = 0").filter((F.col("n") > 0) == F.lit(seen)).select("key", "uses", _decisions("key").alias("x"))
+        rows = rows.select("key", "uses", "x.*")
+        depths = range(params.depth, params.depth - 1 if seen else -1, -1)
+        for depth in depths:
+            level = levels[depth].select("ctx", "dec", F.col("p").alias(f"p{depth}"))
+            rows = rows.withColumn("ctx", _shorter("shiftright(key, 8)", depth)).join(level, ["ctx", "dec"], "left")
+        one = F.coalesce(*[f"p{depth}" for depth in depths], F.lit(0.5))
+        return rows.groupBy("key").agg(
+            F.first("uses").alias("uses"), F.sum(F.log10(F.when(F.col("bit") == 1, one).otherwise(1 - one))).alias("value")
         )
-        p.append(f"p{depth}")
-    one = F.coalesce(*p, F.lit(0.5))
-    return rows.groupBy("key").agg(
-        F.first("uses").alias("uses"), F.sum(F.log10(F.when(F.col("bit") == 1, one).otherwise(1 - one))).alias("value")
-    )
+
+    return logs(True).union(logs(False))
 
 
 @dataclass
