@@ -10,8 +10,14 @@ with so many empty partitions that only empty ones might agree shows all its sig
 link is lost at any size.
 
 Sets that share a signature are candidates. Their links are verified on the whole sets: first between the smallest
-member of a signature group and the others, then between all members of a group that are still in different
-components, so a group of copies costs links in proportion to its size and no link between components is missed.
+member of a signature group and the others, so a group of copies costs links in proportion to its size. Members still in
+different components are compared with each other in groups up to ``large_group``, which is linear in the members.
+Larger open groups are refined on the shingles themselves (prefix filter with places): shingles are put in one order,
+those in few of these sets first, and linked sets share one among their first ``n - ceil(n * percent / 100) + 1``. From
+the first one they share, each must have enough shingles left for the overlap that both sizes ask for. So the sets meet
+by shingle and by the two sizes of a pair, a key whose sets are in one component is done, and in the others all sets
+are first compared with the one that has the fewest rarer shingles, then those left in different components with each
+other. No link between components is missed.
 
 Text goes through Arrow batches and numpy; exchange, grouping, joins and components are Spark's. Sets are compared by
 64-bit codes of their shingles.
@@ -23,6 +29,7 @@ Rows whose id is null are left out, as links and classes are between ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,13 +60,15 @@ class JoinParams:
     """``percent``: Jaccard threshold; ``words``: words of a shingle.
 
     ``sample_docs`` and ``widespread``: a shingle found in ``widespread`` of about ``sample_docs`` documents counts as
-    widespread. It only orders signatures and changes no result.
+    widespread. It only orders signatures and changes no result. ``large_group``: most members of a signature group
+    that are compared pair by pair; it changes no result either.
     """
 
     percent: int = 75
     words: int = 5
     sample_docs: int = 16_384
     widespread: int = 4
+    large_group: int = 64
 
 
 class Bands:
@@ -305,8 +314,8 @@ def signature_groups(docs: DataFrame, shingles: int, params: JoinParams = JoinPa
     return groups.select("grp", F.explode("members").alias("code"))
 
 
-def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, shingles): shingle sets of the documents whose id is in ``ids`` (id), and of a few others.
+def _of_wanted(docs: DataFrame, ids: DataFrame, made: Callable, schema: str, params: JoinParams) -> DataFrame:
+    """Batches ``made(ids, sets, borders)`` of the documents whose id is in ``ids`` (id), and of a few others.
 
     ``ids`` become a bit filter of fixed size, so that texts are not exchanged to be selected.
     """
@@ -328,12 +337,61 @@ def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinPar
             mine = (wanted.value[place] >> shift.astype(np.uint64)) & np.uint64(1) == 1
             batch = batch.filter(pa.array(mine))
             for first, last, u, borders in _sets(batch.column(1), words):
-                lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(u.view(np.int64)))
-                yield pa.record_batch([batch.column(0).slice(first, last - first), lists], names=["doc_id", "shingles"])
+                yield made(batch.column(0).slice(first, last - first), u, borders)
 
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     shift = F.expr("shiftrightunsigned(xxhash64(id), 40) & 63")
-    return own.select("id", "text", place, shift).mapInArrow(run, "doc_id long, shingles array<long>")
+    return own.select("id", "text", place, shift).mapInArrow(run, schema)
+
+
+def shingle_arrays(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """(doc_id, shingles): shingle sets of the documents whose id is in ``ids`` (id), and of a few others."""
+
+    def made(own, u, borders):
+        lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(u.view(np.int64)))
+        return pa.record_batch([own, lists], names=["doc_id", "shingles"])
+
+    return _of_wanted(docs, ids, made, "doc_id long, shingles array<long>", params)
+
+
+def shingle_prefixes(docs: DataFrame, ids: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
+    """(shingle, rep, n, room): the shingles by which each wanted document meets all that it can link to.
+
+    The order is that of the code, but at most 50,000 shingles found in more than ``large_group`` of these documents come
+    last, the most frequent at the end. ``n`` is the size of the set, ``room`` counts its shingles from this one on.
+    """
+    percent = params.percent
+
+    def every(own, u, borders):
+        return pa.record_batch([pa.array(u.view(np.int64))], names=["shingle"])
+
+    frequent = (
+        _of_wanted(docs, ids, every, "shingle long", params)
+        .groupBy("shingle").count().filter(F.col("count") > params.large_group)
+        .orderBy(F.desc("count"), "shingle").limit(50_000)
+        .select("shingle").toPandas()
+    )
+    codes = frequent["shingle"].to_numpy(dtype=np.int64).view(np.uint64)
+    by_code = np.argsort(codes)
+    late = docs.sparkSession.sparkContext.broadcast((codes[by_code], len(codes) - by_code))
+
+    def shown(own, u, borders):
+        hot, ranks = late.value
+        n = np.diff(borders)
+        row, size = np.repeat(np.arange(len(n)), n), np.repeat(n, n)
+        rank = np.zeros(len(u), dtype=np.int64)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, u), len(hot) - 1)
+            rank = np.where(hot[at] == u, ranks[at], 0)
+        order = np.lexsort((u, rank, row))
+        room = size - (np.arange(len(u)) - np.repeat(borders[:-1], n))
+        first = room >= (size * percent + 99) // 100
+        return pa.record_batch(
+            [pa.array(u[order][first].view(np.int64)), own.take(pa.array(row[first])), pa.array(size[first]), pa.array(room[first])],
+            names=["shingle", "rep", "n", "room"],
+        )
+
+    return _of_wanted(docs, ids, shown, "shingle long, rep long, n long, room long", params)
 
 
 def _may_link(n: str, n2: str, parity: str, parity2: str, percent: int) -> Column:
@@ -368,6 +426,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, params: JoinParams) -> DataFram
     ).select("a", "b")
 
 
+def _open_meetings(prefixes: DataFrame, params: JoinParams) -> DataFrame:
+    """(shingle, n_a, n_b, rep, n, room, label): sets of each shingle and pair of sizes that may hold a missing link.
+
+    Sets of the sizes ``n_a <= n_b`` link by a first common shingle only if both have room for their least overlap.
+    """
+    p = params.percent
+    key = ["shingle", "n_a", "n_b"]
+
+    def fits(room: Column) -> Column:
+        return room * (100 + p) >= (F.col("n_a") + F.col("n_b")) * p
+
+    sizes = prefixes.groupBy("shingle", "n").agg(
+        F.max("room").alias("room"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    )
+    pairs = (
+        sizes.toDF("shingle", "n_a", "room_a", "lo_a", "hi_a").join(sizes.toDF("shingle", "n_b", "room_b", "lo_b", "hi_b"), "shingle")
+        .filter((F.col("n_a") <= F.col("n_b")) & fits(F.least("room_a", "room_b"))
+                & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")))
+        .select(*key, F.explode(F.array_distinct(F.array("n_a", "n_b"))).alias("n"))
+    )
+    rows = prefixes.join(pairs, ["shingle", "n"]).filter(fits(F.col("room")))
+    still = rows.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    return rows.join(still.select(*key), key, "left_semi").select(*key, "rep", "n", "room", "label")
+
+
 def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of ``docs`` (doc_id, text).
 
@@ -382,33 +465,67 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     members = durable(signature_groups(docs, shingles, params).join(distinct.select("code", "rep", "n"), "code").drop("code"))
     parity = distinct.select("rep", "parity")
 
+    def may_link(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``pairs`` (a, n_a, b, n_b), each once, that sizes and parity bits allow."""
+        return (
+            pairs.select("a", "n_a", "b", "n_b").distinct()
+            .join(parity.toDF("a", "parity_a"), "a").join(parity.toDF("b", "parity_b"), "b")
+            .filter(_may_link("n_a", "n_b", "parity_a", "parity_b", params.percent)).select("a", "b")
+        )
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+            "label", F.coalesce("component", "rep")
+        ).drop("component")
+
     pivots = members.groupBy("grp").agg(F.min(F.struct("rep", "n")).alias("least")).select(
         "grp", F.col("least.rep").alias("a"), F.col("least.n").alias("n_a")
     )
-    stars = (
+    stars = durable(may_link(
         members.join(pivots, "grp")
         .filter((F.col("rep") != F.col("a")) & (F.least("n", "n_a") * 100 >= F.greatest("n", "n_a") * params.percent))
-        .select("a", "n_a", F.col("rep").alias("b"), F.col("n").alias("n_b")).distinct()
-        .join(parity.toDF("a", "parity_a"), "a").join(parity.toDF("b", "parity_b"), "b")
-        .filter(_may_link("n_a", "n_b", "parity_a", "parity_b", params.percent)).select("a", "b")
-    )
-    stars = durable(stars)
+        .withColumnsRenamed({"rep": "b", "n": "n_b"})
+    ))
     links = durable(_verified(stars, docs, params))
     labels = components(links)
 
-    named = durable(
-        members.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("grp", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    named = durable(labelled(members, labels).select("grp", "rep", "n", "label"))
+    open_groups = durable(
+        named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("rep").alias("size"))
+        .filter("lo < hi").select("grp", "size")
     )
-    open_groups = named.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    left = named.join(open_groups.select("grp"), "grp", "left_semi").join(parity, "rep")
+    several = F.col("size") > params.large_group
+    left = named.join(open_groups.filter(~several), "grp", "left_semi").join(parity, "rep")
     right = left.select(*[F.col(c).alias(c if c == "grp" else f"{c}2") for c in left.columns])
     rest = (
         left.join(right, (left["grp"] == right["grp"]) & (F.col("label") < F.col("label2"))
                   & _may_link("n", "n2", "parity", "parity2", params.percent))
-        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
     )
+    large = durable(named.join(open_groups.filter(several), "grp", "left_semi").select("rep").distinct())
+    if not large.isEmpty():
+        prefixes = durable(shingle_prefixes(docs, large.withColumnRenamed("rep", "id"), params).join(large, "rep", "left_semi"))
+        key = ["shingle", "n_a", "n_b"]
+        met = durable(_open_meetings(labelled(prefixes, labels), params))
+        hubs = met.groupBy(*key).agg(F.min(F.struct(F.col("n") - F.col("room"), "rep", "n", "label")).alias("hub"))
+        around = durable(may_link(
+            met.join(hubs, key).filter(F.col("label") != F.col("hub.label"))
+            .select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("n_a"), F.col("rep").alias("b"), F.col("n").alias("n_b"))
+        ))
+        stars = stars.unionByName(around)
+        links = durable(links.unionByName(_verified(around, docs, params)))
+        labels = components(links)
+        met = durable(_open_meetings(labelled(prefixes, labels), params).join(distinct.select("rep", "n", "parity"), ["rep", "n"]))
+        one = met.filter("n = n_a").select(*key, "rep", "label", "parity")
+        two = met.filter("n = n_b").select(*key, F.col("rep").alias("rep2"), F.col("label").alias("label2"), F.col("parity").alias("parity2"))
+        rest = rest.unionByName(
+            one.join(two, key).filter(
+                (F.col("label") != F.col("label2")) & ((F.col("n_a") < F.col("n_b")) | (F.col("label") < F.col("label2")))
+                & _may_link("n_a", "n_b", "parity", "parity2", params.percent)
+            ).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        )
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = durable(rest.distinct()).join(tried, ["a", "b"], "left_anti")
     more = durable(_verified(durable(rest), docs, params))
     if not more.isEmpty():
         labels = components(links.unionByName(more))

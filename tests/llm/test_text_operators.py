@@ -71,6 +71,62 @@ def test_near_duplicates_equal_brute_force(docs, texts):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def _rows_of_joins(spark, run):
+    """Rows that the largest join of ``run()`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    made = [0]
+    for e in range(before, store.executionsCount()):
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for metric in (node.metrics().apply(i) for i in range(node.metrics().size()) if "Join" in node.name()):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    made.append(int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return max(made)
+
+
+def test_near_copies_at_the_limit_are_not_compared_pair_by_pair(spark):
+    """Copies that link to their original, which has the largest id, mostly not to each other, and some to neither."""
+    rng = random.Random(3)
+    base, rows = [f"w{i}" for i in range(1000)], []
+    rows.append((1 << 40, " ".join(base)))
+    for _ in range(300):
+        words = list(base)
+        for j in rng.sample(range(1000), rng.choice([17, 18, 20, 22, 40])):
+            words[j] = f"x{rng.randrange(10**9)}"
+        rows.append((rng.randrange(1 << 40), " ".join(words)))
+    sets = {i: frozenset(zip(*(t.split()[j:] for j in range(5)))) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = []
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    made = _rows_of_joins(spark, lambda: got.extend(ngram_join.near_duplicates(docs).collect()))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), find(i)) for i, s in sets.items()}
+    assert 1 < len({find(i) for i in sets}) < 100
+    assert made < 100 * len(rows)
+
+
+def test_groups_refined_by_shingles_lose_no_link(docs):
+    """The classes are the same whether all groups are compared pair by pair or all by shingles."""
+    plain, got = (
+        sorted(map(tuple, ngram_join.near_duplicates(docs, ngram_join.JoinParams(large_group=n)).collect())) for n in (10**9, 0)
+    )
+    assert got == plain
+
+
 def test_near_duplicates_of_odd_tables(spark, nothing):
     assert ngram_join.near_duplicates(nothing).collect() == []
     rows = [(None, "a b c d e f", *[None] * 6), (3, None, *[None] * 6), (4, "a b c d e f", *[None] * 6), (4, "a b c d e f", *[None] * 6)]
